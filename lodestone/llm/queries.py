@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, pieces, simhash, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, language, licenses, pieces, simhash, token_counts, toxicity, warc
+from .workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "warc")
+    archives = warc.write_bundles(_table(spark, sf_dir, "pages"), ws.path("bundles"), workspace=ws)
+    return warc.read_bundles(archives).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS low FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN low IS NULL OR low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN low <> page_id THEN low END AS refers_to
+FROM q
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     # The stored table's last entry is the count of the whole text.
@@ -43,6 +60,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", n_tokens.cast("long").alias("n_tokens"), (n_tokens > 2048).alias("over_limit"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("licenses", lambda x: x["confirmed"])
+    return scanned.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("confirmed_families"),
+        F.round(F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)), 4).alias("best_probability"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity_model(docs, labels)
@@ -102,12 +131,41 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shout = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(shout).alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = chat.read_windows(chat.format_windows(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("targets", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(_table(spark, sf_dir, "documents"))
+    found = language.identify(_table(spark, sf_dir, "pages"), model)
+    return found.select("page_id", "lang", F.round("probability", 4).alias("probability"), "declared", "host")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_chat": op9_chat,
+    "op10_language": op10_language,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op7_decontaminate": OP7_SQL}
