@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans.queries import QUERIES, SQL, hit_enrichment
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the embeddings table."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """The nearest vectors of five queries with their documents."""
+    return hit_enrichment(spark, sf_dir)
