@@ -187,7 +187,7 @@ def test_warc_round_trip(spark, tmp_path):
 
     one = archives.first()
     whole = zstandard.ZstdDecompressor().stream_reader(bytes(one.data), read_across_frames=True).read()
-    assert whole.count(b"WARC/1.1\r\n") == len(one.index)
+    assert whole.count(b"WARC/1.1\r\n") == len(one["index"])
     assert warc.read_bundles(warc.write_bundles(pages.limit(0), str(tmp_path / "empty"))).count() == 0
 
 
