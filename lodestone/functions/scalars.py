@@ -74,8 +74,9 @@ def html_to_text(page: Column) -> Column:
 
 
 def looks_textual(data: Column) -> Column:
-    """A binary column without NUL bytes."""
-    return ~F.contains(F.hex(data), F.lit("\x00")) & (F.locate("00", F.regexp_replace(F.hex(data), "(..)", "$1 ")) == 0)
+    """A binary column that decodes as UTF-8 and has no NUL byte."""
+    text = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
+    return F.coalesce(~F.contains(text, F.lit("\x00")), F.lit(False))
 
 
 # dates and durations
@@ -232,6 +233,36 @@ def healthy(memory: Column, cpu: Column, disk: Column) -> Column:
     return (memory <= 90) & (cpu <= 95) & (disk <= 95)
 
 
+def stage_ready(dependencies: Column, done: Column) -> Column:
+    """Whether all stages that a stage depends on are done (arrays of names)."""
+    return F.forall(dependencies, lambda d: F.array_contains(done, d))
+
+
+def stage_results_valid(results: Column, required: list[str]) -> Column:
+    """A map of results that has all required keys with values that aren't empty."""
+    keys = F.array(*[F.lit(k) for k in required]).cast("array<string>")
+    return F.forall(keys, lambda k: F.coalesce(F.length(F.try_element_at(results, k)) > 0, F.lit(False)))
+
+
+def providers_or_default(providers: Column, default: list[str]) -> Column:
+    """Distinct providers in order, or the default list when there are none."""
+    own = F.array_sort(F.array_distinct(F.coalesce(providers, F.array().cast("array<string>"))))
+    return F.when(F.size(own) > 0, own).otherwise(F.array(*[F.lit(x) for x in default]).cast("array<string>"))
+
+
+def look_up(name: Column, table: dict[str, str]) -> Column:
+    """The value of a name without regard to case; empty if unknown."""
+    out = F.when(F.lit(False), F.lit(""))
+    for k, v in table.items():
+        out = out.when(F.lower(name) == k.lower(), F.lit(v))
+    return out.otherwise("")
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent done; 0 when there is nothing to do."""
+    return F.when(total > 0, done * 100.0 / total).otherwise(0.0)
+
+
 def functions_valid(definitions: Column) -> Column:
     """A JSON array, not empty, of objects with a name."""
     parsed = F.from_json(definitions, "array<struct<name: string>>")
