@@ -66,7 +66,8 @@ def text_range(s: Column, start: int, length: int) -> Column:
 
 def html_to_text(page: Column) -> Column:
     """Text of a page: scripts, comments and tags go, common entities are written out."""
-    text = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style|title)\b.*?</\1\s*>", " ")
+    hidden = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "title"))
+    text = F.regexp_replace(page, f"(?is)<!--.*?-->|{hidden}", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))

@@ -236,7 +236,16 @@ def chunk_paragraph(spark, sf):
     return chunking.chunk_paragraphs(table(spark, sf, "documents"), chunking.ChunkConfig(512, 50, 50, "\n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, 'document of ' || source AS name, list_filter(regexp_split_to_array(
+  translate(regexp_replace(text, '[\s\p{Z}\x{85}\x{200B}]+', ' ', 'g'), chr(39), '"'), '[\n，；。,.]'), lambda x: x <> '') AS p FROM documents),
+r AS (SELECT doc_id, name, p, 0 AS i, '' AS over, []::VARCHAR[] AS done FROM d
+UNION ALL SELECT doc_id, name, p, i + 1, CASE WHEN n > 300 THEN substring(t, (n // 300) * 300 + 1) WHEN n > 200 AND n < 300 THEN '' ELSE t END,
+  CASE WHEN n > 300 THEN list_concat(done, list_transform(range(0, n // 300), lambda k: substring(t, k * 300 + 1, 300))) WHEN n > 200 AND n < 300 THEN list_append(done, t) ELSE done END
+  FROM (SELECT *, over || p[i + 1] AS t, length(over || p[i + 1]) AS n FROM r WHERE i < len(p))),
+f AS (SELECT doc_id, list_concat(CASE WHEN octet_length(encode(name)) > 14 THEN [name] ELSE []::VARCHAR[] END,
+  CASE WHEN length(over) > 200 OR len(done) = 0 THEN list_append(done, over) ELSE list_concat(done[1:len(done) - 1], [done[len(done)] || over]) END)[1:100] AS c FROM r WHERE i = len(p)),
+u AS (SELECT doc_id, unnest(range(1, len(c) + 1)) AS k, c FROM f)
+SELECT doc_id, (k - 1)::INT AS chunk_index, c[k] AS content FROM u WHERE c[k] <> ''""")
 def chunk_legacy(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("document of "), "source").alias("name"))
     return chunking.chunk_legacy(docs, name=F.col("name"))
@@ -601,7 +610,18 @@ def enum_map(spark, sf):
 # texts
 
 
-@query()
+def _replaced(column: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        column = f"replace({column}, '{a}', {b})"
+    return column
+
+
+_SIMPLE = r"regexp_replace(regexp_replace({0}, '^[\p{{Z}}\s\x{{85}}]+|[\p{{Z}}\s\x{{85}}]+$', '', 'g'), '[\p{{Z}}\s\x{{85}}]+', ' ', 'g')"
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_ENTITIES = [("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")]
+
+
+@query(f"SELECT page_id, {_SIMPLE.format(_replaced(_STRIPPED, *_ENTITIES))} AS text FROM pages")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))
 
