@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .workspace import fresh
+from .workspace import fresh, slices
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -153,7 +153,7 @@ def decontamination_report(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes: list[WindowIndex] = []
-        for batch in batches:
+        for batch in batches if len(blocks) > 1 else slices(batches):
             data = [x.as_py() or b"" for x in batch.column(batch.num_columns - 1)]
             words = [words_of(x) for x in data]
             hits = [np.zeros(len(w), bool) for w in words]

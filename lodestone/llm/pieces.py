@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .prefix_bpe import Memo, PrefixBpe
-from .workspace import fresh
+from .workspace import fresh, slices
 
 SPACE = "▁"
 #: Longer words are cut by no rule; the lattice has at most this many substrings a position.
@@ -98,26 +98,35 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """``docs`` with the array of piece ids of the whole text."""
+def _ids_array(rows: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([0 if r is None else len(r) for r in rows])))
+    values = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, "<i4")])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None, pass_columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``pass_columns``) with the array of piece ids of the whole
+    text and, if ``decoded_col`` is given, the text that these ids decode to."""
     ship(docs.sparkSession)
-    ids_col = fresh(docs.columns, ids_col)
+    passed = docs.columns if pass_columns is None else pass_columns
+    ids_col = fresh(passed, ids_col)
     text = fresh([*docs.columns, ids_col], "piece_text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    names = schema.names
+    fields = [*(f for f in docs.schema.fields if f.name in passed), T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    if decoded_col is not None:
+        fields.append(T.StructField(fresh([*passed, ids_col], decoded_col), T.StringType()))
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [None if (t := x.as_py()) is None else model.encode(t) for x in batch.column(batch.num_columns - 1)]
-            offsets = np.concatenate(([0], np.cumsum([0 if r is None else len(r) for r in rows])))
-            values = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, "<i4")])
-            ids = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_())
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names)
+            columns = [*batch.columns[:-1], _ids_array(rows)]
+            if decoded_col is not None:
+                columns.append(pa.array([None if r is None else model.decode(r.tolist()) for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("*", F.col(text_col).cast("string").alias(text)).mapInArrow(run, schema)
+    body = docs.select(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in passed], F.col(text_col).cast("string").alias(text))
+    return body.mapInArrow(run, T.StructType(fields))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
@@ -129,7 +138,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if (ids := x.as_py()) is None else model.decode(ids) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of a memo before it starts anew; bounds a worker's memory.
-MEMO = 400_000
+#: Entries of a memo before it starts anew, and pairs of tokens; both bound a worker's memory.
+MEMO, PAIRS = 250_000, 300_000
 
 
 class Memo(dict):
@@ -54,17 +54,15 @@ class PrefixBpe:
         """Empties what is remembered between words."""
         self.size = 0
         self.rows: dict[str, tuple[dict, dict]] = {}
-        self.root = self._state(0, "", 0)
+        self.barrier = self._follow("")
 
-    def _state(self, count: int, last: str, start: int) -> tuple:
-        """What is known of a prefix: states one symbol on, its count, its last
-        token and where that starts, and what may follow that token (inside and
-        at the end of a word)."""
+    def _follow(self, last: str) -> tuple[dict, dict]:
+        """Which tokens are known to follow a last token or not, inside and at the end of a word."""
         rows = self.rows.get(last)
         if rows is None:
+            self.size += 2
             rows = self.rows[last] = ({}, {}) if self.suffix else ({},) * 2
-        self.size += 1
-        return {}, count, last, start, rows[0], rows[1]
+        return rows
 
     def _made(self, token: str) -> tuple[float, str, str] | None:
         """Rank and halves of the merge that completes ``token``: rank -1 for one
@@ -117,12 +115,12 @@ class PrefixBpe:
 
     def _last(self, word: str, end: int, path: list[tuple], closed: bool) -> int:
         """Start of the last token of ``word[:end]``; -1 if its last symbol is outside the vocabulary."""
-        tokens, row_at = (self.closing, 5) if closed else (self.inner, 4)
+        tokens, side = (self.closing, 1) if closed else (self.inner, 0)
         for start in range(end - 1, end - self.longest - 1 if end > self.longest else -1, -1):
             token = word[start:end]
             if token in tokens:
                 state = path[start]
-                row = state[row_at]
+                row = state[3][side]
                 fits = row.get(token)
                 if fits is None:
                     fits = row[token] = self._fits(state[2], tokens[token])
@@ -132,33 +130,26 @@ class PrefixBpe:
         return -1
 
     def table(self, word: str) -> list[tuple]:
-        """The states of all prefixes of ``word``, the empty one first, none of
-        them taken as the end of a word.  A symbol outside the vocabulary is a
-        token of its own that nothing merges with.
-
-        Words share the states of common prefixes.
-        """
-        if self.size > MEMO:
+        """For all prefixes of ``word``, the empty one first, none of them taken as
+        the end of a word: their count, the start of their last token, that token,
+        and what may follow it.  A symbol outside the vocabulary is a token of its
+        own that nothing merges with."""
+        if self.size > PAIRS:
             self._start()
-        state = self.root
-        path = [state]
-        for end, symbol in enumerate(word, 1):
-            known = state[0]
-            state = known.get(symbol)
-            if state is None:
-                start = self._last(word, end, path, False)
-                if start < 0:
-                    state = self._state(path[end - 1][1] + 1, "", end - 1)
-                else:
-                    state = self._state(path[start][1] + 1, word[start:end], start)
-                known[symbol] = state
-            path.append(state)
+        path: list[tuple] = [(0, 0, "", self.barrier)]
+        for end in range(1, len(word) + 1):
+            start = self._last(word, end, path, False)
+            if start < 0:
+                path.append((path[end - 1][0] + 1, end - 1, "", self.barrier))
+            else:
+                token = word[start:end]
+                path.append((path[start][0] + 1, start, token, self._follow(token)))
         return path
 
     def _closed(self, word: str, end: int, path: list[tuple]) -> int:
         """Start of the last token of ``word[:end]`` taken as a word of its own."""
         if not self.suffix:
-            return path[end][3]
+            return path[end][1]
         start = self._last(word, end, path, True)
         return end - 1 if start < 0 else start
 
@@ -171,7 +162,7 @@ class PrefixBpe:
         start = self._closed(word, end, path)
         spans = [(start, end)]
         while start > 0:
-            start, end = path[start][3], start
+            start, end = path[start][1], start
             spans.append((start, end))
         return spans[::-1]
 
@@ -180,9 +171,9 @@ class PrefixBpe:
         if not word:
             return 0
         path = self.table(word[:-1] if self.suffix else word)
-        return path[self._closed(word, len(word), path)][1] + 1
+        return path[self._closed(word, len(word), path)][0] + 1
 
     def prefix_counts(self, word: str) -> list[int]:
         """Tokens of ``word[:k]`` taken as a word of its own, for every k."""
         path = self.table(word)
-        return [0, *(path[self._closed(word, k, path)][1] + 1 for k in range(1, len(word) + 1))]
+        return [0, *(path[self._closed(word, k, path)][0] + 1 for k in range(1, len(word) + 1))]

@@ -122,7 +122,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, model), model)
+    out = pieces.encode(docs, model, decoded_col="decoded")
     return out.select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import connected_components
-from .workspace import Workspace
+from .workspace import Workspace, slices
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .prefix_bpe import Memo, PrefixBpe
-from .workspace import fresh
+from .workspace import fresh, slices
 
 
 def _byte_alphabet() -> list[str]:
@@ -139,7 +139,7 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens, ends, counts = [], [], [], []
             for x in batch.column(1):
                 data = x.as_py()
@@ -164,7 +164,7 @@ def truncate(docs: DataFrame, tokenizer_path: str, budget: int, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             cut = [None if (d := x.as_py()) is None else d[: own.within(*own.prefix_table(d), budget)].decode("utf-8", "replace") for x in batch.column(batch.num_columns - 1)]
             columns = [pa.array(cut, pa.string()) if c == text_col else batch.column(k) for k, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)

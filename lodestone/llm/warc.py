@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .workspace import Workspace
+from .workspace import Workspace, slices
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
@@ -213,7 +213,7 @@ def write_bundles(
                 [pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary()), pa.array([w.index], _ARROW_INDEX)], ["bundle_id", "data", "index"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, urls, payloads, digests, lows = (batch.column(k) for k in range(5))
             for k in range(batch.num_rows):
                 i, low = ids[k].as_py(), lows[k].as_py()
