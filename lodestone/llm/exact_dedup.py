@@ -146,11 +146,15 @@ def identities(
     return out.select("rid", "doc_id", F.col("sha").alias("text_sha256"), "rounds", "name")
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = 4096, **options) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = 4096, workspace: Workspace | None = None, **options
+) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, rounds, name; a row per row of ``docs``."""
-    rows = identities(docs, text_col, id_col, block_bytes, **options)
-    groups = rows.groupBy("rounds", "name").agg(
-        F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
+    ws = workspace or Workspace(docs.sparkSession, "exact-dedup")
+    rows = identities(docs, text_col, id_col, block_bytes, workspace=ws, **options)
+    # Written, so that the join is fed by plain exchanges: a large group's side can be split.
+    groups = ws.save(
+        rows.groupBy("rounds", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups"
     )
     return rows.join(groups, ["rounds", "name"]).select(
         "doc_id",
