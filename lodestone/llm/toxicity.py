@@ -5,12 +5,14 @@ document's features and the probabilities of the categories before it.  A later
 model is trained with out-of-fold predictions of the earlier ones, so that it
 learns from probabilities as good as those it will meet.
 
-Features are the presence of words and of their character 4-grams.  Training
-reads a bounded sample of labelled rows: at most ``max_positive`` and
-``max_negative`` of them, those with the least hashes of their ids.  The
-``max_features`` features with the largest chi-square over the sample are kept;
-their counts are summed by Spark, and only the kept features of sampled rows
-reach the driver, which fits the models by accelerated gradient steps.  Scoring
+Features are words, their beginnings of four to eight characters and their
+character 4-grams, each worth ``log2(1 + occurrences)``.  Training reads a bounded
+sample of labelled rows: at most ``max_positive`` and ``max_negative`` of them,
+those with the least hashes of their ids.  The ``max_features`` features whose
+means over the sample's two kinds of rows lie farthest apart, in units of their
+deviation, are kept; Spark sums their moments, and only the kept features of
+sampled rows reach the driver, which fits the models by accelerated gradient
+steps.  Scoring
 is one narrow pass over the whole texts.
 
 Defined results: null text counts as empty; an empty text gets the intercepts'
@@ -20,6 +22,7 @@ its smoothed frequency.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .prefix_bpe import Memo
-from .workspace import Workspace, fresh
+from .workspace import Workspace, fresh, slices
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 2_000, 4_000, 1_024
 FOLDS, THRESHOLD = 4, 0.5
@@ -41,24 +44,33 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[str]:
-    """The word in angle brackets and its character 4-grams."""
-    return [f"<{word}>", *{word[k : k + 4] for k in range(len(word) - 3)}]
+    """The word in angle brackets, its beginnings and its character 4-grams."""
+    return [f"<{word}>", *(f"<{word[:n]}" for n in range(4, min(len(word), 8) + 1)), *{word[k : k + 4] for k in range(len(word) - 3)}]
 
 
-def text_features(text: str) -> set[str]:
-    return {f for w in set(_WORD.findall(text.lower())) for f in word_features(w)}
+def text_features(text: str) -> Counter:
+    """How often each feature occurs."""
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for f in word_features(word):
+            out[f] += n
+    return out
+
+
+#: A row: indexes of features, and their values.
+Sparse = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
 class Linear:
-    """A logistic model over sparse binary features and dense extra columns."""
+    """A logistic model over sparse features and dense extra columns."""
 
     weights: np.ndarray
     extra: np.ndarray
     bias: float
 
-    def margin(self, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-        sums = np.array([self.weights[r].sum() for r in rows])
+    def margin(self, rows: list[Sparse], extra: np.ndarray) -> np.ndarray:
+        sums = np.array([self.weights[i] @ x for i, x in rows])
         return sums + extra @ self.extra + self.bias
 
 
@@ -66,20 +78,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 120, rate: float = 0.1) -> Linear:
+def fit_linear(rows: list[Sparse], extra: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 120, rate: float = 0.1) -> Linear:
     """Full-batch Adam; deterministic."""
     n = len(y)
     if n == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (n + 2)
         return Linear(np.zeros(size), np.zeros(extra.shape[1]), float(np.log(share / (1 - share))))
-    at = np.concatenate([np.full(len(r), k) for k, r in enumerate(rows)]).astype(np.int64)
-    what = np.concatenate(rows).astype(np.int64)
+    at = np.concatenate([np.full(len(i), k) for k, (i, _) in enumerate(rows)]).astype(np.int64)
+    what, worth = (np.concatenate([r[k] for r in rows]) for k in range(2))
     p = np.zeros(size + extra.shape[1] + 1)
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        margin = np.bincount(at, p[what], n) + extra @ p[size:-1] + p[-1]
+        margin = np.bincount(at, p[what] * worth, n) + extra @ p[size:-1] + p[-1]
         error = (_sigmoid(margin) - y) / n
-        gradient = np.concatenate([np.bincount(what, error[at], size), extra.T @ error, [error.sum()]])
+        gradient = np.concatenate([np.bincount(what, error[at] * worth, size), extra.T @ error, [error.sum()]])
         gradient[:-1] += l2 * p[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
@@ -99,7 +111,7 @@ class ChainModel:
         self.index = {f: k for k, f in enumerate(self.features)}
 
     @classmethod
-    def fit(cls, categories: list[str], features: list[str], rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> ChainModel:
+    def fit(cls, categories: list[str], features: list[str], rows: list[Sparse], labels: np.ndarray, folds: np.ndarray) -> ChainModel:
         chain = cls(categories, features)
         earlier = np.zeros((len(rows), 0))
         for k in range(len(categories)):
@@ -113,35 +125,41 @@ class ChainModel:
             earlier = np.column_stack([earlier, out_of_fold])
         return chain
 
-    def rows_of(self, texts: list[str], memo: Memo) -> list[np.ndarray]:
+    def rows_of(self, texts: list[str], memo: Memo) -> list[Sparse]:
         """The kept features of each whole text."""
         index, out = self.index, []
         for text in texts:
-            words = list(set(_WORD.findall(text.lower())))
-            found = list(map(memo.get, words))
-            for k, (w, known) in enumerate(zip(words, found, strict=True)):
+            counts: dict[int, int] = {}
+            for word, n in Counter(_WORD.findall(text.lower())).items():
+                known = memo.get(word)
                 if known is None:
-                    found[k] = tuple(index[f] for f in word_features(w) if f in index)
-                    memo.put(w, found[k])
-            out.append(np.array(sorted({i for f in found if f for i in f}), np.int64))
+                    known = tuple(index[f] for f in word_features(word) if f in index)
+                    memo.put(word, known)
+                for f in known:
+                    counts[f] = counts.get(f, 0) + n
+            ids = np.array(sorted(counts), np.int64)
+            out.append((ids, np.log2(1.0 + np.array([counts[i] for i in ids.tolist()], float))))
         return out
 
-    def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
+    def probabilities(self, rows: list[Sparse]) -> np.ndarray:
         earlier = np.zeros((len(rows), 0))
         for model in self.models:
             earlier = np.column_stack([earlier, _sigmoid(model.margin(rows, earlier))])
         return earlier
 
 
-def _arrow_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+def _arrow_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, rows, sums of values in positive and negative rows, sum of squares."""
+    for batch in slices(batches):
+        moments: dict[str, list[float]] = {}
         for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[positive].update(text_features(text))
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (counts[1], counts[0]))], ["feature", "positive", "negative"]
-        )
+            for f, n in text_features(text).items():
+                own, x = moments.setdefault(f, [0.0] * 4), math.log2(1 + n)
+                own[0] += 1
+                own[1 if positive else 2] += x
+                own[3] += x * x
+        values = [pa.array([m[k] for m in moments.values()], pa.float64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.string()), *values], ["feature", "n", "a", "b", "q"])
 
 
 def train(
@@ -160,8 +178,16 @@ def train(
     in sampling; ``categories`` are boolean columns over docs joined with labels."""
     ws = workspace or Workspace(ship(docs.sparkSession), "toxicity")
     marked = labels.where(F.col(id_col).isNotNull()).select("*", F.coalesce(target.cast("boolean"), F.lit(False)).alias("_positive")).dropDuplicates([id_col])
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    picked = marked.where("_positive").orderBy(*order).limit(max_positive).unionByName(marked.where("NOT _positive").orderBy(*order).limit(max_negative))
+    # Only hashes that some four times as many rows as needed pass are ranked.
+    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    sizes = dict(map(tuple, marked.groupBy("_positive").count().collect()))
+
+    def least(positive: bool, most: int) -> DataFrame:
+        share = min(1.0, 4 * most / max(1, sizes.get(positive, 0)))
+        return marked.where((F.col("_positive") == positive) & (h <= int((1 << 40) * share))).orderBy(h, id_col).limit(most)
+
+    picked = least(True, max_positive).unionByName(least(False, max_negative))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == id_col or c not in labels.columns])
     # At most max_positive + max_negative small rows.
     joined = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), id_col)
     sample = ws.save(
@@ -176,26 +202,28 @@ def train(
     )
     totals = sample.agg(F.count("*"), F.sum("positive")).first()
     n, n_positive = totals[0], totals[1] or 0
-    counts = sample.select("text", "positive").mapInArrow(_arrow_counts, "feature string, positive long, negative long")
-    counts = counts.groupBy("feature").agg(F.sum("positive").alias("a"), F.sum("negative").alias("b")).where("a + b >= 3")
+    moments = sample.select("text", "positive").mapInArrow(_arrow_moments, "feature string, n double, a double, b double, q double")
+    moments = moments.groupBy("feature").agg(*[F.sum(c).alias(c) for c in "nabq"]).where("n >= 3")
     gap = F.col("a") / F.lit(max(n_positive, 1)) - F.col("b") / F.lit(max(n - n_positive, 1))
-    share = (F.col("a") + F.col("b") + 1) / F.lit(n + 2)
-    best = counts.select("feature", (gap * gap / (share * (1 - share))).alias("score")).orderBy(F.desc("score"), "feature").limit(max_features)
+    mean = (F.col("a") + F.col("b")) / F.lit(max(n, 1))
+    spread = F.col("q") / F.lit(max(n, 1)) - mean * mean + F.lit(1.0 / (n + 1))
+    best = moments.select("feature", F.round(gap * gap / spread, 9).alias("score")).orderBy(F.desc("score"), "feature").limit(max_features)
     features = sorted(r.feature for r in best.collect())
 
     names = list(categories)
-    columns = ["ids", "fold", "key", *(f"c{k}" for k in range(len(names)))]
+    columns = ["ids", "worth", "fold", "key", *(f"c{k}" for k in range(len(names)))]
     empty = ChainModel(names, features)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        for batch in batches:
+        for batch in slices(batches):
             rows = empty.rows_of(batch.column(0).to_pylist(), memo)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), *batch.columns[1:]], columns)
+            ids, worth = (pa.array([r[k].tolist() for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float64())))
+            yield pa.RecordBatch.from_arrays([ids, worth, *batch.columns[1:]], columns)
 
-    indexed = sample.select("text", *columns[1:]).mapInArrow(index, f"ids array<int>, fold int, key long, {', '.join(f'c{k} int' for k in range(len(names)))}")
+    indexed = sample.select("text", *columns[2:]).mapInArrow(index, f"ids array<int>, worth array<double>, fold int, key long, {', '.join(f'c{k} int' for k in range(len(names)))}")
     data = sorted(indexed.collect(), key=lambda r: (r.key, r.ids))
-    rows = [np.array(r.ids, np.int64) for r in data]
+    rows = [(np.array(r.ids, np.int64), np.array(r.worth, float)) for r in data]
     truth = np.array([[r[f"c{k}"] for k in range(len(names))] for r in data]).reshape(len(data), len(names))
     return ChainModel.fit(names, features, rows, truth, np.array([r.fold for r in data]))
 
@@ -212,7 +240,7 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", out_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, memo = shared.value, Memo()
-        for batch in batches:
+        for batch in slices(batches):
             p = chain.probabilities(chain.rows_of(batch.column(batch.num_columns - 1).to_pylist(), memo))
             out = pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(p.shape[1])], names=chain.categories)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names)
