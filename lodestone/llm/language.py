@@ -28,12 +28,12 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .prefix_bpe import Memo
-from .workspace import Workspace
+from .workspace import Workspace, slices
 
 SAMPLE_PER_LANGUAGE, TRIGRAMS, MAX_LANGUAGES = 400, 4_000, 64
 #: Trigrams count as this many independent observations at most.
@@ -101,7 +101,7 @@ class TrigramModel:
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 4096, 32 << 20):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = counts.setdefault(lang, Counter())
@@ -113,16 +113,23 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, trigrams: int = TRIGRAMS) -> TrigramModel:
-    """Counts over the ``per_language`` documents of each language with the least hashes."""
+    """Counts over the ``per_language`` documents of each language with the least hashes.
+
+    Of a language with many documents only hashes below a bound that some four
+    times as many are expected to pass are ranked, so that ranking stays small
+    however many tasks read the table.
+    """
     ship(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    parts = [rows.where(F.col("lang") == x).orderBy("h", "text").limit(per_language).select("lang", "text") for x in languages]
-    if not parts:
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    languages = sorted(sizes)
+    if not languages:
         return TrigramModel([], {}, [])
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
+    below = F.lit(False)
+    for x in languages:
+        below = below | ((F.col("lang") == x) & (F.col("h") <= int((1 << 40) * min(1.0, 4 * per_language / sizes[x]))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = rows.where(below).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
     counts = sample.mapInArrow(_count_trigrams, "lang string, gram string, n long").groupBy("gram").pivot("lang", languages).agg(F.sum("n"))
     totals = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
     best = counts.select("gram", F.array(*totals).alias("n")).orderBy(F.desc(sum(totals)), "gram").limit(trigrams).collect()
@@ -152,7 +159,7 @@ def identify(pages: DataFrame, model: TrigramModel, id_col: str = "page_id", url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TrigramModel.__new__(TrigramModel)
         (own.languages, own.known, own.rare), own.memo = shared.value, Memo()
-        for batch in batches:
+        for batch in slices(batches):
             logs, declared, parts = [], [], []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 logs.append(own.likelihood(text_of(page)).tolist())
