@@ -139,20 +139,60 @@ class InvertedIndex:
         return merge_segments(scored, k)
 
 
-def lsh_candidates(vectors: DataFrame, tables: int = 8, bits: int = 8, seed: int = 7) -> DataFrame:
-    """vec_id, table, bucket: signs of projections on rule-made directions."""
+def _directions(d: int, tables: int, bits: int, seed: int) -> list[list[list[float]]]:
     import random
 
     rng = random.Random(seed)
-    d = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
-    directions = [[[rng.gauss(0, 1) for _ in range(d)] for _ in range(bits)] for _ in range(tables)]
+    return [[[rng.gauss(0, 1) for _ in range(d)] for _ in range(bits)] for _ in range(tables)]
+
+
+def _dimension(vectors: DataFrame) -> int:
+    return vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+
+
+def lsh_candidates(vectors: DataFrame, tables: int = 8, bits: int = 8, seed: int = 7) -> DataFrame:
+    """vec_id, table, bucket: signs of projections on rule-made directions."""
     hashed = [
         F.struct(F.lit(t).alias("table"), F.concat(*[F.when(V.dot(F.col("embedding"), F.array(*[F.lit(x) for x in w])) >= 0, "1").otherwise("0") for w in planes]).alias("bucket"))
-        for t, planes in enumerate(directions)
+        for t, planes in enumerate(_directions(_dimension(vectors), tables, bits, seed))
     ]
     return vectors.select("vec_id", "embedding", F.explode(F.array(*hashed)).alias("h")).select("vec_id", "embedding", "h.table", "h.bucket")
 
 
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, bits: int = 8, flips: int = 2, seed: int = 7) -> DataFrame:
+    """query_id, vec_id, score, rank: nearest by cosine among the vectors that share a
+    bucket with the query, or a bucket whose signs differ in at most ``flips`` places.
+
+    The queries' side is a directory from each bucket to the queries that probe it; it
+    goes to every task, so no candidate is a row before it is scored, nor twice.
+    """
+    # The directions are one row beside the vectors: as literals they would be thousands of expressions.
+    planes = F.broadcast(vectors.sparkSession.createDataFrame([(_directions(_dimension(vectors), tables, bits, seed),)], "planes array<array<array<double>>>"))
+
+    def coded(rows: DataFrame, key: str) -> DataFrame:
+        """Each vector as a unit vector with its bucket in each table, as a number."""
+        sign = lambda w: F.when(V.dot(F.col("embedding"), w) >= 0, 1).otherwise(0)
+        code = lambda ws, t: F.aggregate(ws, F.lit(0), lambda n, w: n * 2 + sign(w)) + t * (1 << bits)
+        return rows.join(planes).select(key, V.normalise(F.col("embedding")).alias("unit"), F.transform("planes", code).alias("codes"))
+
+    masks = F.array(*[F.lit(m) for m in range(1 << bits) if m.bit_count() <= flips])
+    empty = vectors.sparkSession.range(tables << bits).select(F.col("id").cast("int").alias("cell"))
+    found = []
+    for part in blocks(queries):
+        asked = coded(part, "query_id").withColumnRenamed("unit", "query")
+        held = asked.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "query", "codes"))).alias("held"))
+        probes = held.select(F.posexplode("held").alias("at", "q")).select("at", F.explode("q.codes").alias("code")).select("at", F.explode(F.transform(masks, lambda m: F.col("code").bitwiseXOR(m))).alias("cell"))
+        cells = empty.join(probes.groupBy("cell").agg(F.collect_list("at").alias("at")), "cell", "left").select("cell", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
+        directory = cells.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "at"))), lambda c: c["at"]).alias("directory"))
+        left = coded(vectors, "vec_id")
+        held = held.select(F.transform("held", lambda q: F.struct(q["query_id"].alias("query_id"), q["query"].alias("query"))).alias("held"))
+        beside = left.join(F.broadcast(directory)).join(F.broadcast(held))
+        near = beside.select("vec_id", "unit", "held", F.explode(F.array_distinct(F.flatten(F.transform("codes", lambda c: F.get("directory", c))))).alias("at"))
+        near = near.select("vec_id", "unit", F.get("held", F.col("at")).alias("q"))
+        found.append(near.select("q.query_id", "vec_id", F.round(V.dot(F.col("unit"), F.col("q.query")), 6).alias("score")))
+    return merge_segments(reduce(DataFrame.unionByName, found), k)
+
+
 def read_segments(spark: SparkSession, path: str, segments: list[int] | None = None) -> DataFrame:
     """Vectors of a dataset partitioned by ``index_id``; other segments are not read."""
     rows = spark.read.parquet(path)

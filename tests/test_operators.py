@@ -75,6 +75,19 @@ def test_recall_of_cells(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_recall_of_buckets(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id): r.score for r in X.top_k(vectors, asked, 10).collect()}
+    got = registry.QUERIES["ann_lsh"](spark, SF).collect()
+    found = {(r.query_id, r.vec_id): r.score for r in got}
+    assert len(found) == len(got) == 10 * asked.count()
+    assert len(exact.keys() & found.keys()) / len(exact) >= 0.9
+    assert all(abs(exact[p] - found[p]) < 1e-6 for p in exact.keys() & found.keys())
+    same = X.lsh_search(vectors, asked, 10, flips=0).where("query_id = vec_id AND rank = 1").count()
+    assert same == asked.count()
+
+
 def test_query_blocks_give_the_same(spark, monkeypatch):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     asked = vectors.where("vec_id < 12").withColumnRenamed("vec_id", "query_id")
