@@ -8,8 +8,13 @@ them made by rule, against each other and statements of other kinds.  The margin
 held-out half of the variations set a slope and a threshold (Platt scaling), and
 a paragraph in which no class is at least ``MIN_PROBABILITY`` likely is no licence
 statement.  One of the classes is "unknown", licence statements that name no
-family.  A prediction is confirmed if at least ``MIN_OVERLAP`` of the words
-of one of the family's templates occur in the paragraph.
+family, or one that has no class.  A prediction is confirmed if at least
+``MIN_OVERLAP`` of the words of one of the family's templates occur in the
+paragraph and the family's version does too (``VERSIONS``).  A paragraph that says
+another version only, or holds a word of a related family (``RELATED``), is "unknown".
+
+A line of several sentences is judged sentence by sentence, so it can hold more
+than one statement; all of them carry the line's number.
 
 On the data path everything is a narrow projection of the scan: no shuffle, no
 join, no Python.
@@ -52,6 +57,8 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3 of the License.",
         "Released under the GNU GPL version 3.",
+        "Released under GPLv3.",
+        "Licensed under the GPL 3.0.",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0.",
@@ -84,8 +91,36 @@ UNNAMED = [
     "This work is licensed to the buyer only.",
     "License version unknown.",
     "Copyright notices must stay, redistribution is not permitted.",
+    "Licensed under the GNU Lesser General Public License, version 3.",
+    "Released under the LGPL version 2.1.",
+    "Licensed under the GNU Affero General Public License, version 3.",
+    "Released under the AGPL 3.0.",
+    "Released under the ISC License.",
+    "Permission is granted under the terms of the ISC license.",
+    "Released into the public domain under the Unlicense.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-SA 4.0.",
 ]
 
+#: A statement of the family says one of these.
+VERSIONS = {
+    "apache-2.0": ["2"],
+    "gpl-3.0": ["3"],
+    "cc-by-nc-4.0": ["4"],
+    "cc-by-4.0": ["4"],
+    "bsd-3-clause": ["3", "three"],
+    "mpl-2.0": ["2"],
+}
+#: Words for versions.
+NUMBERS = "1 2 3 4 two three four".split()
+_VARIANTS = "sa sharealike alike nd noderivatives noderivs".split()
+#: Words that make a statement one of another family.
+RELATED = {
+    "gpl-3.0": "lesser affero lgpl agpl".split(),
+    "cc-by-4.0": [*_VARIANTS, "nc", "noncommercial", "non"],
+    "cc-by-nc-4.0": _VARIANTS,
+}
+
 #: Statements with anchor words that are no licence statements.
 OTHERS = [
     "You need a license to drive a car.",
@@ -99,8 +134,13 @@ OTHERS = [
 ]
 
 
+_SENTENCE = r"(?<=[.!?])\s+(?=\p{Lu})"
+#: GPLv3, LGPL3 and v2 are a name, if any, and a number.
+_NUMBERED = r"(?<![a-z0-9])([al]?gpl|(?=v))v?([0-9])(?![0-9])"
+
+
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower().replace("licenc", "licens"))
+    return re.findall(r"[a-z0-9]+", re.sub(_NUMBERED, r"\1 \2", text.lower().replace("licenc", "licens")))
 
 
 def grams_of(words: list[str]) -> set[str]:
@@ -174,7 +214,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, text_col:
     family (or "unknown"), probability, confirmed."""
     model = model or train()
     n = len(model.families)
-    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS)) + r")(?![a-z0-9])"
+    pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS)) + r"|[al]?gplv?[0-9])(?![a-z0-9])"
 
     def grams(words: Column) -> Column:
         def of(width: int) -> Column:
@@ -189,7 +229,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, text_col:
     weight_of = [F.map_from_arrays(_strings(model.features), _doubles(model.weights[k])) for k in range(n)]
 
     def read(line: Column) -> Column:
-        return F.struct(line["at"].alias("at"), F.regexp_extract_all(F.replace(F.lower(line["text"]), F.lit("licenc"), F.lit("licens")), F.lit("([a-z0-9]+)")).alias("words"))
+        return F.struct(line["at"].alias("at"), F.regexp_extract_all(F.regexp_replace(F.replace(F.lower(line["text"]), F.lit("licenc"), F.lit("licens")), _NUMBERED, "$1 $2"), F.lit("([a-z0-9]+)")).alias("words"))
 
     def seen(line: Column) -> Column:
         return F.struct(line["at"].alias("at"), line["words"].alias("words"), F.array_intersect(grams(line["words"]), _strings(model.features)).alias("present"))
@@ -208,21 +248,30 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, text_col:
         *[F.array(*[_strings(sorted(set(words_of(t)))) for t in templates.get(f, [])]).cast("array<array<string>>") for f in model.families]
     )
 
+    none = F.array().cast("array<string>")
+    version_words, related_words = (F.array(*[_strings(table[f]) if f in table else none for f in model.families]) for table in (VERSIONS, RELATED))
+
     def matched(line: Column) -> Column:
         own = F.exists(
             F.element_at(word_sets, line["best"]["k"] + 1), lambda t: F.size(F.array_intersect(t, line["words"])) >= F.lit(MIN_OVERLAP) * F.size(t)
         )
+        said = lambda words: F.arrays_overlap(line["words"], words)
+        of_family = lambda lists: F.element_at(lists, line["best"]["k"] + 1)
+        right = (F.size(of_family(version_words)) == 0) | said(of_family(version_words))
+        other = said(of_family(related_words)) | (~right & said(_strings(NUMBERS)))
         return F.struct(
             line["at"].alias("paragraph"),
-            F.element_at(_strings(model.families), line["best"]["k"] + 1).alias("family"),
+            F.when(other, UNKNOWN).otherwise(of_family(_strings(model.families))).alias("family"),
             line["best"]["p"].alias("probability"),
-            own.alias("confirmed"),
+            (own & right & ~other).alias("confirmed"),
         )
 
     text = F.col(text_col).cast("string")
     lines = F.filter(
         F.transform(F.split(text, "\n"), lambda line, k: F.struct(k.alias("at"), line.alias("text"))), lambda x: F.regexp_like(x["text"], F.lit(pattern))
     )
+    sentences = lambda x: F.transform(F.split(x["text"], _SENTENCE), lambda t: F.struct(x["at"].alias("at"), t.alias("text")))
+    lines = F.filter(F.flatten(F.transform(lines, sentences)), lambda x: F.regexp_like(x["text"], F.lit(pattern)))
     candidates = F.when(F.regexp_like(text, F.lit(pattern)), lines)
     empty = F.array().cast("array<struct<paragraph: int, family: string, probability: double, confirmed: boolean>>")
     # One step each, so that every step reads what the one before it made.

@@ -255,6 +255,27 @@ def test_license_accuracy(spark):
         assert all(abs(x.probability - p.max()) < 1e-9 for x in got[k])
 
 
+def test_license_relatives(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 2.": [("unknown", False)],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [("unknown", False)],
+        "Released under the GNU AGPLv3.": [("unknown", False)],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": [("unknown", False)],
+        "Licensed under CC BY-SA 4.0.": [("unknown", False)],
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": [("unknown", False)],
+        "Released under the ISC License.": [("unknown", False)],
+        "Released under the Unlicense.": [("unknown", False)],
+        "Released under GPLv3.": [("gpl-3.0", True)],
+        "Released under GPLv2.": [("unknown", False)],
+        "Code is released under the MIT License. The text is licensed under CC BY 4.0.": [("mit", True), ("cc-by-4.0", True)],
+    }
+    templates = [(t, [(f, True)]) for f, own in licenses.TEMPLATES.items() for t in own]
+    cases = [*lines.items(), *templates]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, *[t for t, _ in cases])).collect()}
+    wrong = [(text, got[k]) for k, (text, want) in enumerate(cases) if [(x.family, x.confirmed) for x in got[k]] != want]
+    assert not wrong and all(x.paragraph == 0 for found in got.values() for x in found)
+
+
 def test_license_edges(spark, odd, none):
     got = licenses.scan_licenses(odd)
     assert got.count() == odd.count() and all(r.licenses == [] for r in got.collect()) and licenses.scan_licenses(none).count() == 0
