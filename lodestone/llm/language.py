@@ -35,12 +35,13 @@ from ..shipping import ship
 from .prefix_bpe import Memo
 from .workspace import Workspace, slices
 
-SAMPLE_PER_LANGUAGE, TRIGRAMS, MAX_LANGUAGES = 400, 4_000, 64
+#: Defaults of the bounds that ``train`` takes for each language.
+SAMPLE_PER_LANGUAGE, TRIGRAMS = 400, 4_000
 #: Trigrams count as this many independent observations at most.
 TEMPER = 40.0
 SMOOTHING = 5.0
 
-_SKIP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|nav|title)\b.*?</\1\s*>")
+_SKIP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
 _TAG = re.compile(r"(?s)<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})")
@@ -115,26 +116,36 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, trigrams: int = TRIGRAMS) -> TrigramModel:
     """Counts over the ``per_language`` documents of each language with the least hashes.
 
+    Every labelled language is a class.  Each brings its ``trigrams`` most frequent
+    ones; a kept trigram is counted in all languages, and a language's total covers
+    all its trigrams, kept or not.
+
     Of a language with many documents only hashes below a bound that some four
     times as many are expected to pass are ranked, so that ranking stays small
     however many tasks read the table.
     """
     ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    bound = F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = rows.join(F.broadcast(sizes), "lang").where(F.col("h") <= bound).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
+    ws = Workspace(docs.sparkSession, "trigrams")
+    counts = ws.save(sample.mapInArrow(_count_trigrams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
     if not languages:
         return TrigramModel([], {}, [])
-    below = F.lit(False)
-    for x in languages:
-        below = below | ((F.col("lang") == x) & (F.col("h") <= int((1 << 40) * min(1.0, 4 * per_language / sizes[x]))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.where(below).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
-    counts = sample.mapInArrow(_count_trigrams, "lang string, gram string, n long").groupBy("gram").pivot("lang", languages).agg(F.sum("n"))
-    totals = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
-    best = counts.select("gram", F.array(*totals).alias("n")).orderBy(F.desc(sum(totals)), "gram").limit(trigrams).collect()
-    table = {r.gram: [float(x) for x in r.n] for r in best}
-    return TrigramModel(languages, table, list(np.array(list(table.values())).sum(0)) if table else [0.0] * len(languages))
+    at = {x: k for k, x in enumerate(languages)}
+    totals = [0.0] * len(languages)
+    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        totals[at[r.lang]] = float(r.n)
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept = counts.withColumn("top", top).where(F.col("top") <= trigrams).select("gram").distinct()
+    table: dict[str, list[float]] = {}
+    for r in counts.join(kept, "gram", "left_semi").collect():
+        table.setdefault(r.gram, [0.0] * len(languages))[at[r.lang]] = float(r.n)
+    ws.drop(counts)
+    return TrigramModel(languages, table, totals)
 
 
 def _softmax(logs: Column) -> Column:

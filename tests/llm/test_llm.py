@@ -468,6 +468,19 @@ def test_language_held_out(spark):
     assert right / len(rows) > 0.97
 
 
+def test_every_language_is_trained(spark):
+    rng = random.Random(3)
+    names = [f"l{k:02d}" for k in range(70)]
+    # Each language has letters of its own; the last ones have the fewest documents.
+    texts = {x: ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(60)) for _ in range(1 if k > 64 else 3)] for k, x in enumerate(names)}
+    rows = [(x, t) for x, own in texts.items() for t in own]
+    table = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.train(table, trigrams=50)
+    assert model.languages == names
+    assert all(model.languages[int(model.likelihood(own[0]).argmax())] == x for x, own in texts.items())
+    assert language.text_of("<title>one</title><nav>two</nav><noscript>three</noscript><script>no</script>").split() == ["one", "two", "three"]
+
+
 def test_language_evidence(spark, none):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(d)
