@@ -46,3 +46,9 @@ def valid(v: Column, dimension: int | None = None, largest: int = 4096) -> Colum
     """Not empty, not longer than ``largest``, and of ``dimension`` if given."""
     size = F.coalesce(F.size(v), F.lit(0))
     return (size > 0) & (size <= largest) & ((size == dimension) if dimension else F.lit(True))
+
+
+def distance(a: Column, b: Column, metric: str = "l2") -> Column:
+    """Smaller is nearer in every metric; vectors of unequal length are float's largest value apart."""
+    value = {"l2": lambda: F.sqrt(squared_distance(a, b)), "inner_product": lambda: -dot(a, b), "cosine": lambda: 1 - dot(a, b)}[metric]()
+    return F.when(F.size(a) != F.size(b), F.lit(3.4028234663852886e38)).otherwise(value)

@@ -146,3 +146,10 @@ def test_throttle():
     assert run([(True, 200)] * 10, start=10)[-1] == 11
     quick = Throttle(concurrency=10)
     assert quick.feed(0, False, 429) == 8 and quick.feed(1000, False, 429) == 8 and quick.feed(5000, False, 429) == 6
+
+
+@pytest.mark.parametrize("metric,want", [("l2", 5.0), ("inner_product", -11.0), ("cosine", -10.0)])
+def test_pairwise_distance_metrics(spark, metric, want):
+    vector = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    assert one(spark, V.distance(vector(1, 2), vector(5, 5) if metric == "l2" else vector(3, 4), metric)) == want
+    assert one(spark, V.distance(vector(1, 2), vector(1), metric)) == 3.4028234663852886e38
