@@ -85,6 +85,36 @@ class PrefixBpe:
             self.made[token] = last
             return last
 
+    def merges(self, token: str) -> list[tuple[float, int]] | None:
+        """Rank and offset of every merge that makes ``token`` (no suffix on it); None
+        if merging doesn't make it, or a part of it ranks after the whole."""
+        out, parts = [], [(token, 0)]
+        while parts:
+            part, at = parts.pop()
+            made = self._made(part)
+            if made is None:
+                return None
+            rank, left, right = made
+            if rank < 0:
+                continue
+            if any(self.made[x][0] > rank for x in (left, right) if self._made(x) is not None):
+                return None
+            out.append((rank, at))
+            parts += [(left, at), (right, at + len(left))]
+        return out
+
+    def paired(self, last: str, token: str) -> bool:
+        """Whether two tokens stand side by side after merging; an empty one is a
+        barrier, or a symbol outside the vocabulary."""
+        if not last or not token:
+            return True
+        row = self._follow(last)[0]
+        fits = row.get(token)
+        if fits is None:
+            self.size += 1
+            fits = row[token] = self._fits(last, token)
+        return fits
+
     def _fits(self, last: str, token: str) -> bool:
         """Whether ``token`` may follow ``last``; an empty ``last`` is a barrier.
 
