@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,36 +50,70 @@ def dispatch_order(tasks: DataFrame, priority: str, enqueued: str, tie: str) ->
     return tasks.withColumn("priority_rank", rank).orderBy("priority_rank", enqueued, tie)
 
 
-class Throttle:
-    """Concurrency that grows by a tenth after sustained success and shrinks on
-    code 429; results within the cooldown of an adjustment don't count."""
+class Limit(NamedTuple):
+    """The concurrency of a key: its level, what a refusal multiplies it by, the runs
+    of successes and refusals, and when the level last changed."""
 
-    LEAST, MOST, GROW, COOLDOWN_MS, STREAK = 1, 100, 1.1, 5_000, 10
+    level: int = 5
+    factor: float = 0.8
+    successes: int = 0
+    refusals: int = 0
+    changed_ms: int | None = None
 
-    def __init__(self, concurrency: int = 5, shrink: float = 0.8, successes: int = 0, failures: int = 0, adjusted_ms: int | None = None):
-        self.concurrency, self.shrink, self.successes, self.failures, self.adjusted_ms = concurrency, shrink, successes, failures, adjusted_ms
 
-    def state(self) -> tuple:
-        return self.concurrency, self.shrink, self.successes, self.failures, self.adjusted_ms
+#: Bounds of the level, growth, least factor and its step, runs, cooldown.
+LEAST_LEVEL, MOST_LEVEL, GROWTH, LEAST_FACTOR, FACTOR_STEP, SUCCESS_RUN, REFUSAL_RUN, COOLDOWN_MS = 1, 100, 1.1, 0.5, 0.1, 10, 3, 5_000
+#: How each outcome moves the runs: what it adds to a run, or None to end it.
+_RUNS = {"success": (1, None), "refused": (None, 1), "failed": (0, None)}
 
-    def feed(self, at_ms: int, ok: bool, code: int) -> int:
-        if self.adjusted_ms is not None and at_ms - self.adjusted_ms < self.COOLDOWN_MS:
-            return self.concurrency
-        if ok:
-            self.failures, self.successes = 0, self.successes + 1
-            wanted = min(self.MOST, int(self.concurrency * self.GROW))
-            if self.successes >= self.STREAK and wanted > self.concurrency:
-                self.concurrency, self.successes, self.adjusted_ms = wanted, 0, at_ms
-        elif code == 429:
-            self.successes, self.failures = 0, self.failures + 1
-            wanted = max(self.LEAST, int(self.concurrency * self.shrink))
-            if wanted < self.concurrency:
-                self.concurrency, self.adjusted_ms = wanted, at_ms
-                if self.failures >= 3:
-                    self.shrink = max(0.5, self.shrink - 0.1)
-        else:
-            self.failures = 0
-        return self.concurrency
+
+def outcome_of(ok: bool, code: int) -> str:
+    """Code 429 is a refusal; other errors are failures."""
+    return "success" if ok else "refused" if code == 429 else "failed"
+
+
+def _counted(limit: Limit, outcome: str) -> Limit:
+    runs = (limit.successes, limit.refusals)
+    moved = [0 if step is None else run + step for run, step in zip(runs, _RUNS[outcome], strict=True)]
+    return limit._replace(successes=moved[0], refusals=moved[1])
+
+
+def _wanted(limit: Limit, outcome: str) -> int:
+    scale = {"success": GROWTH if limit.successes >= SUCCESS_RUN else 1.0, "refused": limit.factor, "failed": 1.0}[outcome]
+    return min(MOST_LEVEL, max(LEAST_LEVEL, int(limit.level * scale)))
+
+
+def advance(limit: Limit, at_ms: int, outcome: str) -> Limit:
+    """The limit after an outcome; outcomes within the cooldown of a change don't count."""
+    if limit.changed_ms is not None and at_ms < limit.changed_ms + COOLDOWN_MS:
+        return limit
+    counted = _counted(limit, outcome)
+    level = _wanted(counted, outcome)
+    if level == counted.level:
+        return counted
+    changed = counted._replace(level=level, changed_ms=at_ms)
+    if level > counted.level:
+        return changed._replace(successes=0)
+    steps = int(counted.refusals >= REFUSAL_RUN)
+    return changed._replace(factor=max(LEAST_FACTOR, counted.factor - steps * FACTOR_STEP))
+
+
+def admit(tasks: DataFrame, kind: str = "kind", state: str = "state", order: list[str] | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """``tasks`` with ``admitted``: the queued tasks of each kind that its free slots
+    take, in ``order``; slots are the kind's limit less its running tasks.
+
+    Few slots a kind: what is running is counted by a grouped aggregate, and only
+    the first ``limit`` queued tasks of a kind are ranked (the rank limit applies
+    in each task before the shuffle).
+    """
+    order = order or ["priority_rank", "enqueued"]
+    table = LOCAL_LIMITS if limits is None else limits
+    limit = F.coalesce(F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()]), lambda x: x["k"] == F.col(kind)), F.lit(0))["v"], F.lit(DEFAULT_LIMIT))
+    busy = tasks.groupBy(kind).agg(F.count_if(F.col(state) == "running").alias("running"))
+    most = max([*table.values(), DEFAULT_LIMIT])
+    first = tasks.where(F.col(state) == "queued").withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("_n") <= most)
+    chosen = first.join(F.broadcast(busy), kind).where(F.col("_n") <= limit - F.col("running")).drop("_n", "running")
+    return chosen.withColumn("admitted", F.lit(True))
 
 
 def throttled(events: DataFrame, key: str) -> DataFrame:
@@ -92,13 +127,13 @@ def throttled(events: DataFrame, key: str) -> DataFrame:
     ordered = rows.repartition(key).sortWithinPartitions(key, "ms", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, throttle = object(), Throttle()
+        current, limit = object(), Limit()
         for batch in batches:
             out = []
             for k, ms, ok, code in zip(batch[key], batch.ms, batch.ok, batch.code, strict=True):
-                if k != current:
-                    current, throttle = k, Throttle()
-                out.append(throttle.feed(int(ms), bool(ok), int(code)))
+                limit = advance(limit if k == current else Limit(), int(ms), outcome_of(bool(ok), int(code)))
+                current = k
+                out.append(limit.level)
             yield pd.DataFrame({key: batch[key], "event_id": batch.event_id, "concurrency": out})
 
     return ordered.mapInPandas(run, f"{key} string, event_id long, concurrency int")

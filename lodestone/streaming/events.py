@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tasks import Throttle
+from ..operators.tasks import Limit, advance, outcome_of
 from ..shipping import ship
 
 WATERMARK = "10 minutes"
@@ -53,10 +53,13 @@ def throttled(events: DataFrame, key: str) -> DataFrame:
     ship(events.sparkSession)
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        throttle = Throttle(*state.get) if state.exists else Throttle()
+        limit = Limit(*state.get) if state.exists else Limit()
         rows = pd.concat(list(frames)).sort_values(["ms", "event_id"], kind="stable")
-        levels = [throttle.feed(int(ms), bool(ok), int(code)) for ms, ok, code in zip(rows.ms, rows.ok, rows.code, strict=True)]
-        state.update(throttle.state())
+        levels = []
+        for ms, ok, code in zip(rows.ms, rows.ok, rows.code, strict=True):
+            limit = advance(limit, int(ms), outcome_of(bool(ok), int(code)))
+            levels.append(limit.level)
+        state.update(tuple(limit))
         yield pd.DataFrame({key: keys[0], "event_id": rows.event_id, "concurrency": levels})
 
     rows = events.select(key, F.unix_millis("ts").alias("ms"), "event_id", "ok", "code")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scalars as S
 from lodestone.functions import vectors as V
 from lodestone.operators import chunking as C
-from lodestone.operators.tasks import Throttle
+from lodestone.operators.tasks import Limit, advance, outcome_of
 from lodestone.plans import advisor
 
 
@@ -135,17 +135,20 @@ def test_legacy_split_writes_double_quotes_and_single_spaces(spark):
 
 def test_throttle():
     def run(steps, start=5):
-        t, at, out = Throttle(concurrency=start), 0, []
+        limit, at, out = Limit(level=start), 0, []
         for ok, code in steps:
             at += 6000
-            out.append(t.feed(at, ok, code))
+            limit = advance(limit, at, outcome_of(ok, code))
+            out.append(limit.level)
         return out
 
     assert run([(True, 200)] * 10)[-1] == 5
     assert run([(True, 200)] * 10 + [(False, 429)] * 5)[-5:] == [4, 3, 2, 1, 1]
     assert run([(True, 200)] * 10, start=10)[-1] == 11
-    quick = Throttle(concurrency=10)
-    assert quick.feed(0, False, 429) == 8 and quick.feed(1000, False, 429) == 8 and quick.feed(5000, False, 429) == 6
+    quick = advance(Limit(level=10), 0, "refused")
+    assert quick.level == 8 and advance(quick, 1000, "refused") == quick and advance(quick, 5000, "refused").level == 6
+    runs = advance(advance(Limit(), 0, "success"), 1, "failed")
+    assert (runs.successes, runs.refusals, runs.changed_ms) == (1, 0, None) and advance(runs._replace(refusals=2), 2, "failed").refusals == 0
 
 
 @pytest.mark.parametrize("metric,want", [("l2", 5.0), ("inner_product", -11.0), ("cosine", -10.0)])
