@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that the join is fed by plain exchanges: the rows of a hub can be split.
+    low = workspace.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = workspace.save(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     moved = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,8 +39,8 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     )
     seen = None
     while True:
-        larger = workspace.save(_large_star(current), "large-star")
-        smaller = workspace.save(_small_star(larger), "small-star")
+        larger = workspace.save(_large_star(current, workspace), "large-star")
+        smaller = workspace.save(_small_star(larger, workspace), "small-star")
         workspace.drop(current, larger)
         current = smaller
         state = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

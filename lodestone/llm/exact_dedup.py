@@ -16,7 +16,8 @@ Spark's adaptive skew join.
 
 Defined results: null text counts as empty; an empty text has one empty block;
 a null ``doc_id`` sorts below every other; of rows that agree in text and
-``doc_id`` exactly one is kept; other columns of any name are ignored.
+``doc_id`` exactly one is kept; other columns of any name are ignored; a very long
+text is a long list of blocks, and nothing else; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, rows_of_keys
 
 #: More colliding hashes than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_COLLISIONS = 100_000
@@ -40,8 +41,21 @@ def _blocks(content: Column, block_bytes: int) -> Column:
 
 
 def _numbered(ws: Workspace, keys: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Distinct keys with their integer names in sort order."""
-    return ws.save(keys.distinct().orderBy(*columns).withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct keys with their places in sort order as integer names.
+
+    A key's place is the number of keys in the partitions before its own, plus its
+    place inside; so it depends on the set of keys only, not on how they were dealt.
+    """
+    placed = ws.save(keys.distinct().orderBy(*columns).withColumn("place", F.monotonically_increasing_id()), label)
+    part, before, offsets = F.shiftright("place", 33), 0, []
+    for k, n in sorted(map(tuple, placed.groupBy(part.alias("part")).count().collect())):  # a row for each partition
+        offsets.append((k, before))
+        before += n
+    table = placed.sparkSession.createDataFrame(offsets, "part long, before long")
+    name = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.join(F.broadcast(table), part == F.col("part")).select(*columns, name.alias("name"))
+    out._lodestone_path = placed._lodestone_path
+    return out
 
 
 def identities(
@@ -169,12 +183,5 @@ def exact_dedup(
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts that with the largest ``doc_id``."""
-    kept = exact_dedup(docs, text_col, id_col, **options).where("kept").select(
-        F.struct(F.col("doc_id"), F.col("text_sha256")).alias("_kept_key")
-    )
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), sha.alias("text_sha256")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    stay = rows.join(kept, F.col("_key") == F.col("_kept_key"), "left_semi")
-    # Repeated rows agree in key and content: one of them stays.
-    ranked = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
-    return ranked.where("_n = 1").select("_row.*")
+    kept = exact_dedup(docs, text_col, id_col, **options).where("kept").select(F.struct("doc_id", "text_sha256").alias("_keep"))
+    return rows_of_keys(docs, kept, text_col, id_col)

@@ -25,7 +25,9 @@ contractions; no pairs, links or components are collected.
 
 Defined results: null text counts as empty; texts without words have
 fingerprint 0 and link like any other; null ids never become a component id
-unless a component has no other; repeated rows each get a row.
+unless a component has no other; repeated rows and rows that share an id each get
+a row; very long texts are counted in parts; an empty table gives an empty one;
+other columns of any name are ignored, or returned as they are.
 """
 
 from __future__ import annotations
@@ -36,13 +38,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import connected_components
-from .workspace import Workspace, slices
+from .workspace import Workspace, rows_of_keys, slices
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
@@ -77,17 +79,18 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long); a row per row of ``docs``."""
+    """doc_id, text_sha256, fp (the fingerprint's bits as a signed long); a row per row of ``docs``."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("content"))
+    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "text_sha256", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType())]))
 
 
 def _embedding(fp: Column) -> Column:
@@ -134,7 +137,7 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
     if crowded.limit(1).count():
         open_cells = cells.join(crowded.select("cell"), "cell", "left_anti")
         members = workspace.save(cells.join(crowded.select("cell"), "cell", "left_semi").select("fp").distinct(), "crowded")
-        stars = _stars(members, max_distance)
+        stars = _stars(members, max_distance, workspace)
 
     left = open_cells.select(F.col("cell"), F.col("mask"), F.col("fp").alias("a"))
     right = open_cells.select(F.col("cell").alias("cell2"), F.col("mask").alias("mask2"), F.col("fp").alias("b"))
@@ -152,7 +155,7 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
     return found if stars is None else found.unionByName(stars)
 
 
-def _stars(members: DataFrame, max_distance: int) -> DataFrame:
+def _stars(members: DataFrame, max_distance: int, workspace: Workspace) -> DataFrame:
     """Links between members through their common neighbours at half the distance.
 
     For an even distance, ``x`` and ``y`` are that close if and only if some
@@ -167,7 +170,7 @@ def _stars(members: DataFrame, max_distance: int) -> DataFrame:
         near = near.select("fp", F.explode(flips).alias("z")).distinct()
         out = out.unionByName(near)
     out = out.distinct()
-    centre = out.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    centre = workspace.save(out.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "centres")
     return out.join(centre, "z").where("a != fp").select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -180,27 +183,38 @@ def simhash_near_dedup(
     max_cell: int = MAX_CELL,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, component_size; a row per row of ``docs``."""
+    """doc_id, fingerprint (16 hex digits), component_id, component_size, text_sha256,
+    keep_sha256 (hash of the text that stays with component_id); a row per row of ``docs``."""
     ws = workspace or Workspace(docs.sparkSession, "simhash")
     table = ws.save(fingerprints(docs, text_col, id_col, shingle), "fingerprints")
-    nodes = ws.save(table.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")), "nodes")
+    # Rows in the order of their ids, null last, then of their texts' hashes.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256"))
+    nodes = ws.save(table.groupBy("fp").agg(first.alias("low"), F.count("*").alias("size")), "nodes")
     roots = ws.save(
         connected_components(ws.save(links(nodes.select("fp"), ws, max_distance, max_cell), "links"), ws), "roots"
     )
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", "size", F.coalesce("root", "fp").alias("root")
+    labelled = ws.save(
+        nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "size", F.coalesce("root", "fp").alias("root")), "labelled"
     )
-    component = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("component_size"))
-    by_fp = ws.save(labelled.join(component, "root").select("fp", "component_id", "component_size"), "components")
+    # Written, like every aggregate that its own rows are joined to.
+    component = ws.save(labelled.groupBy("root").agg(F.min("low").alias("keep"), F.sum("size").alias("component_size")), "by-root")
+    by_fp = ws.save(labelled.join(component, "root").select("fp", "keep", "component_size"), "components")
     return table.join(by_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size"
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("keep.doc_id").alias("component_id"),
+        "component_size",
+        "text_sha256",
+        F.col("keep.text_sha256").alias("keep_sha256"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each component stays: that with the smallest id."""
-    keep = simhash_near_dedup(docs, text_col, id_col, **options).select(F.struct("component_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct(F.col(id_col).alias("component_id")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    stay = rows.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
-    ranked = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row"))))
-    return ranked.where("_n = 1").select("_row.*")
+    """One row of each component stays: that with the smallest id, null last.
+
+    Rows are told apart by id and text, so ids may be null or repeat.  Of rows that
+    agree in both, one stays; all of them meet on the map side first.
+    """
+    found = simhash_near_dedup(docs, text_col, id_col, **options)
+    keep = found.select(F.struct(F.col("component_id").alias("doc_id"), F.col("keep_sha256").alias("text_sha256")).alias("_keep")).distinct()
+    return rows_of_keys(docs, keep, text_col, id_col)

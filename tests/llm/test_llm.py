@@ -72,6 +72,18 @@ def test_exact_dedup_drops(spark, odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_exact_duplicates(none).count() == 0
 
 
+def test_block_names_do_not_depend_on_partitions(spark, odd):
+    texts = ["x" * n + "y" * (n % 7) for n in range(0, 900, 9)] * 2
+    body = docs(spark, *texts)
+    names = []
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 1))
+        got = exact_dedup.identities(body.repartition(parts), block_bytes=16).collect()
+        names.append({r.text_sha256: (r.rounds, r.name) for r in got})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert names[0] == names[1] and len(set(names[0].values())) == len(set(texts))
+
+
 # 2 simhash
 
 
@@ -160,6 +172,34 @@ def test_simhash_edges(spark, odd, none):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    """Different texts stay whatever their ids; copies go; the smallest id stays."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(60)) for _ in range(4)]
+    for ids in ([7, 7, 7, 7], [None] * 4, [None, 3, 3, None]):
+        rows = spark.createDataFrame(list(zip(ids, texts)), DOCS)
+        assert sorted(r.text for r in simhash.drop_near_duplicates(rows).collect()) == sorted(texts)
+        assert sorted(r.text for r in exact_dedup.drop_exact_duplicates(rows).collect()) == sorted(texts)
+        copies = rows.unionByName(spark.createDataFrame([(9, texts[0]), (1, texts[3]), (None, texts[3])], DOCS)).unionByName(rows).withColumn("m", F.create_map(F.lit("a"), "text"))
+        kept = simhash.drop_near_duplicates(copies).collect()
+        assert sorted(r.text for r in kept) == sorted(texts) and {r.doc_id for r in kept if r.text == texts[3]} == {1}
+
+
+def test_counts_after_near_dedup(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    fps = {k: brute_fingerprint(t) for k, (_, t) in enumerate(rows)}
+    assert simhash.drop_near_duplicates(odd).count() == len(set(brute_components(set(fps.values())).values()))
+
+
+def test_a_hub_is_linked(spark):
+    """One node that 100,000 others are linked to, and a chain: every node has the smallest as its root."""
+    hub = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    chain = spark.range(200_000, 200_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = simhash.connected_components(hub.union(chain), Workspace(spark, "hub"))
+    got = {r.root: r["count"] for r in roots.groupBy("root").count().collect()}
+    assert got == {0: 100_001, 200_000: 41}
+
+
 # 3 WARC
 
 
@@ -360,16 +400,31 @@ def test_decontamination_edges(spark, odd, none):
 # 8 pieces
 
 
-def test_pieces_match_library(spark):
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_pieces_match_library(spark, most):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    texts = random_texts(1500, seed=4)
-    got = pieces.decode(pieces.encode(docs(spark, *texts), PIECE), PIECE).collect()
-    assert all(r.piece_ids == library.encode(r.text) and r.decoded == library.decode(r.piece_ids) for r in got)
+    texts = [*random_texts(1500, seed=4), "a" * 30_000, "thering" * 4_300, "=" * 200, "x***.,&&& llll&&&&", "l" * 61]
+    body = docs(spark, *texts)
+    got = pieces.decode(pieces.encode(body, PIECE, dictionary_words=most), PIECE).collect()
+    assert len(got) == len(texts) and all(r.piece_ids == library.encode(r.text) and r.decoded == library.decode(r.piece_ids) for r in got)
     assert all(r.decoded == r.text for r in got if "▁" not in r.text)
 
 
+def test_lattice_is_greedy_merging(spark):
+    """All words of a table, by the lattice alone, against the library."""
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.piece_model(PIECE)
+    body = spark.read.parquet(f"{SF}/documents.parquet")
+    found = pieces.dictionary(body, PIECE)
+    words = {w for r in body.collect() for w in model.split(r.text)}
+    assert set(found) == {w for w in words if len(w) <= pieces.LATTICE_WORD}
+    assert all(found[w] == model._word(w) for w in words if w in found)
+    assert all(library.decode(list(memoryview(ids).cast("i"))) == w.replace("▁", " ").removeprefix(" ") for w, ids in found.items())
+
+
 def test_pieces_edges(spark, odd, none):
     rows = pieces.decode(pieces.encode(odd, PIECE), PIECE).collect()
     assert len(rows) == odd.count() and all(r.decoded == r.text for r in rows) and all((r.piece_ids is None) == (r.text is None) for r in rows)
