@@ -7,17 +7,19 @@ learns from probabilities as good as those it will meet.
 
 Features are words, their beginnings of four to eight characters and their
 character 4-grams, each worth ``log2(1 + occurrences)``.  Training reads a bounded
-sample of labelled rows: at most ``max_positive`` and ``max_negative`` of them,
-those with the least hashes of their ids.  The ``max_features`` features whose
-means over the sample's two kinds of rows lie farthest apart, in units of their
-deviation, are kept; Spark sums their moments, and only the kept features of
+sample of labelled ids: at most ``max_positive`` and ``max_negative`` of them,
+those with the least hashes, one row each.  For each category those features are
+kept whose means over the sample's two kinds of rows lie farthest apart, in units
+of their deviation; Spark sums their moments, and only the kept features of
 sampled rows reach the driver, which fits the models by accelerated gradient
-steps.  Scoring
-is one narrow pass over the whole texts.
+steps.  Scoring is one narrow pass over the whole texts.
 
 Defined results: null text counts as empty; an empty text gets the intercepts'
 probabilities; without labelled rows of both kinds a category's probability is
-its smoothed frequency.
+its smoothed frequency; rows that repeat each get a score, but train once; an id
+with several labels has every category that one of them has; columns of ``docs``
+and ``labels`` may share any names, since only ids, texts and the categories'
+values meet; an empty table gives no row; ties between features go by name.
 """
 
 from __future__ import annotations
@@ -149,17 +151,41 @@ class ChainModel:
 
 
 def _arrow_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """feature, rows, sums of values in positive and negative rows, sum of squares."""
+    """feature, rows, sum of values, sum of squares, and sums of values in each
+    category's rows; the batches hold a text and the categories' numbers."""
     for batch in slices(batches):
-        moments: dict[str, list[float]] = {}
-        for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        moments: dict[str, list] = {}
+        for text, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for f, n in text_features(text).items():
-                own, x = moments.setdefault(f, [0.0] * 4), math.log2(1 + n)
+                own, x = moments.setdefault(f, [0.0, 0.0, 0.0, {}]), math.log2(1 + n)
                 own[0] += 1
-                own[1 if positive else 2] += x
-                own[3] += x * x
-        values = [pa.array([m[k] for m in moments.values()], pa.float64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.string()), *values], ["feature", "n", "a", "b", "q"])
+                own[1] += x
+                own[2] += x * x
+                for k in inside:
+                    own[3][k] = own[3].get(k, 0.0) + x
+        values = [pa.array([m[k] for m in moments.values()], pa.float64()) for k in range(3)]
+        sums = pa.array([list(m[3].items()) for m in moments.values()], pa.map_(pa.int32(), pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.string()), *values, sums], ["feature", "n", "s", "q", "inside"])
+
+
+def _sample(docs: DataFrame, labels: DataFrame, flags: list[Column], target: Column, text_col: str, id_col: str, max_positive: int, max_negative: int) -> DataFrame:
+    """id, text, c0, c1 ...: one row for each sampled id, so ``max_positive`` and
+    ``max_negative`` bound the rows however often an id repeats on either side."""
+    true = lambda c: F.coalesce(c.cast("boolean"), F.lit(False))
+    marked = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), true(target).alias("positive"), *[true(c).cast("int").alias(f"c{k}") for k, c in enumerate(flags)])
+    marked = marked.groupBy("id").agg(*[F.max(c).alias(c) for c in marked.columns[1:]])
+    # Only hashes that some four times as many rows as needed pass are ranked.
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    sizes = dict(map(tuple, marked.groupBy("positive").count().collect()))
+
+    def least(positive: bool, most: int) -> DataFrame:
+        share = min(1.0, 4 * most / max(1, sizes.get(positive, 0)))
+        return marked.where((F.col("positive") == positive) & (h <= int((1 << 40) * share))).orderBy(h, "id").limit(most)
+
+    # At most max_positive + max_negative small rows.
+    picked = F.broadcast(least(True, max_positive).unionByName(least(False, max_negative)))
+    joined = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id")
+    return joined.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *[F.max(f"c{k}").alias(f"c{k}") for k in range(len(flags))])
 
 
 def train(
@@ -174,44 +200,28 @@ def train(
     max_features: int = MAX_FEATURES,
     workspace: Workspace | None = None,
 ) -> ChainModel:
-    """Fit a chain.  ``target`` (over the columns of ``labels``) tells positive rows
-    in sampling; ``categories`` are boolean columns over docs joined with labels."""
+    """Fit a chain.  ``target`` tells positive rows in sampling; it and the
+    ``categories``, in the order of the chain, are boolean columns over ``labels``.
+    The categories share the ``max_features`` features evenly."""
     ws = workspace or Workspace(ship(docs.sparkSession), "toxicity")
-    marked = labels.where(F.col(id_col).isNotNull()).select("*", F.coalesce(target.cast("boolean"), F.lit(False)).alias("_positive")).dropDuplicates([id_col])
-    # Only hashes that some four times as many rows as needed pass are ranked.
-    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
-    sizes = dict(map(tuple, marked.groupBy("_positive").count().collect()))
-
-    def least(positive: bool, most: int) -> DataFrame:
-        share = min(1.0, 4 * most / max(1, sizes.get(positive, 0)))
-        return marked.where((F.col("_positive") == positive) & (h <= int((1 << 40) * share))).orderBy(h, id_col).limit(most)
-
-    picked = least(True, max_positive).unionByName(least(False, max_negative))
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == id_col or c not in labels.columns])
-    # At most max_positive + max_negative small rows.
-    joined = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), id_col)
-    sample = ws.save(
-        joined.select(
-            F.col(text_col).alias("text"),
-            F.col("_positive").cast("int").alias("positive"),
-            F.pmod(F.xxhash64(id_col), F.lit(FOLDS)).cast("int").alias("fold"),
-            F.xxhash64(id_col, text_col).alias("key"),
-            *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"c{k}") for k, c in enumerate(categories.values())],
-        ),
-        "sample",
-    )
-    totals = sample.agg(F.count("*"), F.sum("positive")).first()
-    n, n_positive = totals[0], totals[1] or 0
-    moments = sample.select("text", "positive").mapInArrow(_arrow_moments, "feature string, n double, a double, b double, q double")
-    moments = moments.groupBy("feature").agg(*[F.sum(c).alias(c) for c in "nabq"]).where("n >= 3")
-    gap = F.col("a") / F.lit(max(n_positive, 1)) - F.col("b") / F.lit(max(n - n_positive, 1))
-    mean = (F.col("a") + F.col("b")) / F.lit(max(n, 1))
+    names, flags = list(categories), [f"c{k}" for k in range(len(categories))]
+    sample = ws.save(_sample(docs, labels, list(categories.values()), target, text_col, id_col, max_positive, max_negative), "sample")
+    totals = sample.agg(F.count("*"), *[F.sum(c) for c in flags]).first()
+    n, sizes = totals[0], [x or 0 for x in totals[1:]]
+    inside = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(k)) for k, c in enumerate(flags)]), lambda x: x.isNotNull())
+    moments = sample.select("text", inside.alias("inside")).mapInArrow(_arrow_moments, "feature string, n double, s double, q double, inside map<int, double>")
+    sums = [F.sum(F.coalesce(F.try_element_at("inside", F.lit(k)), F.lit(0.0))).alias(f"a{k}") for k in range(len(names))]
+    moments = ws.save(moments.groupBy("feature").agg(*[F.sum(c).alias(c) for c in "nsq"], *sums).where("n >= 3"), "moments")
+    mean = F.col("s") / F.lit(max(n, 1))
     spread = F.col("q") / F.lit(max(n, 1)) - mean * mean + F.lit(1.0 / (n + 1))
-    best = moments.select("feature", F.round(gap * gap / spread, 9).alias("score")).orderBy(F.desc("score"), "feature").limit(max_features)
-    features = sorted(r.feature for r in best.collect())
-
-    names = list(categories)
-    columns = ["ids", "worth", "fold", "key", *(f"c{k}" for k in range(len(names)))]
+    kept: set[str] = set()
+    for k, size in enumerate(sizes):
+        gap = F.col(f"a{k}") / F.lit(max(size, 1)) - (F.col("s") - F.col(f"a{k}")) / F.lit(max(n - size, 1))
+        best = moments.select("feature", F.round(gap * gap / spread, 9).alias("score")).orderBy(F.desc("score"), "feature").limit(max_features // len(sizes))
+        kept |= {r.feature for r in best.collect()}
+    features = sorted(kept)
+
+    columns = ["ids", "worth", "key", *flags]
     empty = ChainModel(names, features)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +231,11 @@ def train(
             ids, worth = (pa.array([r[k].tolist() for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float64())))
             yield pa.RecordBatch.from_arrays([ids, worth, *batch.columns[1:]], columns)
 
-    indexed = sample.select("text", *columns[2:]).mapInArrow(index, f"ids array<int>, worth array<double>, fold int, key long, {', '.join(f'c{k} int' for k in range(len(names)))}")
+    indexed = sample.select("text", F.xxhash64("id").alias("key"), *flags).mapInArrow(index, f"ids array<int>, worth array<double>, key long, {', '.join(f'{c} int' for c in flags)}")
     data = sorted(indexed.collect(), key=lambda r: (r.key, r.ids))
     rows = [(np.array(r.ids, np.int64), np.array(r.worth, float)) for r in data]
-    truth = np.array([[r[f"c{k}"] for k in range(len(names))] for r in data]).reshape(len(data), len(names))
-    return ChainModel.fit(names, features, rows, truth, np.array([r.fold for r in data]))
+    truth = np.array([[r[c] for c in flags] for r in data]).reshape(len(data), len(names))
+    return ChainModel.fit(names, features, rows, truth, np.array([r.key % FOLDS for r in data]))
 
 
 def score(docs: DataFrame, model: ChainModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
@@ -249,15 +259,6 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", out_col: s
     return body.mapInArrow(run, schema)
 
 
-def categories_by_language(labels: DataFrame, docs: DataFrame, id_col: str = "doc_id", least: int = 20, most: int = 8) -> dict[str, Column]:
-    """The chain for the tables at hand: toxicity in each language with enough
-    labelled rows, most frequent first, then toxicity at large."""
-    toxic = F.col("toxic") == 1
-    counts = docs.select(id_col, "lang").join(labels.where(toxic).select(id_col), id_col, "left_semi").where("lang IS NOT NULL").groupBy("lang").count()
-    langs = [r.lang for r in counts.where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(most).collect()]
-    return {**{f"toxic_{lang}": toxic & (F.col("lang") == lang) for lang in langs}, "toxic": toxic}
-
-
 def drop_toxic(docs: DataFrame, model: ChainModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without rows whose last category is at least as likely as ``threshold``."""
     out_col = fresh(docs.columns, "toxicity")

@@ -329,23 +329,54 @@ def test_license_edges(spark, odd, none):
 
 
 def test_toxicity_held_out(spark):
-    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     inside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0
-    model = toxicity.train(d, labels.where(inside), toxicity.categories_by_language(labels, d), F.col("toxic") == 1)
-    assert model.categories[-1] == "toxic" and len(model.categories) > 1
-    assert len(model.models[-1].extra) == len(model.categories) - 1
-    scored = toxicity.score(d.join(labels.where(~inside), "doc_id"), model)
-    rows = scored.select("toxic", (F.col("toxicity.toxic") >= 0.5).alias("said"), "lang").where("lang = 'en'").collect()
-    assert sum(r.toxic == r.said for r in rows) / len(rows) > 0.97 and any(r.toxic for r in rows)
+    from lodestone.llm import queries
+
+    model = queries.toxicity_model(d, labels.where(inside))
+    assert model.categories == ["low_quality", "toxic"] and len(model.models[-1].extra) == 1
+    scored = toxicity.score(d.select("doc_id", "text", "lang").join(labels.where(~inside).select("doc_id", "toxic"), "doc_id"), model)
+    rows = scored.select("toxic", (F.col("toxicity.toxic") >= 0.5).alias("said"), "lang").collect()
+    for lang in sorted({r.lang for r in rows}):
+        own = [r for r in rows if r.lang == lang]
+        assert sum(r.toxic == r.said for r in own) / len(own) > 0.97 and any(r.toxic for r in own), lang
 
 
 def test_toxicity_edges(spark, odd, none):
-    labels = spark.createDataFrame([(4, 1), (6, 0), (99, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(4, 1), (6, 0), (99, 1), (6, 0)], "doc_id long, toxic int").withColumn("text", F.lit("zzzz")).withColumn("c0", F.lit("clash"))
     model = toxicity.train(odd, labels, {"toxic": F.col("toxic") == 1}, F.col("toxic") == 1)
+    assert not any("z" in f for f in model.features)
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
     untrained = toxicity.train(none, labels.limit(0), {"a": F.lit(True), "b": F.lit(True)}, F.col("toxic") == 1)
     assert {r.toxicity.b for r in toxicity.score(odd, untrained).collect()} == {0.5}
+    many = odd.unionByName(spark.range(500).select(F.lit(4).cast("long").alias("doc_id"), F.lit("a").alias("text")), allowMissingColumns=True)
+    assert toxicity._sample(many, labels, [F.col("toxic") == 1], F.col("toxic") == 1, "text", "doc_id", 5, 5).count() == 2
+
+
+def brute_probabilities(model, text):
+    """The chain by hand: word, prefix and 4-gram counts, one model after the other."""
+    import math
+
+    counts = {}
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for f in ["<" + word + ">", *("<" + word[:n] for n in range(4, 9) if n <= len(word)), *{word[k : k + 4] for k in range(len(word) - 3)}]:
+            counts[f] = counts.get(f, 0) + 1
+    earlier = []
+    for m in model.models:
+        margin = m.bias + sum(m.weights[model.index[f]] * math.log2(1 + n) for f, n in counts.items() if f in model.index) + sum(w * p for w, p in zip(m.extra, earlier, strict=True))
+        earlier.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+    return earlier
+
+
+def test_op6_matches_brute_force(spark):
+    from lodestone.llm import queries
+
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.toxicity_model(d, labels)
+    want = {r.doc_id: brute_probabilities(model, r.text)[-1] for r in d.collect()}
+    got = queries.QUERIES["op6_toxicity"](spark, SF).collect()
+    assert len(got) == len(want) and all(abs(r.p_toxic - want[r.doc_id]) < 2e-6 and r.toxic == (want[r.doc_id] >= 0.5) for r in got)
 
 
 # 7 decontamination
