@@ -15,7 +15,9 @@ pages meet their host's sums in a join that adaptive execution splits.
 
 Defined results: null or empty html has even likelihoods; a page without a
 declaration has no declaration evidence; a null url is the empty host; ties go
-to the language that sorts first; without labelled documents there is no row.
+to the language that sorts first; without labelled documents the language is null
+and the probability 0; repeated pages each get a row, and very long ones are read
+whole; an empty table gives no row; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +94,8 @@ class TrigramModel:
 
     def likelihood(self, text: str) -> np.ndarray:
         """Tempered log likelihoods; the best is 0."""
+        if not self.languages:
+            return np.zeros(0)
         words = Counter(_WORD.findall(text.lower()))
         if not words:
             return np.zeros(len(self.languages))
@@ -120,21 +124,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     ones; a kept trigram is counted in all languages, and a language's total covers
     all its trigrams, kept or not.
 
-    Of a language with many documents only hashes below a bound that some four
-    times as many are expected to pass are ranked, so that ranking stays small
-    however many tasks read the table.
+    Ranking stays small however many tasks read the table: hashes are counted in
+    steps of a quarter of a power of two, and only those up to the step in which a
+    language has enough rows are ranked.  Equal rows share a step, and a language
+    whose rows are few is ranked whole, so none goes without its sample.
     """
     ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    bound = F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("size"))
+    step = F.ceil(F.log2(F.col("h") + 1) * 4).cast("int")
+    least: dict[str, tuple[int, int]] = {}
+    for r in sorted(rows.groupBy("lang", step.alias("step")).count().collect()):  # at most 161 rows a language
+        last, held = least.get(r.lang, (0, 0))
+        if held < per_language:
+            least[r.lang] = (r.step, held + r["count"])
+    if not least:
+        return TrigramModel([], {}, [])
+    bounds = docs.sparkSession.createDataFrame([(x, last) for x, (last, _) in least.items()], "lang string, last int")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.join(F.broadcast(sizes), "lang").where(F.col("h") <= bound).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
+    sample = rows.join(F.broadcast(bounds), "lang").where(step <= F.col("last")).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
     ws = Workspace(docs.sparkSession, "trigrams")
     counts = ws.save(sample.mapInArrow(_count_trigrams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    languages = sorted(r.lang for r in sizes.select("lang").collect())
-    if not languages:
-        return TrigramModel([], {}, [])
+    languages = sorted(least)
     at = {x: k for k, x in enumerate(languages)}
     totals = [0.0] * len(languages)
     for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
@@ -162,8 +172,6 @@ def identify(pages: DataFrame, model: TrigramModel, id_col: str = "page_id", url
     """page_id, lang, probability, declared, host; a row per row of ``pages``."""
     ws = workspace or Workspace(ship(pages.sparkSession), "language")
     n = len(model.languages)
-    if not n:
-        return pages.limit(0).select(F.col(id_col).alias("page_id"), F.lit("").alias("lang"), F.lit(0.0).alias("probability"), F.lit("").alias("declared"), F.lit("").alias("host"))
     shared = pages.sparkSession.sparkContext.broadcast((model.languages, model.known, model.rare))
     id_type = pages.schema[id_col].dataType.simpleString()
 
@@ -183,6 +191,9 @@ def identify(pages: DataFrame, model: TrigramModel, id_col: str = "page_id", url
     read = body.mapInArrow(run, f"page_id {id_type}, host string, domain string, suffix string, declared string, logs array<double>")
     rows = ws.save(read.withColumn("soft", _softmax(F.col("logs"))), "texts")
 
+    if not n:
+        return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), "declared", "host")
+
     # Sums of soft counts by level; every level holds one row per key.
     total = rows.agg(*[F.coalesce(F.sum(F.col("soft")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n)]).first()
     everywhere = F.array(*[F.lit(float(x)) for x in total])
