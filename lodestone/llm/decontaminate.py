@@ -6,28 +6,30 @@ words of an item; a shorter item is one window) form a hash set that goes to
 every executor; a scan of the documents marks every word inside an occurrence.
 
 The benchmark is a stated query set: it is read in blocks of ``block_bytes``
-bytes of text, so what is broadcast at once never exceeds that bound however
-large the benchmark is; each block is one more scan of the same batches, and
-the marks of all blocks are united.  Documents are never shuffled, so repeated
-passages, hot sources and copies don't matter.
+bytes of text, whose indexes take some six times as much in a worker.  Each is
+built once, on the driver, and a worker holds one at a time; each block is one
+more scan of the same batches, and the marks of all blocks are united.  Documents
+are never shuffled, so repeated passages, hot sources and copies don't matter.
 
-In a batch, words become ids of the benchmark's vocabulary.  Only runs of known
-words that are long enough can hold a window; their rolling hashes select
-candidates, which are compared word for word.
+Rolling hashes over the words' 64-bit hashes select candidates, which are
+compared byte for byte.
 
 Defined results: null texts have no words and stay as they are; null items and
 items without words have no windows; a null ``item_id`` marks words but isn't
-listed; repeated items are listed once.
+listed; repeated items are listed once; repeated rows each get a report, very
+long texts are scanned whole, and an empty table on either side is no case of its
+own; a clash with the report's column gives that one underscores in front.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,49 +60,68 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _windows(hashes: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each width with the hashes of all windows of that many words, narrow ones first."""
+    out = np.zeros(len(hashes), np.uint64)
+    for width in range(1, min(max(widths, default=0), len(hashes)) + 1):
+        out = out[: len(hashes) - width + 1] * _PRIME + hashes[width - 1 :]
+        if width in widths:
+            yield width, out
+
+
 class WindowIndex:
-    """Hash set of the windows of a block of items."""
+    """Hash set of the windows of a block of items, in flat arrays.
+
+    Some 35 bytes a word: the folded text with the bounds of its words, the item of
+    each word, and for each width the sorted hashes of windows with their places.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, data in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(data)]
-            width = min(window, len(ids))
-            for k in range(len(ids) - width + 1 if width else 0):
-                windows[width][tuple(ids[k : k + width])].add(item_id)
-        self.windows = {n: {k: sorted(v, key=str) for k, v in d.items()} for n, d in windows.items()}
-        self.hashes = {n: np.unique(self._roll(np.array(list(d), np.int64).ravel(), n)[::n]) for n, d in self.windows.items()}
-        self.least = min(self.windows, default=0)
-
-    @staticmethod
-    def _roll(ids: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of all windows of ``width`` ids."""
-        out = np.zeros(len(ids) - width + 1, np.uint64)
-        values = ids.astype(np.uint64) + np.uint64(1)
-        for k in range(width):
-            out = out * _PRIME + values[k : len(values) - width + 1 + k]
-        return out
-
-    def scan(self, words: list[bytes], hit: np.ndarray, items: set) -> None:
-        """Adds the marks of all occurrences to ``hit`` and ``items``."""
-        if not self.windows or len(words) < self.least:
-            return
-        known = self.vocabulary.get
-        ids = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-        unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-        for width, table in self.windows.items():
-            if len(ids) < width:
-                continue
-            starts = np.flatnonzero(unknown[width:] == unknown[:-width])
-            if not len(starts):
-                continue
-            starts = starts[np.isin(self._roll(ids, width)[starts], self.hashes[width])]
-            for k in starts.tolist():
-                owners = table.get(tuple(ids[k : k + width].tolist()))
-                if owners:
+        split = [(i, w) for i, data in items if (w := words_of(data))]
+        self.ids = [i for i, _ in split]
+        sizes = np.array([len(w) for _, w in split], np.int64)
+        words = [w for _, own in split for w in own]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        self.text, self.ends = b" ".join(words), ends - 1
+        self.starts = np.concatenate(([0], ends[:-1]))[: len(words)]
+        self.item_of = np.repeat(np.arange(len(split), dtype=np.int32), sizes)
+        hashes, first = _hashes(words), np.concatenate(([0], np.cumsum(sizes)[:-1]))[: len(sizes)]
+        del words, split
+        left = np.repeat(first + sizes, sizes) - np.arange(len(hashes))  # words from here to the item's end
+        widths = np.minimum(sizes, window)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, rolled in _windows(hashes, sorted(set(widths.tolist()))):
+            places = np.flatnonzero((np.repeat(widths, sizes) == width) & (left >= width))
+            order = np.argsort(rolled[places], kind="stable")
+            keys, places = rolled[places][order], places[order].astype(np.int32)
+            seen = np.zeros(1 << min(26, max(10, int(8 * len(keys)).bit_length())), bool)
+            seen[keys >> np.uint64(64 - int(len(seen)).bit_length() + 1)] = True
+            self.tables[width] = keys, places, seen
+
+    @property
+    def nbytes(self) -> int:
+        """What the index takes in memory."""
+        return len(self.text) + sum(x.nbytes for x in (self.starts, self.ends, self.item_of, *(y for t in self.tables.values() for y in t)))
+
+    def scan(self, words: list[bytes], hit: np.ndarray, items: set, hashes: np.ndarray) -> None:
+        """Adds the marks of all occurrences to ``hit`` and ``items``; windows whose
+        hashes agree are compared byte by byte."""
+        for width, rolled in _windows(hashes, list(self.tables)):
+            keys, places, seen = self.tables[width]
+            maybe = np.flatnonzero(seen[rolled >> np.uint64(64 - int(len(seen)).bit_length() + 1)])
+            low, high = (np.searchsorted(keys, rolled[maybe], side) for side in ("left", "right"))
+            for k, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
+                if a == b:
+                    continue
+                own = b" ".join(words[k : k + width])
+                same = [p for p in places[a:b].tolist() if self.text[self.starts[p] : self.ends[p + width - 1]] == own]
+                if same:
                     hit[k : k + width] = True
-                    items.update(owners)
+                    items.update(self.item_of[p] for p in same)
 
 
 def _spans(data: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -112,6 +133,13 @@ def _spans(data: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
+def _used_once(shared: Broadcast) -> WindowIndex:
+    """An index that the worker doesn't keep."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value
+
+
 def _blocks_of(benchmark: DataFrame, text_col: str, id_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items with words, in blocks of at most ``block_bytes`` (or one item)."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").distinct()
@@ -141,7 +169,8 @@ def decontamination_report(
     """``docs`` (or its ``pass_columns``) with a struct column ``report_col``:
     n_words, n_hit, item_ids (sorted as strings) and the byte spans of hit words."""
     spark = ship(docs.sparkSession)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks_of(benchmark, item_text_col, item_id_col, block_bytes)]
+    # Each index is built once, and the driver holds one at a time.
+    blocks = [spark.sparkContext.broadcast(WindowIndex(b, window)) for b in _blocks_of(benchmark, item_text_col, item_id_col, block_bytes)]
     content = fresh(docs.columns, "content")
     report_col = fresh(docs.columns, report_col)
     passed = docs.columns if pass_columns is None else pass_columns
@@ -152,19 +181,20 @@ def decontamination_report(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes: list[WindowIndex] = []
-        for batch in batches if len(blocks) > 1 else slices(batches):
+        alone = blocks[0].value if len(blocks) == 1 else None
+        # With several blocks the slices are larger, so that an index is loaded for many texts.
+        for batch in slices(batches) if len(blocks) <= 1 else slices(batches, 4096, 32 << 20):
             data = [x.as_py() or b"" for x in batch.column(batch.num_columns - 1)]
             words = [words_of(x) for x in data]
+            hashes = [_hashes(w) if blocks else None for w in words]
             hits = [np.zeros(len(w), bool) for w in words]
             items: list[set] = [set() for _ in words]
-            for k, block in enumerate(blocks):
-                # A single index is kept; of several, one at a time is in memory.
-                index = indexes[k] if k < len(indexes) else WindowIndex(block.value, window)
-                if len(blocks) == 1 and not indexes:
-                    indexes.append(index)
-                for w, h, i in zip(words, hits, items, strict=True):
-                    index.scan(w, h, i)
+            for block in blocks:
+                index = alone or _used_once(block)
+                for w, h, found, v in zip(words, hits, items, hashes, strict=True):
+                    own: set[int] = set()
+                    index.scan(w, h, own, v)
+                    found.update(index.ids[i] for i in own)
             report = [
                 {"n_words": len(w), "n_hit": int(h.sum()), "item_ids": sorted(x for x in i if x is not None), "spans": _spans(d, h)}
                 for d, w, h, i in zip(data, words, hits, items, strict=True)

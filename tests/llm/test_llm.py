@@ -400,7 +400,7 @@ def brute_contamination(text, items, window=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300, 40])
 def test_decontamination_matches_brute_force(spark, block_bytes):
     rng = random.Random(11)
     words = ["alpha", "beta", "Gamma", "delta", "x1", "é", "œuvre"]
@@ -420,6 +420,22 @@ def test_decontamination_matches_brute_force(spark, block_bytes):
         assert len(left) == r.contamination.n_words - r.contamination.n_hit
 
 
+def test_decontamination_index_is_bounded(spark):
+    """50 MB of benchmark in blocks: less than 1 GB an index, and marks from each of three blocks."""
+    rng = random.Random(4)
+    words = [("%06x" % rng.getrandbits(1 << 4 << 1)).encode() for _ in range(50_000)]
+    items = [(str(k), b" ".join(rng.choices(words, k=2000))) for k in range(1000)]
+    block = items[:1000]
+    size = sum(len(d) for _, d in block)
+    assert size > 14e6
+    index = decontaminate.WindowIndex(block)
+    assert 50e6 / size * index.nbytes < 1e9
+    bench = spark.createDataFrame([(k, d.decode()) for k, d in items[:30]], "item_id string, text string")
+    body = docs(spark, *[" ".join(d.decode().split()[5:25]) for _, d in items[:30]])
+    got = decontaminate.decontamination_report(body, bench, block_bytes=160_000).collect()
+    assert all(r.contamination.n_hit == 20 and str(r.doc_id) in r.contamination.item_ids for r in got)
+
+
 def test_decontamination_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text")], "item_id long, text string")
     got = decontaminate.decontaminate(odd, bench)
@@ -582,7 +598,17 @@ def test_language_evidence(spark, none):
         if r.page_id == 100:
             assert r.lang == "de"
     assert language.identify(pages.limit(0), model).count() == 0
-    assert language.identify(pages, language.train(d.limit(0))).count() == 0
+    unlabelled = language.identify(pages, language.train(d.limit(0))).collect()
+    assert len(unlabelled) == len(rows) and {(r.lang, r.probability) for r in unlabelled} == {(None, 0.0)}
+    long = spark.createDataFrame([(1, "u", "<p>" + list(texts.values())[0] * 300)], "page_id long, url string, html string")
+    assert language.identify(long, model).first().lang == list(texts)[0]
+
+
+def test_language_of_repeated_rows_is_trained(spark):
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("zwei drei vier").alias("text"), F.lit("de").alias("lang"))
+    few = spark.createDataFrame([(k, "one two three", "en") for k in range(3)], "doc_id long, text string, lang string")
+    model = language.train(same.union(few), per_language=50)
+    assert model.languages == ["de", "en"] and model.languages[int(model.likelihood("vier drei").argmax())] == "de"
 
 
 # pipeline
