@@ -51,6 +51,8 @@ from .workspace import Workspace, fresh, slices
 SPACE = "▁"
 #: Words that a dictionary holds at most, and characters of a word in it: its size is bounded.
 DICTIONARY_WORDS, LATTICE_WORD = 500_000, 64
+#: Words beyond the dictionary that a worker remembers, twice at most.
+REMEMBERED_WORDS = 60_000
 #: Words that a task counts before it hands on what it has.
 _COUNT_AT_ONCE = 200_000
 
@@ -75,7 +77,7 @@ class PieceModel:
         self.bpe = PrefixBpe(set(self.ids), lambda a, b: score.get(a + b))
         self.text = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.words = re.compile(self._pattern())
-        self.memo = Memo()
+        self.memo = Memo(REMEMBERED_WORDS)
         for probe in ("", " ", "a", "  two  spaces ", "line\nfeed\tand\rtab", "é中\U0001f600 \x00"):
             if self.encode(probe).tolist() != sp.encode(probe):
                 raise ValueError(f"the model's normaliser is not supported: {probe!r}")
