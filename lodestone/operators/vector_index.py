@@ -1,20 +1,29 @@
 """Vector search over a table of vectors (vec_id, embedding, segment columns).
 
-Queries are a set of checked size: up to ``BROADCAST_QUERIES`` of them go to
-every task, more are taken in blocks of that many, one pass for each block.
-Each task keeps its own best k before anything is shuffled.
+Queries are a stated set: they are read in blocks of ``BROADCAST_QUERIES`` vectors,
+each sent to every task.  A scan of the vectors meets all blocks, one at a time in
+memory, as a matrix product for each Arrow batch; a task keeps its own best k for
+each query, so what is shuffled doesn't grow with the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..shipping import ship
 
 BROADCAST_QUERIES = 4096
+#: Hits that a task holds for each query and place before it drops the worse ones.
+_SLACK = 4
 
 #: Direction in which each metric ranks: True if larger is nearer.
 METRICS = {"cosine": True, "inner_product": True, "l2": False}
@@ -24,38 +33,122 @@ def score(a: Column, b: Column, metric: str = "cosine") -> Column:
     return {"cosine": lambda: V.dot(V.normalise(a), V.normalise(b)), "inner_product": lambda: V.dot(a, b), "l2": lambda: V.squared_distance(a, b)}[metric]()
 
 
-def _scored(vectors: DataFrame, queries: DataFrame, metric: str, round_to: int) -> DataFrame:
-    """Every vector against every query of one block, whose size is known."""
-    left, right = vectors, queries.select("query_id", F.col("embedding").alias("query"))
-    if metric == "cosine":  # unit vectors once for each row, not for each pair
-        left, right = left.withColumn("embedding", V.normalise(F.col("embedding"))), right.withColumn("query", V.normalise(F.col("query")))
-    # One array of queries beside each vector: the set is bounded, and no pair is a row before it is scored.
-    held = right.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "query"))).alias("held"))
-    value = {"cosine": V.dot, "inner_product": V.dot, "l2": V.squared_distance}[metric]
-    paired = left.join(F.broadcast(held)).select("*", F.explode("held").alias("q")).drop("held")
-    return paired.select(
-        F.col("q.query_id").alias("query_id"), *[c for c in vectors.columns if c != "embedding"], F.round(value(F.col("embedding"), F.col("q.query")), round_to).alias("score")
-    )
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1.0)
 
 
-def blocks(queries: DataFrame, size: int = BROADCAST_QUERIES) -> list[DataFrame]:
-    """The query set in parts of ``size`` rows at most."""
-    n = queries.count()
-    if n <= size:
-        return [queries]
-    parts = -(-n // size) * 2
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k) for k in range(parts)]
+def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of ``width`` numbers, and these vectors as rows."""
+    lengths = values.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    places = np.flatnonzero(lengths == width)
+    chosen = values if len(places) == len(values) else values.take(pa.array(places))
+    return places, chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(places), width)
+
+
+def _products(rows: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of every row against every query."""
+    if metric == "cosine":
+        return _unit(rows) @ _unit(asked).T
+    if metric == "inner_product":
+        return rows @ asked.T
+    return np.maximum((rows * rows).sum(1)[:, None] + (asked * asked).sum(1)[None, :] - 2 * (rows @ asked.T), 0.0)
+
+
+def _query_blocks(queries: DataFrame) -> list[Broadcast]:
+    """Ids and matrices of at most ``BROADCAST_QUERIES`` queries of one width each;
+    the driver holds a block at a time."""
+    context, id_type = queries.sparkSession.sparkContext, queries.schema["query_id"].dataType
+    rows = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select("query_id", "embedding")
+    out: list[Broadcast] = []
+    held: dict[int, tuple[list, list]] = {}
+
+    def close(width: int) -> None:
+        ids, vectors = held.pop(width)
+        out.append(context.broadcast((pa.array(ids, pa.int64() if isinstance(id_type, (T.LongType, T.IntegerType)) else pa.string()), np.array(vectors, np.float64))))
+
+    for row in rows.toLocalIterator():
+        ids, vectors = held.setdefault(len(row.embedding), ([], []))
+        ids.append(row.query_id)
+        vectors.append(row.embedding)
+        if len(ids) == BROADCAST_QUERIES:
+            close(len(row.embedding))
+    for width in list(held):
+        close(width)
+    return out
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers in the order of the column's values, null first."""
+    values = column.to_numpy(zero_copy_only=False) if column.null_count == 0 else np.array([("",) if x is None else (" ", x) for x in column.to_pylist()], object)
+    return np.unique(values, return_inverse=True)[1].reshape(-1)
+
+
+def _best(hits: pa.Table, k: int, larger: bool, by: list[str]) -> pa.Table:
+    """The first k hits of each query (and each value of ``by``)."""
+    keys = [_codes(hits.column(c).combine_chunks()) for c in ("query_id", *by)]
+    values = hits.column("score").to_numpy()
+    order = np.lexsort((_codes(hits.column("vec_id").combine_chunks()), -values if larger else values, *reversed(keys)))
+    group = np.column_stack([x[order] for x in keys])
+    first = np.concatenate(([True], (group[1:] != group[:-1]).any(1)))[: len(order)]
+    begins = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return hits.take(pa.array(order[np.arange(len(order)) - begins < k]))
+
+
+def _scan(vectors: DataFrame, queries: DataFrame, metric: str, round_to: int, keep: Callable[[np.ndarray], np.ndarray], k: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """query_id, the columns of ``vectors`` but the embedding, score, for the pairs that
+    ``keep`` selects in a batch's matrix of scores; with ``k`` a task's best only.
+
+    Vectors without a query of their width have no score and give no row.
+    """
+    ship(vectors.sparkSession)
+    blocks, larger, by = _query_blocks(queries), METRICS[metric], by or []
+    body = vectors.select("embedding", *[c for c in vectors.columns if c != "embedding"])
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), *body.schema.fields[1:], T.StructField("score", T.DoubleType())]
+
+    def found(batch: pa.RecordBatch, shared: Broadcast) -> pa.Table:
+        ids, asked = shared.value
+        if len(blocks) > 1:  # one block at a time is in memory
+            shared.__dict__.pop("_value", None)
+        places, rows = _matrix(batch.column(0), asked.shape[1])
+        scores = np.round(_products(rows, asked, metric), round_to) + 0.0
+        at, q = np.nonzero(keep(scores))
+        chosen = batch.take(pa.array(places[at]))
+        columns = [ids.take(pa.array(q)), *chosen.columns[1:], pa.array(scores[at, q])]
+        return pa.table(columns, names=[f.name for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * len(blocks)
+        for batch in batches:
+            for n, shared in enumerate(blocks):
+                hits = found(batch, shared)
+                if k is None:
+                    yield from hits.combine_chunks().to_batches()
+                    continue
+                both = hits if held[n] is None else pa.concat_tables([held[n], hits])
+                held[n] = _best(both, k, larger, by) if len(both) > _SLACK * k * BROADCAST_QUERIES else both
+        for table in held:
+            if table is not None and len(table):
+                yield from _best(table, k, larger, by).combine_chunks().to_batches()
+
+    return body.mapInArrow(run, T.StructType(fields))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", by: list[str] | None = None, round_to: int = 6) -> DataFrame:
     """query_id, the columns of ``vectors`` but the embedding, score, rank: the k
     nearest for each query (and each value of ``by``); ties go to the smaller id."""
-    order = F.desc("score") if METRICS[metric] else F.asc("score")
-    keys = ["query_id", *(by or [])]
-    # The window's rank limit is applied in each task first, then after the shuffle.
-    window = Window.partitionBy(*keys).orderBy(order, "vec_id")
-    found = [_scored(vectors, part, metric, round_to).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k) for part in blocks(queries)]
-    return reduce(DataFrame.unionByName, found)
+    larger, places = METRICS[metric], by or []
+
+    def keep(scores: np.ndarray) -> np.ndarray:
+        """All that reach the k-th place in their column: the rest can't be among the best."""
+        if places or len(scores) <= k:
+            return np.ones(scores.shape, bool)
+        least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if larger else np.partition(scores, k - 1, axis=0)[k - 1]
+        return scores >= least if larger else scores <= least
+
+    order = F.desc("score") if larger else F.asc("score")
+    window = Window.partitionBy("query_id", *places).orderBy(order, "vec_id")
+    return _scan(vectors, queries, metric, round_to, keep, k, places).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def merge_segments(hits: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -67,8 +160,7 @@ def merge_segments(hits: DataFrame, k: int = 10, metric: str = "cosine") -> Data
 
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
     """All vectors within a radius (or above a similarity) of each query."""
-    near = (lambda s: s >= radius) if METRICS[metric] else (lambda s: s <= radius)
-    return reduce(DataFrame.unionByName, [_scored(vectors, part, metric, 6).where(near(F.col("score"))) for part in blocks(queries)])
+    return _scan(vectors, queries, metric, 6, (lambda s: s >= radius) if METRICS[metric] else (lambda s: s <= radius))
 
 
 def without(vectors: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -139,6 +231,15 @@ class InvertedIndex:
         return merge_segments(scored, k)
 
 
+def blocks(queries: DataFrame, size: int = BROADCAST_QUERIES) -> list[DataFrame]:
+    """The query set in parts of ``size`` rows at most, by their places in the order of ids."""
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    cuts = [r.query_id for r in queries.select("query_id").orderBy("query_id").withColumn("n", F.monotonically_increasing_id()).toLocalIterator()][::size]
+    return [queries.where((F.col("query_id") >= a) & (F.lit(True) if b is None else F.col("query_id") < b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+
+
 def _directions(d: int, tables: int, bits: int, seed: int) -> list[list[list[float]]]:
     import random
 
@@ -193,6 +294,72 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     return merge_segments(reduce(DataFrame.unionByName, found), k)
 
 
+class ProductQuantizer:
+    """Codes of ``parts`` bytes for each vector, one for the nearest of ``centres`` in
+    each part of it.  A search ranks by the distances of codes and scores the best
+    ``rerank * k`` of each query again, exactly.
+
+    The centres are fitted on a bounded sample (``sample_rows``); every vector is coded.
+    """
+
+    def __init__(self, parts: int = 16, centres: int = 64, sample_rows: int = 20_000, rounds: int = 12, seed: int = 7):
+        self.parts, self.centres, self.sample_rows, self.rounds, self.seed = parts, centres, sample_rows, rounds, seed
+        self.books: list[np.ndarray] = []
+
+    def fit(self, vectors: DataFrame) -> ProductQuantizer:
+        sample = vectors.where("size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample_rows).select("embedding").collect()
+        rows = _unit(np.array([r.embedding for r in sample], np.float64))
+        rng = np.random.default_rng(self.seed)
+        for part in np.array_split(rows, self.parts, axis=1):
+            book = part[rng.choice(len(part), min(self.centres, len(part)), replace=False)]
+            for _ in range(self.rounds):
+                nearest = _products(part, book, "l2").argmin(1)
+                sums, sizes = np.zeros_like(book), np.bincount(nearest, minlength=len(book))
+                np.add.at(sums, nearest, part)
+                book = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], book)
+            self.books.append(book)
+        return self
+
+    def _parts(self, rows: np.ndarray) -> list[np.ndarray]:
+        return np.array_split(_unit(rows), self.parts, axis=1)
+
+    def encode(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` with ``code``, a byte for each part, in place of the embedding."""
+        ship(vectors.sparkSession)
+        body = vectors.select("embedding", *[c for c in vectors.columns if c != "embedding"])
+        schema = T.StructType([*body.schema.fields[1:], T.StructField("code", T.BinaryType())])
+        books, split, width = self.books, self._parts, sum(b.shape[1] for b in self.books)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places, rows = _matrix(batch.column(0), width)
+                codes = np.column_stack([_products(p, b, "l2").argmin(1) for p, b in zip(split(rows), books, strict=True)]).astype(np.uint8)
+                kept = batch.take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array([c.tobytes() for c in codes], pa.binary())], schema.names)
+
+        return body.mapInArrow(run, schema)
+
+    def search(self, coded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 10) -> DataFrame:
+        """query_id, vec_id, score, rank by cosine; ``coded`` is the index of ``vectors``."""
+        blocks, books, split, most = _query_blocks(queries), self.books, self._parts, k * rerank
+        fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", coded.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, len(books))
+                for shared in blocks:
+                    ids, asked = shared.value
+                    distances = sum(_products(b, q, "l2")[codes[:, n]] for n, (b, q) in enumerate(zip(books, split(asked), strict=True)))
+                    keep = np.ones(distances.shape, bool) if len(codes) <= most else distances <= np.partition(distances, most - 1, axis=0)[most - 1]
+                    at, q = np.nonzero(keep)
+                    hits = pa.table([ids.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(distances[at, q])], names=[f.name for f in fields])
+                    yield from _best(hits, most, False, []).combine_chunks().to_batches()
+
+        near = merge_segments(coded.select("vec_id", "code").mapInArrow(run, T.StructType(fields)), most, "l2").select("query_id", "vec_id")
+        exact = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
+        return merge_segments(exact.select("query_id", "vec_id", F.round(score(F.col("embedding"), F.col("query")), 6).alias("score")), k)
+
+
 def read_segments(spark: SparkSession, path: str, segments: list[int] | None = None) -> DataFrame:
     """Vectors of a dataset partitioned by ``index_id``; other segments are not read."""
     rows = spark.read.parquet(path)

@@ -52,7 +52,21 @@ def plan(df):
 
 def test_top_k_limits_before_the_shuffle(spark):
     text = plan(registry.QUERIES["knn_topk"](spark, SF))
-    assert text.count("WindowGroupLimit") >= 2 and "Python" not in text and "CartesianProduct" not in text
+    assert text.count("WindowGroupLimit") >= 2 and "MapInArrow" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").repartition(3)
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    scanned = X._scan(vectors, asked, "cosine", 6, lambda s: s > -9, 2, [])
+    assert scanned.count() <= 2 * 3 * asked.count()
+
+
+def test_vectors_of_other_widths_and_nulls(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "s"), ("b", [0.0, 2.0], "s"), ("c", [1.0], None), ("d", None, "t"), ("e", [3.0, 0.0], None)], "vec_id string, embedding array<float>, part string")
+    asked = spark.createDataFrame([("q", [2.0, 0.0]), ("r", [5.0]), ("n", None)], "query_id string, embedding array<float>")
+    got = [(r.query_id, r.vec_id, r.score, r["rank"]) for r in X.top_k(rows, asked, 2).orderBy("query_id", "rank").collect()]
+    assert got == [("q", "a", 1.0, 1), ("q", "e", 1.0, 2), ("r", "c", 1.0, 1)]
+    assert {(r.query_id, r.vec_id) for r in X.top_k(rows, asked, 1, "l2", by=["part"]).collect()} == {("q", "a"), ("q", "e"), ("r", "c")}
+    assert {(r.query_id, r.vec_id) for r in X.within(rows, asked, 1.0).collect()} == {("q", "a"), ("q", "e")}
+    assert X.top_k(rows.limit(0), asked).count() == 0 and X.top_k(rows, asked.limit(0)).count() == 0
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -88,6 +102,15 @@ def test_recall_of_buckets(spark):
     assert same == asked.count()
 
 
+@pytest.mark.parametrize("name", ["ann_ivf", "ann_lsh", "ann_pq"])
+def test_recall_at_full_size(spark, name):
+    sf = "/root/testdata/sf0.1"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    exact = {(r.query_id, r.vec_id) for r in X.top_k(vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in registry.QUERIES[name](spark, sf).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_query_blocks_give_the_same(spark, monkeypatch):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     asked = vectors.where("vec_id < 12").withColumnRenamed("vec_id", "query_id")
