@@ -9,6 +9,8 @@ upload appends; deletions are rows of ``deleted`` that reads leave out, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -17,13 +19,14 @@ from .functions import scalars as S
 from .functions import vectors as V
 from .operators import catalog, chunking, embedding
 from .operators import vector_index as X
-from .sources import sinks
+from .sources import readers, sinks
 
 _SCHEMAS = {
     "documents": "document_id string, file string, text string, hash string, status int, added timestamp, app_id string, model string",
     "chunks": "chunk_id string, document_id string, chunk_index int, content string, app_id string, model string",
     "vectors": "vec_id string, document_id string, embedding array<float>, app_id string, model string",
     "deleted": "document_id string, app_id string",
+    "states": "document_id string, status int, app_id string, model string",
 }
 
 
@@ -53,6 +56,10 @@ class Engine:
         keys = [k for k in ("app_id", "model") if k in rows.columns]
         rows.write.mode("append").partitionBy(*keys).parquet(f"{self.root}/{name}")
 
+    def _reached(self, rows: DataFrame, status: int) -> None:
+        """Note that documents (document_id, app_id, model) have come to a state."""
+        self._append("states", rows.select("document_id", F.lit(status).alias("status"), "app_id", "model").distinct())
+
     def models(self) -> list[str]:
         return sorted(self.providers)
 
@@ -76,19 +83,35 @@ class Engine:
 
     def build_index(self, app_id: str, model: str, config: chunking.ChunkConfig = chunking.PIPELINE, strategy: str = "fixed_size") -> int:
         """Chunk and embed the documents that have no chunks yet; the number of new chunks."""
-        waiting = self.table("documents", app_id, model).join(self.table("chunks", app_id, model).select("document_id").distinct(), "document_id", "left_anti")
+        done = self.table("states", app_id, model).where(F.col("status") >= catalog.CHUNKED).select("document_id").distinct()
+        waiting = self.table("documents", app_id, model).join(done, "document_id", "left_anti")
+        self._reached(waiting, catalog.PARSED)
         parts = chunking.chunk(waiting, strategy, config, id_col="document_id")
         index = F.row_number().over(catalog.Window.partitionBy("document_id").orderBy(parts.columns[1])) - 1
         chunks = parts.select(
             F.sha2(F.concat_ws("\x1f", "document_id", F.col(parts.columns[1]).cast("string")), 256).substr(1, 32).alias("chunk_id"), "document_id", index.alias("chunk_index"), "content",
             F.lit(app_id).alias("app_id"), F.lit(model).alias("model"),
         )
-        before = self.table("chunks", app_id, model).count()
+        # A build that broke off has chunks without the state: they aren't stored twice.
+        known = self.table("chunks", app_id, model).select("chunk_id")
+        chunks, report = readers.counted(chunks.join(known, "chunk_id", "left_anti").select(*chunks.columns), f"chunks-{uuid.uuid4().hex}")
         self._append("chunks", chunks)
+        parsed = self.table("states", app_id, model).where(F.col("status") == catalog.PARSED)
+        self._reached(parsed, catalog.CHUNKED)
         stored = self.table("chunks", app_id, model)
         missing = stored.join(self.table("vectors", app_id, model).select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_anti")
         self._append("vectors", embedding.embed(missing, self.providers[model]).select(F.col("chunk_id").alias("vec_id"), "document_id", "embedding", "app_id", "model"))
-        return stored.count() - before
+        self._reached(self.table("vectors", app_id, model), catalog.VECTORISED)
+        return report()["files"]
+
+    def chunks(self, app_id: str, document_id: str, model: str) -> DataFrame:
+        """A document's chunks in their order."""
+        return self.table("chunks", app_id, model).where(F.col("document_id") == document_id).orderBy("chunk_index")
+
+    def owner(self, app_id: str, ids: list[str]) -> DataFrame:
+        """document_id, model: the project that each document is in; null for unknown ones."""
+        asked = self.spark.createDataFrame([(i,) for i in ids], "document_id string")
+        return catalog.owners(self.table("documents", app_id), asked, "document_id", "model")
 
     def search(self, app_id: str, text: str, k: int = 10, model: str | None = None, rerank: bool = True) -> DataFrame:
         """id, similarity, distance, model, rank, content, file: the nearest chunks over
@@ -101,7 +124,7 @@ class Engine:
             found = hits if found is None else found.unionByName(hits)
         if rerank and not model:
             found = X.merge_segments(found, k)
-        chunks = self.table("chunks", app_id).select(F.col("chunk_id").alias("vec_id"), "content")
+        chunks = self.table("chunks", app_id, model).select(F.col("chunk_id").alias("vec_id"), "content")
         docs = self.table("documents", app_id).select("document_id", "file")
         return found.join(chunks, "vec_id", "left").join(docs, "document_id", "left").select(
             F.col("vec_id").alias("id"), F.col("score").alias("similarity"), V.similarity_to_distance(F.col("score")).alias("distance"), "model", "rank", "content", "file"
@@ -116,7 +139,7 @@ class Engine:
         """Documents with their state and file path."""
         rows = self.table("documents", app_id)
         rows = rows if ids is None else rows.where(F.col("document_id").isin(ids))
-        done = self.table("vectors", app_id).select("document_id", F.lit(catalog.VECTORISED).alias("done")).distinct()
+        done = self.table("states", app_id).groupBy("document_id").agg(F.max("status").alias("done"))
         path = F.concat_ws("/", F.lit(self.root), "app_id", F.lit("documents"), "file")
         return rows.join(done, "document_id", "left").select("document_id", "file", "model", F.coalesce("done", "status").alias("status"), path.alias("file_path"), S.document_type(F.col("file")).alias("kind"), "added")
 
@@ -132,12 +155,20 @@ class Engine:
         return self.documents_info(app_id).groupBy("status").agg(F.count("*").alias("documents"))
 
     def destroy_index(self, app_id: str) -> None:
-        """Delete all that an application has."""
-        self._append("deleted", self.table("documents", app_id).select("document_id", "app_id"))
+        """Delete all that an application has, its files too."""
+        for name in _SCHEMAS:
+            X.drop_folder(self.spark, f"{self.root}/{name}/app_id={app_id}")
+
+    def rebuild_index(self, app_id: str, model: str) -> int:
+        """Embed all chunks of a project anew; how many vectors there are then."""
+        chunks = self.table("chunks", app_id, model)
+        vectors = embedding.embed(chunks, self.providers[model]).select(F.col("chunk_id").alias("vec_id"), "document_id", "embedding")
+        vectors.write.mode("overwrite").parquet(f"{self.root}/vectors/app_id={app_id}/model={model}")
+        return self.table("vectors", app_id, model).count()
 
     def compact(self, target: str) -> Engine:
         """Write the tables without deleted rows to ``target``, an engine of its own."""
         out = Engine(self.spark, target, self.providers)
-        for name in ("documents", "chunks", "vectors"):
+        for name in ("documents", "chunks", "vectors", "states"):
             out._append(name, self.table(name))
         return out

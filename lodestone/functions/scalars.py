@@ -132,11 +132,16 @@ def sse_payloads(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?m)^data: (\{.*\})\s*$"), 1)
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 without line breaks."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def multimodal_message(role: Column, text: Column, url: Column, mime: Column, data: Column) -> Column:
     """JSON of a message with an optional text part and an image by URL or inline."""
     shape = "struct<type: string, text: string, image_url: struct<url: string>>"
     words = F.when(F.length(text) > 0, F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("struct<url: string>").alias("image_url")))
-    place = F.coalesce(url, F.concat(F.lit("data:image/"), mime, F.lit(";base64,"), F.base64(data)))
+    place = F.coalesce(url, F.concat(F.lit("data:image/"), mime, F.lit(";base64,"), base64_line(data)))
     image = F.when(place.isNotNull(), F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(place.alias("url")).alias("image_url")))
     return F.to_json(F.struct(role.alias("role"), F.array_compact(F.array(words.cast(shape), image.cast(shape))).alias("content")))
 
@@ -268,3 +273,81 @@ def functions_valid(definitions: Column) -> Column:
     """A JSON array, not empty, of objects with a name."""
     parsed = F.from_json(definitions, "array<struct<name: string>>")
     return F.coalesce((F.size(parsed) > 0) & F.forall(parsed, lambda f: F.length(f["name"]) > 0), F.lit(False))
+
+
+#: Suffixes that can be indexed, kinds of resources and of models.
+INDEXED_SUFFIXES = "txt text doc docx xls xlsx ppt pptx pps ppsx pdf wps dps".split()
+RESOURCES = "memory cpu disk network gpu".split()
+MODEL_TYPES = "embedding parser tts llm".split()
+
+
+def indexable(path: Column) -> Column:
+    """Whether a file's last suffix, as it is written, can be indexed."""
+    return F.regexp_extract(file_name(path), r"\.([^.]*)$", 1).isin(INDEXED_SUFFIXES)
+
+
+def below(path: Column, folder: str) -> Column:
+    """Whether a path is a folder or lies below it."""
+    place = folder.rstrip("/")
+    return (path == place) | F.startswith(path, F.lit(place + "/"))
+
+
+def config_key_valid(key: Column, longest: int = 256) -> Column:
+    return id_valid(key, longest)
+
+
+def has_architecture(architectures: Column, name: str = "embedding") -> Column:
+    """Whether a list of architectures has a name, without regard to case."""
+    return F.coalesce(F.exists(architectures, lambda a: F.lower(a) == name.lower()), F.lit(False))
+
+
+def decoded(data: Column) -> Column:
+    """Binary as text: UTF-16 by its byte order mark, else UTF-8 if it is that, else
+    Latin-1, which no bytes fail; a UTF-8 mark is no part of the text."""
+    mark = F.upper(F.hex(F.substring(data, 1, 3)))
+    rest = lambda n: F.substring(data, F.lit(n + 1), F.length(data))
+    utf8 = F.when(mark == "EFBBBF", rest(3).cast("string")).when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
+    wide = F.when(F.startswith(mark, F.lit("FFFE")), F.decode(rest(2), "UTF-16LE")).when(F.startswith(mark, F.lit("FEFF")), F.decode(rest(2), "UTF-16BE"))
+    return F.coalesce(wide, utf8, F.decode(data, "ISO-8859-1"))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds from one time to another."""
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+
+
+def audio_message(data: Column, status: Column) -> Column:
+    """JSON of an audio frame, its bytes as Base64."""
+    return F.to_json(F.struct(F.struct(status.alias("status"), base64_line(data).alias("audio")).alias("data")))
+
+
+def stable_id(*parts: Column, length: int = 32) -> Column:
+    """An id made from values, the same for the same ones; null and empty differ."""
+    text = F.concat(*[F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts])
+    return F.substring(F.sha2(text, 256), 1, length)
+
+
+def big_endian(data: Column, at: int, width: int) -> Column:
+    """An unsigned number of ``width`` bytes from offset ``at``."""
+    return F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("long")
+
+
+def little_endian(data: Column, at: int, width: int) -> Column:
+    return F.conv(F.hex(F.reverse(F.substring(data, at + 1, width).cast("binary"))), 16, 10).cast("long") if width == 1 else sum((big_endian(data, at + k, 1) * (1 << (8 * k)) for k in range(1, width)), big_endian(data, at, 1))
+
+
+def image_size(data: Column) -> Column:
+    """struct(width, height) of PNG, GIF and BMP files by their headers; null for others."""
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    mark = F.hex(F.substring(data, 1, 8))
+    return (
+        F.when(mark == "89504E470D0A1A0A", size(big_endian(data, 16, 4), big_endian(data, 20, 4)))
+        .when(F.startswith(mark, F.lit("47494638")), size(little_endian(data, 6, 2), little_endian(data, 8, 2)))
+        .when(F.startswith(mark, F.lit("424D")), size(little_endian(data, 18, 4), little_endian(data, 22, 4)))
+    )
+
+
+def wave_seconds(data: Column) -> Column:
+    """Length of a plain WAVE file by its header: bytes of sound over bytes a second."""
+    mark = F.concat(F.hex(F.substring(data, 1, 4)), F.hex(F.substring(data, 9, 4)))
+    return F.when((mark == "5249464657415645") & (F.length(data) >= 44), little_endian(data, 40, 4) / little_endian(data, 28, 4))

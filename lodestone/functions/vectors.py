@@ -25,8 +25,9 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(_doubles(v), lambda x: x / length)).otherwise(_doubles(v))
+    # The length is a lambda's argument, so it isn't computed again for every element.
+    scaled = lambda length: F.when(length > 0, F.transform(_doubles(v), lambda x: x / length)).otherwise(_doubles(v))
+    return F.transform(F.array(norm(v)), scaled)[0]
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -206,6 +206,12 @@ def chunk_statistics(text: Column, config: ChunkConfig) -> Column:
     )
 
 
+def chunk_totals(docs: DataFrame, config: ChunkConfig = PIPELINE, text_col: str = "text") -> DataFrame:
+    """documents, chunks, average, skipped: what a run over ``docs`` makes, by the estimate for each text."""
+    n = chunk_statistics(F.col(text_col), config)["estimate"]
+    return docs.agg(F.count("*").alias("documents"), F.sum(n).cast("long").alias("chunks"), F.avg(n).alias("average"), F.count_if(F.length(text_col) == 0).alias("skipped"))
+
+
 def chunk(docs: DataFrame, strategy: str = "fixed_size", config: ChunkConfig = PIPELINE, **columns: str) -> DataFrame:
     """Chunks by the name of a strategy; an invalid configuration gives none."""
     kinds = {"fixed_size": chunk_fixed, "sentence": chunk_sentences, "paragraph": chunk_paragraphs, "sliding": chunk_sliding, "semantic": chunk_sentences}

@@ -56,6 +56,21 @@ def running_transcript(parts: DataFrame, key: str, order: str, text: str) -> Dat
     return parts.withColumn("transcript", F.array_join(F.collect_list(text).over(w), ""))
 
 
+def running_digest(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """chars, digest (MD5) of the transcript of a key after each part.
+
+    Transcripts grow with the square of a conversation, so they are made one after
+    the other and only their digests are rows; a conversation meets in one row.
+    """
+    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: F.coalesce(x[text], F.lit(""))), "")
+    ends = F.aggregate(
+        "p", F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + F.coalesce(F.length(x[text]), F.lit(0))))
+    )
+    each = rows.select(key, whole.alias("whole"), F.transform(F.arrays_zip("p", ends.alias("end")), lambda z: F.struct(z["p"][order].alias(order), z["end"].alias("chars"))).alias("z"))
+    return each.select(key, F.explode(F.transform("z", lambda z: F.struct(z[order].alias(order), z["chars"].alias("chars"), F.md5(F.substring(F.col("whole"), F.lit(1), z["chars"]).cast("binary")).alias("digest")))).alias("z")).select(key, "z.*")
+
+
 def speech_text(body: Column) -> Column:
     """The words of a recognition reply, ``ws[].cw[].w``, joined."""
     parsed = F.from_json(body, "struct<ws: array<struct<cw: array<struct<w: string>>>>>")
@@ -78,5 +93,37 @@ def registry_models(registry: DataFrame) -> DataFrame:
 
 
 def registry_nested(models: DataFrame) -> DataFrame:
-    """provider, models (map of kind to model): the way back, for writing JSON."""
-    return models.groupBy("provider").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "model")))).alias("models"))
+    """provider, models (map of kind to model): the way back, for writing JSON.
+    Providers without a model are left out."""
+    named = models.where(F.length("model") > 0)
+    return named.groupBy("provider").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "model")))).alias("models"))
+
+
+def capabilities(registry: DataFrame) -> DataFrame:
+    """kind, providers: who has each capability, in order."""
+    return registry_models(registry).groupBy("kind").agg(F.array_sort(F.collect_set("provider")).alias("providers"))
+
+
+def tool_definitions(tools: Column) -> Column:
+    """JSON of a tool list from structs (name, description, parameters as JSON text)."""
+    function = lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description"), F.parse_json(t["parameters"]).alias("parameters"))
+    return F.to_json(F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), function(t).alias("function"))))
+
+
+def joined_audio(parts: DataFrame, key: str, order: str, last: int = 2) -> DataFrame:
+    """key, audio, complete: the Base64 parts (code, status, audio) of a key decoded and
+    joined in order up to the first one with the ``last`` status; an error (code other
+    than 0) ends the audio before it."""
+    part = F.struct(F.col(order).alias("o"), "code", "status", F.unbase64("audio").alias("data"))
+    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    ends = lambda cond: F.coalesce(F.array_min(F.transform(F.filter("p", cond), lambda x: x["o"])), F.lit(None))
+    bounded = rows.select(key, "p", ends(lambda x: x["code"] != 0).alias("error"), ends(lambda x: (x["code"] == 0) & (x["status"] == last)).alias("end"))
+    kept = F.filter("p", lambda x: (x["code"] == 0) & (F.col("error").isNull() | (x["o"] < F.col("error"))) & (F.col("end").isNull() | (x["o"] <= F.col("end"))))
+    audio = F.aggregate(F.transform(kept, lambda x: F.coalesce(x["data"], F.lit(b""))), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+    return bounded.select(key, audio.alias("audio"), (F.col("end").isNotNull() & (F.col("error").isNull() | (F.col("end") < F.col("error")))).alias("complete"))
+
+
+def until_abort(deltas: DataFrame, aborts: DataFrame, key: str, order: str) -> DataFrame:
+    """Deltas before the first abort of their key (key, order); all of a key without one."""
+    first = aborts.groupBy(key).agg(F.min(order).alias("_abort"))
+    return deltas.join(first, key, "left").where(F.col("_abort").isNull() | (F.col(order) < F.col("_abort"))).drop("_abort")

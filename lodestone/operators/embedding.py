@@ -34,6 +34,25 @@ def hashed_provider(dimension: int = 64) -> Provider:
     return embed
 
 
+class Providers:
+    """Makers of providers by name, with defaults by kind of model."""
+
+    def __init__(self) -> None:
+        self.makers: dict[str, Callable[..., Provider]] = {"hashed": hashed_provider}
+
+    def register(self, name: str, maker: Callable[..., Provider]) -> None:
+        self.makers[name] = maker
+
+    def names(self) -> list[str]:
+        return sorted(self.makers)
+
+    def create(self, name: str, **options) -> Provider:
+        """A provider; an unknown name is an error that says what there is."""
+        if name not in self.makers:
+            raise KeyError(f"unknown provider {name!r}; there are {', '.join(self.names())}")
+        return self.makers[name](**options)
+
+
 def embed(rows: DataFrame, provider: Provider, text_col: str = "content", out_col: str = "embedding", batch: int = BATCH, prefix: str = "") -> DataFrame:
     """``rows`` with the vectors of their texts; a reply of the wrong length is an error."""
     ship(rows.sparkSession)

@@ -194,6 +194,28 @@ def consistent(vectors: DataFrame, segment: str = "label") -> DataFrame:
     return vectors.groupBy(segment).agg(((F.min(F.size("embedding")) == F.max(F.size("embedding"))) & (F.min(F.size("embedding")) > 0) & (F.count("*") == F.count_distinct("vec_id"))).alias("consistent"))
 
 
+def _centres(rows: np.ndarray, count: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means centres of some rows."""
+    if not len(rows):
+        return np.zeros((1, rows.shape[1] if rows.ndim == 2 else 0))
+    centres = rows[np.random.default_rng(seed).choice(len(rows), min(count, len(rows)), replace=False)]
+    for _ in range(rounds):
+        nearest = _products(rows, centres, "l2").argmin(1)
+        order, sizes = np.argsort(nearest, kind="stable"), np.bincount(nearest, minlength=len(centres))
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        sums = np.add.reduceat(rows[order], np.minimum(begins, len(rows) - 1), axis=0)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return centres
+
+
+def _sampled(vectors: DataFrame, rows: int) -> np.ndarray:
+    """At most ``rows`` unit vectors, those with the least hashes of their ids."""
+    sample = vectors.where("size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toArrow()
+    values = sample.column(0).combine_chunks()
+    width = int(values.value_lengths()[0].as_py()) if len(values) else 0
+    return _unit(_matrix(values, width)[1]) if width else np.zeros((0, 0))
+
+
 class InvertedIndex:
     """Cells of k-means centres; a search reads the ``probes`` nearest cells only.
 
@@ -201,34 +223,52 @@ class InvertedIndex:
     assigned to its nearest centre.
     """
 
-    def __init__(self, cells: int = 16, sample_rows: int = 100_000, seed: int = 7):
-        self.cells, self.sample_rows, self.seed, self.centres = cells, sample_rows, seed, []
+    def __init__(self, cells: int = 16, sample_rows: int = 20_000, rounds: int = 15, seed: int = 7):
+        self.cells, self.sample_rows, self.rounds, self.seed, self.centres = cells, sample_rows, rounds, seed, np.zeros((1, 0))
 
     def fit(self, vectors: DataFrame) -> InvertedIndex:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample_rows).select(array_to_vector(V.normalise(F.col("embedding"))).alias("features"))
-        model = KMeans(k=self.cells, seed=self.seed, maxIter=10).fit(sample)
-        self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
+        self.centres = _centres(_sampled(vectors, self.sample_rows), self.cells, self.rounds, self.seed)
         return self
 
-    def _nearest(self, v: Column, count: int) -> Column:
-        """Cells of the ``count`` nearest centres."""
-        unit = V.normalise(v)
-        pairs = F.array(*[F.struct(V.squared_distance(unit, F.array(*[F.lit(x) for x in c])).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(self.centres)])
-        return F.transform(F.slice(F.array_sort(pairs), 1, count), lambda p: p["cell"])
-
     def assign(self, vectors: DataFrame) -> DataFrame:
         """``vectors`` with their cell; write it partitioned by cell to prune searches."""
-        return vectors.withColumn("cell", self._nearest(F.col("embedding"), 1)[0])
+        ship(vectors.sparkSession)
+        centres, body = self.centres, vectors.select("embedding", *[c for c in vectors.columns if c != "embedding"])
+        schema = T.StructType([*body.schema.fields, T.StructField("cell", T.IntegerType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places, rows = _matrix(batch.column(0), centres.shape[1])
+                cells = _products(_unit(rows), centres, "l2").argmin(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(places)).columns, pa.array(cells)], schema.names)
+
+        return body.mapInArrow(run, schema).select(*vectors.columns, "cell")
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
-        """Nearest by cosine among the probed cells."""
-        probed = queries.select("query_id", V.normalise(F.col("embedding")).alias("query"), F.explode(self._nearest(F.col("embedding"), probes)).alias("cell"))
-        near = assigned.join(F.broadcast(probed) if queries.count() <= BROADCAST_QUERIES else probed, "cell")
-        scored = near.select("query_id", "vec_id", F.round(V.dot(V.normalise(F.col("embedding")), F.col("query")), 6).alias("score"))
-        return merge_segments(scored, k)
+        """query_id, vec_id, score, rank: nearest by cosine among the probed cells."""
+        blocks, centres = _query_blocks(queries), self.centres
+        fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", assigned.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places, rows = _matrix(batch.column(1), centres.shape[1])
+                cells = batch.column(2).to_numpy()[places]
+                for shared in blocks:
+                    ids, asked = shared.value
+                    if asked.shape[1] != centres.shape[1]:
+                        continue
+                    order = np.argsort(_products(_unit(asked), centres, "l2"), axis=1)[:, :probes]
+                    for cell in np.unique(cells):
+                        q, inside = np.flatnonzero((order == cell).any(1)), np.flatnonzero(cells == cell)
+                        scores = np.round(_products(rows[inside], asked[q], "cosine"), 6) + 0.0
+                        if len(inside) > k:
+                            at, n = np.nonzero(scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k])
+                        else:
+                            at, n = np.nonzero(np.ones(scores.shape, bool))
+                        hits = pa.table([ids.take(pa.array(q[n])), batch.column(0).take(pa.array(places[inside[at]])), pa.array(scores[at, n])], names=[f.name for f in fields])
+                        yield from hits.to_batches()
+
+        return merge_segments(assigned.select("vec_id", "embedding", "cell").mapInArrow(run, T.StructType(fields)), k)
 
 
 def blocks(queries: DataFrame, size: int = BROADCAST_QUERIES) -> list[DataFrame]:
@@ -307,17 +347,8 @@ class ProductQuantizer:
         self.books: list[np.ndarray] = []
 
     def fit(self, vectors: DataFrame) -> ProductQuantizer:
-        sample = vectors.where("size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample_rows).select("embedding").collect()
-        rows = _unit(np.array([r.embedding for r in sample], np.float64))
-        rng = np.random.default_rng(self.seed)
-        for part in np.array_split(rows, self.parts, axis=1):
-            book = part[rng.choice(len(part), min(self.centres, len(part)), replace=False)]
-            for _ in range(self.rounds):
-                nearest = _products(part, book, "l2").argmin(1)
-                sums, sizes = np.zeros_like(book), np.bincount(nearest, minlength=len(book))
-                np.add.at(sums, nearest, part)
-                book = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], book)
-            self.books.append(book)
+        rows = _sampled(vectors, self.sample_rows)
+        self.books = [_centres(part, self.centres, self.rounds, self.seed) for part in np.array_split(rows, self.parts, axis=1)]
         return self
 
     def _parts(self, rows: np.ndarray) -> list[np.ndarray]:
@@ -368,3 +399,43 @@ def read_segments(spark: SparkSession, path: str, segments: list[int] | None = N
 
 def write_segments(vectors: DataFrame, path: str, segment: str = "label", mode: str = "overwrite") -> None:
     vectors.withColumn("index_id", F.col(segment)).repartition("index_id").write.mode(mode).partitionBy("index_id").parquet(path)
+
+
+def added(vectors: DataFrame, batch: DataFrame, dimension: int) -> DataFrame:
+    """``vectors`` and the unit vectors of a batch: those with ``dimension`` numbers whose
+    ids are neither there nor earlier in the batch's order of hashes."""
+    good = batch.where(V.valid(F.col("embedding"), dimension)).dropDuplicates(["vec_id"])
+    fresh = good.join(vectors.select("vec_id"), "vec_id", "left_anti")
+    return vectors.unionByName(fresh.withColumn("embedding", V.normalise(F.col("embedding")).cast(vectors.schema["embedding"].dataType)).select(*vectors.columns))
+
+
+def numbered_after(batch: DataFrame, order: str, last: int) -> DataFrame:
+    """The rows of a batch of checked size with ``int_id`` from ``last + 1`` on, in order:
+    the positions that an index appends them at."""
+    return batch.withColumn("int_id", F.row_number().over(Window.orderBy(order)) + F.lit(last))
+
+
+def segments(spark: SparkSession, path: str) -> list[int]:
+    """The indexes of a dataset, from its partitions alone."""
+    return sorted(r.index_id for r in spark.read.parquet(path).select("index_id").distinct().collect())
+
+
+def _place(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with its files; whether it was there."""
+    target, files = _place(spark, path)
+    return bool(files.delete(target, True))
+
+
+def drop_segment(spark: SparkSession, path: str, segment: int) -> bool:
+    """Delete an index with its files; whether it was there."""
+    return drop_folder(spark, f"{path}/index_id={segment}")
+
+
+def rebuild_segment(vectors: DataFrame, path: str, segment: int) -> None:
+    """Replace an index by ``vectors``; the other indexes stay as they are."""
+    vectors.drop("index_id").write.mode("overwrite").parquet(f"{path}/index_id={segment}")

@@ -101,12 +101,12 @@ def knn_cross_project(spark, sf):
 
 
 @query(f"""WITH {_PAIRS}, h AS (SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10)
-SELECT query_id, vec_id, score, sqrt(greatest(0.0, 2 * (1 - score))) AS distance, d.source AS file, left(d.text, 40) AS head FROM h LEFT JOIN documents d ON d.doc_id = h.vec_id""")
+SELECT query_id, vec_id, score, sqrt(greatest(0.0, 2 * (1 - score))) AS distance, d.source AS file, d.text AS content FROM h LEFT JOIN documents d ON d.doc_id = h.vec_id""")
 def hit_enrichment(spark, sf):
     """Hits with the document they come from and the distance of older replies."""
     hits = X.top_k(_vectors(spark, sf), _queries(spark, sf), 10)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("file"), F.left("text", F.lit(40)).alias("head"))
-    return hits.join(docs, "vec_id", "left").select("query_id", "vec_id", "score", V.similarity_to_distance(F.col("score")).alias("distance"), "file", "head")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("file"), F.col("text").alias("content"))
+    return hits.join(docs, "vec_id", "left").select("query_id", "vec_id", "score", V.similarity_to_distance(F.col("score")).alias("distance"), "file", "content")
 
 
 @query(f"SELECT vec_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS unit FROM embeddings")
@@ -156,24 +156,32 @@ def index_advisor(spark, sf):
 
 
 @query("""SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM
-(SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 10 <> 0 UNION ALL
- SELECT vec_id, label + 100, list_transform(embedding, lambda x: -x) FROM embeddings WHERE vec_id % 10 = 0)""")
+(SELECT vec_id, label, embedding FROM embeddings WHERE label <> 3 UNION ALL
+ SELECT vec_id, label + 100, list_transform(embedding, lambda x: -x) FROM embeddings WHERE label = 3)""")
 def vector_upsert(spark, sf):
     """Changed vectors replace those with their id."""
     rows = _vectors(spark, sf)
-    changes = rows.where("vec_id % 10 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    changes = rows.where("label = 3").select("vec_id", (F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding"))
     out = X.upsert(rows, changes)
     return out.select("vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
-@query(f"""WITH {_PAIRS}, c AS (SELECT query_id, vec_id, score AS distance, 1 AS source_rank, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM l WHERE vec_id % 2 = 1),
-d AS (SELECT query_id, vec_id, score AS distance, 0 AS source_rank, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM l WHERE vec_id % 2 = 0),
+@query(f"""SELECT vec_id, label, round(list_sum({_UNIT}), 4) AS total FROM embeddings WHERE label >= 5 UNION ALL SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) FROM embeddings WHERE label < 5""")
+def vector_add(spark, sf):
+    """A batch added to an index: known ids and wrong widths are left out, the rest is normalised."""
+    rows = _vectors(spark, sf)
+    out = X.added(rows.where("label < 5"), rows.unionByName(rows.select((-F.col("vec_id") - 1).alias("vec_id"), "label", F.slice("embedding", 1, 3).alias("embedding"))), 64)
+    return out.select("vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT query_id, vec_id, score AS distance, 1 AS source_rank, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM l WHERE label < 5),
+d AS (SELECT query_id, vec_id, score AS distance, 0 AS source_rank, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM l WHERE label >= 5),
 b AS (SELECT * FROM c WHERE n <= 5 UNION ALL SELECT * FROM d WHERE n <= 5)
 SELECT query_id, vec_id, distance, source_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, source_rank, vec_id) AS rank FROM b) WHERE rank <= 5""")
 def two_way_merge(spark, sf):
     """The cache's and the stored segments' hits merged by distance."""
     near = lambda cond: X.top_k(_vectors(spark, sf).where(cond), _queries(spark, sf), 5, "l2").select("query_id", "vec_id", F.col("score").alias("distance"))
-    return X.merge_two_way(near("vec_id % 2 = 1"), near("vec_id % 2 = 0"), 5)
+    return X.merge_two_way(near("label < 5"), near("label >= 5"), 5)
 
 
 @query()
@@ -275,10 +283,7 @@ def chunk_stats(spark, sf):
 
 @query("SELECT count(*) AS documents, sum((length(text) + 461) // 462)::BIGINT AS chunks, round(avg((length(text) + 461) // 462), 6) AS average, count(*) FILTER (WHERE length(text) = 0) AS skipped FROM documents")
 def chunk_totals(spark, sf):
-    n = chunking.chunk_statistics(F.col("text"), chunking.PIPELINE)["estimate"]
-    return table(spark, sf, "documents").agg(
-        F.count("*").alias("documents"), F.sum(n).cast("long").alias("chunks"), F.round(F.avg(n), 6).alias("average"), F.count_if(F.length("text") == 0).alias("skipped")
-    )
+    return chunking.chunk_totals(table(spark, sf, "documents"), chunking.PIPELINE).withColumn("average", F.round("average", 6))
 
 
 # catalog
@@ -298,22 +303,88 @@ def doc_status_counts(spark, sf):
     return _documents(spark, sf).groupBy("status").agg(F.count("*").alias("documents"))
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_STATUS} >= 1) AS processed, 0 AS failed FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_STATUS} > 1) AS processed, count(*) FILTER (WHERE {_STATUS} = 1) AS failed FROM documents d LEFT JOIN labels l USING (doc_id)")
 def doc_stats(spark, sf):
-    return _documents(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("status") >= 1).alias("processed"), F.lit(0).alias("failed"))
+    return catalog.document_totals(_documents(spark, sf), F.col("status") == catalog.PARSED)
 
 
-@query(f"SELECT doc_id, d.source || '/documents/' || doc_id AS file_path, {_STATUS} AS status, 0 AS progress, CASE WHEN {_STATUS} = 3 THEN 1 ELSE 0 END AS legacy_status FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query(f"SELECT doc_id, d.source || '/documents/' || doc_id AS file_path, {_STATUS} AS status, round({_STATUS} * 100.0 / 3, 2)::DOUBLE AS progress, CASE WHEN {_STATUS} = 3 THEN 1 ELSE 0 END AS legacy_status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def doc_status_projection(spark, sf):
-    return _documents(spark, sf).select(
-        "doc_id", F.concat_ws("/", "source", F.lit("documents"), F.col("doc_id").cast("string")).alias("file_path"), "status", F.lit(0).alias("progress"),
-        F.when(F.col("status") == catalog.VECTORISED, 1).otherwise(0).alias("legacy_status"),
-    )
+    return catalog.processing_states(_documents(spark, sf), "doc_id", F.col("source"), F.col("doc_id").cast("string"))
 
 
 @query(f"SELECT doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {_STATUS} = 0")
 def doc_ready(spark, sf):
-    return _documents(spark, sf).where(F.coalesce("status", F.lit(0)) == catalog.UNPROCESSED).select("doc_id")
+    return catalog.with_status(_documents(spark, sf), catalog.UNPROCESSED, "doc_id", "doc_id").select("doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {_STATUS} = 2 ORDER BY doc_id DESC LIMIT 20")
+def doc_by_status(spark, sf):
+    """A page of the newest documents in a state."""
+    return catalog.with_status(_documents(spark, sf), catalog.CHUNKED, "doc_id", "doc_id").limit(20).select("doc_id", "source")
+
+
+@query(f"SELECT doc_id, greatest({_STATUS}, CASE WHEN quality = 1 THEN 2 ELSE 0 END) AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def status_advance(spark, sf):
+    """Documents whose chunks were stored are at least chunked; none goes back."""
+    return catalog.advanced(_documents(spark, sf), table(spark, sf, "labels").where("quality = 1"), "doc_id", catalog.CHUNKED).select("doc_id", "status")
+
+
+@query("SELECT l.doc_id, min(d.source) AS source FROM (SELECT DISTINCT doc_id + 100 AS doc_id FROM labels) l LEFT JOIN documents d USING (doc_id) GROUP BY 1")
+def doc_owner(spark, sf):
+    """The project of each document that is asked for."""
+    return catalog.owners(table(spark, sf, "documents"), table(spark, sf, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id", "source")
+
+
+@query("""WITH s AS (SELECT doc_id::VARCHAR AS file, quality AS status FROM labels), l AS (SELECT conv_id::VARCHAR AS file, arg_min(text, turn) AS content FROM conversations GROUP BY 1),
+c AS (SELECT doc_id::VARCHAR AS file, lang AS content FROM documents)
+SELECT file, status, CASE WHEN status = 1 THEN coalesce(l.content, c.content) END AS content FROM s LEFT JOIN l USING (file) LEFT JOIN c USING (file)""")
+def doc_list(spark, sf):
+    """All files with the first content line of those that succeeded."""
+    name = lambda t, key: table(spark, sf, t).withColumn("file", F.col(key).cast("string"))
+    lines = name("conversations", "conv_id").select("file", F.col("turn").alias("id"), F.col("text").alias("content"))
+    cached = name("documents", "doc_id").select("file", F.lit(0).alias("id"), F.col("lang").alias("content"))
+    return catalog.document_list(name("labels", "doc_id").select("file", F.col("quality").alias("status")), lines, cached)
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role IS NULL OR length(role) NOT BETWEEN 1 AND 6 OR text IS NULL OR text = '')")
+def chunk_gate(spark, sf):
+    """Batches in which every record is valid."""
+    return catalog.accepted_chunks(table(spark, sf, "conversations"), "conv_id", "role", "text", 6).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index, text AS content FROM conversations")
+def chunk_insert(spark, sf):
+    """Lists of chunks as rows, in the order of the list."""
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("parts"))
+    return catalog.inserted_chunks(lists, "conv_id", "parts")
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS entries, (SELECT sum(s_nationkey) FROM supplier)::BIGINT AS size, (SELECT round(avg(CASE WHEN o_custkey IN (SELECT s_suppkey FROM supplier) THEN 1 ELSE 0 END), 9) FROM orders) AS hit_rate")
+def cache_stats(spark, sf):
+    cache = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("index_id"), F.col("s_nationkey").alias("size"))
+    return catalog.cache_statistics(cache, table(spark, sf, "orders").select(F.col("o_custkey").alias("index_id"))).withColumn("hit_rate", F.round("hit_rate", 9))
+
+
+@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages) SELECT page_id FROM p WHERE path NOT LIKE '%/a%' AND path NOT LIKE '%.de/%_%1'""")
+def delete_wildcards(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("path"))
+    return catalog.delete_matching(rows, ["*/a*", "*.de/*?*1"]).select("page_id")
+
+
+@query("""WITH e AS (SELECT user_id AS doc_id, arg_max(event_type, ts + INTERVAL (event_id) MICROSECOND) AS kind FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY 1)
+SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e) UNION ALL SELECT doc_id, kind FROM e WHERE kind = 'purchase'""")
+def index_upkeep(spark, sf):
+    """An index after file events: the last one of a file decides."""
+    kind = F.when(F.col("event_type") == "purchase", "new").when(F.col("event_type") == "error", "delete")
+    changes = stream.route(table(spark, sf, "events"), kind).select(F.col("user_id").alias("doc_id"), "action", F.col("event_type").alias("lang"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") / 1e6)).alias("at"))
+    return catalog.upkeep(table(spark, sf, "documents").select("doc_id", "lang"), changes, "doc_id", [F.desc("at")])
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def abort_list(spark, sf):
+    """Files under way without those that were deleted meanwhile."""
+    return catalog.without_gone(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").where("toxic = 1"), "doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%'")
@@ -324,7 +395,7 @@ def doc_search_like(spark, sf):
 @query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def doc_dedup_hash(spark, sf):
     """Documents whose content hash occurs more than once."""
-    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return catalog.copies(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("""SELECT page_id, name, CASE WHEN n = 0 THEN name ELSE name || '_' || n END AS unique_name FROM
@@ -351,7 +422,19 @@ def parser_select(spark, sf):
 @query("SELECT source AS project, count(*) AS documents, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id FROM documents WHERE source <> 'src3' GROUP BY 1")
 def project_rollup(spark, sf):
     """Totals of projects that aren't deleted."""
-    return table(spark, sf, "documents").where("source != 'src3'").groupBy(F.col("source").alias("project")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"))
+    docs = table(spark, sf, "documents")
+    projects = docs.select(F.col("source").alias("project_id"), F.when(F.col("source") == "src3", catalog.DELETED).otherwise(catalog.ACTIVE).alias("status")).distinct()
+    live = catalog.projects_of(projects).select(F.col("project_id").alias("source"))
+    return catalog.project_totals(docs.join(live, "source", "left_semi"), "source", "n_chars", "doc_id")
+
+
+@query("SELECT n_name AS project_id, n_regionkey AS app_id, coalesce(c, 0) AS total_documents FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def project_update(spark, sf):
+    """Projects with their current totals."""
+    nations = table(spark, sf, "nation")
+    projects = nations.select(F.col("n_name").alias("project_id"), F.col("n_regionkey").alias("app_id"), F.lit(-1).cast("long").alias("total_documents"))
+    held = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return catalog.project_updated(projects, catalog.project_totals(held, "n_name", "s_acctbal", "s_suppkey"))
 
 
 @query("""WITH gone AS (SELECT doc_id FROM labels WHERE quality = 0), c AS (SELECT doc_id, unnest(range(0, (length(text) + 461) // 462)) AS k FROM documents)
@@ -374,32 +457,31 @@ def status_upsert(spark, sf):
     return catalog.upsert(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), ["user_id"], "event_id").select("user_id", "event_id")
 
 
-@query("""WITH s AS (SELECT doc_id::VARCHAR AS file, quality AS status FROM labels), d AS (SELECT doc_id::VARCHAR AS file FROM documents WHERE doc_id % 3 <> 0)
+@query("""WITH s AS (SELECT doc_id::VARCHAR AS file, quality AS status FROM labels), d AS (SELECT page_id::VARCHAR AS file FROM pages)
 SELECT file, CASE WHEN status = 0 THEN 3 ELSE status END AS status FROM s WHERE NOT (status = 1 AND file NOT IN (SELECT file FROM d))
 UNION ALL SELECT file, 1 FROM d WHERE file NOT IN (SELECT file FROM s)""")
 def status_reconcile(spark, sf):
     statuses = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("file"), F.col("quality").alias("status"))
-    return catalog.reconcile(statuses, table(spark, sf, "documents").where("doc_id % 3 != 0").select(F.col("doc_id").cast("string").alias("file")))
+    return catalog.reconcile(statuses, table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file")))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, n_chars AS m FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS m FROM documents WHERE doc_id % 11 <> 0)
-SELECT coalesce(a.id, b.id) AS doc_id, CASE WHEN b.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' WHEN a.m <> b.m THEN 'update' ELSE 'skip' END AS action FROM a FULL JOIN b ON a.id = b.id""")
+@query("""WITH a AS (SELECT page_id AS id, length(html) % 2 AS m FROM pages), b AS (SELECT doc_id + 100 AS id, n_chars % 2 AS m FROM documents)
+SELECT coalesce(a.id, b.id) AS file_id, CASE WHEN b.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' WHEN a.m <> b.m THEN 'update' ELSE 'skip' END AS action FROM a FULL JOIN b ON a.id = b.id""")
 def stale_detect(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    index = docs.where("doc_id % 11 != 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return catalog.stale(docs.where("doc_id % 7 != 0"), index, "doc_id", "n_chars")
+    listing = table(spark, sf, "pages").select(F.col("page_id").alias("file_id"), (F.length("html") % 2).cast("long").alias("m"))
+    return catalog.stale(listing, table(spark, sf, "documents").select((F.col("doc_id") + 100).alias("file_id"), (F.col("n_chars") % 2).alias("m")), "file_id", "m")
 
 
 @query("SELECT count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def integrity_check(spark, sf):
     """Catalogued documents without a stored row."""
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("missing"))
+    return catalog.missing(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").agg(F.count("*").alias("missing"))
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN -1 END, n_chars) AS n_chars, source FROM documents")
+@query("SELECT doc_id, coalesce(quality, n_chars)::BIGINT AS n_chars, source FROM documents LEFT JOIN labels USING (doc_id)")
 def catalog_patch(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "n_chars", "source")
-    return catalog.patched(rows, rows.where("doc_id % 2 = 0").select("doc_id", F.lit(-1).cast("long").alias("n_chars")), "doc_id")
+    return catalog.patched(rows, table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("n_chars")), "doc_id")
 
 
 @query("SELECT page_id FROM pages WHERE NOT starts_with(url, 'http://th') AND NOT contains(url, '/.') AND length(url) <= 4095 AND length(url) - length(replace(url, '/', '')) <= 20")
@@ -407,11 +489,12 @@ def blacklist_filter(spark, sf):
     return table(spark, sf, "pages").where(S.path_allowed(F.col("url"), ["http://th"])).select("page_id")
 
 
-@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages), g AS (SELECT path FROM p WHERE page_id % 10 = 0)
+@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages), g AS (SELECT path FROM p WHERE page_id IN (SELECT doc_id FROM labels WHERE quality = 0))
 SELECT page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE p.path = g.path OR starts_with(p.path, g.path || '/'))""")
 def delete_paths(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("path"))
-    return catalog.delete_paths(rows, rows.where("page_id % 10 = 0")).select("page_id")
+    gone = rows.join(table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    return catalog.delete_paths(rows, gone).select("page_id")
 
 
 @query("""SELECT key, coalesce(r.value, s.value, d.value) AS value FROM (SELECT n_name AS key, 'd' || n_nationkey AS value FROM nation) d
@@ -437,18 +520,20 @@ def lru_evict(spark, sf):
 
 @query("SELECT coalesce(max(doc_id) + 1, 0) AS next_id FROM documents")
 def next_id(spark, sf):
-    return table(spark, sf, "documents").agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("next_id"))
+    return catalog.next_id(table(spark, sf, "documents"), "doc_id")
 
 
-@query("""SELECT doc_id, left(text, 20) AS head FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT 10""")
+@query("""SELECT doc_id, text FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT 10""")
 def newest_first(spark, sf):
     """A page of the newest documents of a kind."""
-    return table(spark, sf, "documents").where("lang = 'fr'").orderBy(F.desc("doc_id")).limit(10).select("doc_id", F.left("text", F.lit(20)).alias("head"))
+    return table(spark, sf, "documents").where("lang = 'fr'").orderBy(F.desc("doc_id")).limit(10).select("doc_id", "text")
 
 
-@query("SELECT source, '{\"results\":[' || string_agg('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}', ',' ORDER BY doc_id) || ']}' AS reply FROM documents GROUP BY source")
+@query("""WITH p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS page FROM documents)
+SELECT source, page, '{"results":[' || string_agg('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}', ',' ORDER BY doc_id) || ']}' AS reply FROM p GROUP BY source, page""")
 def json_reply(spark, sf):
-    return sinks.reply(table(spark, sf, "documents"), ["source"], ["doc_id", "lang"], ["doc_id"])
+    """Pages of a hundred results."""
+    return sinks.paged_reply(table(spark, sf, "documents"), ["source"], ["doc_id", "lang"], "doc_id", [])
 
 
 # tasks and events
@@ -479,14 +564,41 @@ def request_rate_60s(spark, sf):
 
 @query("""SELECT event_type, count(*) AS events, count(*) FILTER (WHERE value < 10) AS pending, round(sum(value), 4) AS total_time FROM events GROUP BY event_type""")
 def type_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.col("value") < 10).alias("pending"), F.round(F.sum("value"), 4).alias("total_time"))
+    return tasks.kind_counts(table(spark, sf, "events"), "event_type", "value", F.col("value") < 10).withColumn("total_time", F.round("total_time", 4))
 
 
 @query("""SELECT event_type, round(sum(value), 4) AS total_time FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100 GROUP BY 1""")
 def total_exec_time(spark, sf):
     """Execution time over the samples that are retained, the last hundred."""
-    rolled = tasks.rolling(table(spark, sf, "events"), "event_type", "value")
-    return catalog.latest(rolled, ["event_type"], F.desc("ts"), F.desc("event_id")).select("event_type", F.round("rolling_sum", 4).alias("total_time"))
+    return tasks.retained_time(table(spark, sf, "events"), "event_type", "value").withColumn("total_time", F.round("total_time", 4))
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 100 AS segment FROM events")
+def segment_flush(spark, sf):
+    """The segment that each row is written to when a buffer is flushed at a hundred."""
+    return tasks.flushed(table(spark, sf, "events"), "event_type", "ts", ["event_id"]).select("event_id", "segment")
+
+
+@query("""SELECT o_orderpriority AS stage, count(*) FILTER (WHERE o_orderstatus = 'O') AS queued, count(*) FILTER (WHERE o_orderstatus = 'P') AS running,
+CASE WHEN o_orderpriority LIKE '1%' THEN 8 ELSE 4 END AS "limit", round(count(*) FILTER (WHERE o_orderstatus = 'P') * 100.0 / CASE WHEN o_orderpriority LIKE '1%' THEN 8 ELSE 4 END, 6) AS usage FROM orders GROUP BY 1""")
+def stage_stats(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stage"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").alias("state"))
+    return tasks.stage_statistics(rows, {"1-URGENT": 8}).withColumn("usage", F.round("usage", 6))
+
+
+@query("""WITH t AS (SELECT *, count(*) FILTER (WHERE o_orderstatus = 'P') OVER (PARTITION BY o_custkey) AS busy, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS n FROM orders)
+SELECT o_custkey, o_orderkey FROM t WHERE o_orderstatus = 'O' AND n <= 4 - busy""")
+def admission(spark, sf):
+    """Queued tasks that the free slots of their kind take."""
+    rows = table(spark, sf, "orders").withColumn("kind", F.col("o_custkey").cast("string")).withColumn("state", F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running"))
+    return tasks.admit(rows, order=["o_orderpriority", "o_orderdate", "o_orderkey"]).where("admitted").select("o_custkey", "o_orderkey")
+
+
+@query()
+def session_cap(spark, sf):
+    """Requests of applications to hosts that hold a bounded number of sessions."""
+    rows = table(spark, sf, "events").withColumn("host", F.col("event_type"))
+    return tasks.session_requests(rows, "host", "user_id")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -532,12 +644,11 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("""SELECT event_type, sum(value)::BIGINT AS used FROM (SELECT event_type, event_id % 7 AS value FROM events UNION ALL SELECT event_type, event_id % 3 FROM events) GROUP BY 1""")
+@query("""SELECT resource, sum(v)::BIGINT AS used FROM (SELECT o_orderpriority AS resource, o_custkey AS v FROM orders UNION ALL SELECT 'all', o_orderkey FROM orders) GROUP BY 1""")
 def map_merge_usage(spark, sf):
     """Requirement maps of tasks summed key by key."""
-    maps = table(spark, sf, "events").select(F.create_map("event_type", F.struct((F.col("event_id") % 7).alias("a"), (F.col("event_id") % 3).alias("b"))).alias("needs"))
-    flat = maps.select(F.explode("needs").alias("event_type", "v"))
-    return flat.groupBy("event_type").agg((F.sum("v.a") + F.sum("v.b")).alias("used"))
+    maps = table(spark, sf, "orders").select(F.create_map(F.lit("all"), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_custkey")).alias("needs"))
+    return tasks.needs(maps, "needs")
 
 
 @query("SELECT r_regionkey, round(r_regionkey * 100.0 / 4, 6) AS percent, r_regionkey + 2 <= 4 AS admitted, r_regionkey * 30 <= 90 AND r_regionkey * 24 <= 95 AS healthy FROM region")
@@ -574,28 +685,44 @@ def sse_reassemble(spark, sf):
     return dialogue.ordered_concat(dialogue.sse_deltas(bodies, ["conv_id"], "body", "turn"), ["conv_id"], "seq", "delta", "text")
 
 
-@query("""SELECT conv_id, (turn % 2)::BIGINT AS "index", arg_max('id' || turn, turn) AS id, arg_max(role, turn) AS kind, string_agg(role, '' ORDER BY turn) AS name, string_agg(left(text, 5), '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1, 2""")
+@query("""SELECT conv_id, (turn % 2)::BIGINT AS "index", arg_max('id' || turn, turn) AS id, arg_max(role, turn) AS kind, string_agg(role, '' ORDER BY turn) AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1, 2""")
 def tool_call_merge(spark, sf):
     parts = table(spark, sf, "conversations").select(
         "conv_id", (F.col("turn") % 2).alias("index"), F.col("turn").alias("seq"), F.concat(F.lit("id"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("kind"),
-        F.col("role").alias("name"), F.left("text", F.lit(5)).alias("arguments"),
+        F.col("role").alias("name"), F.col("text").alias("arguments"),
     )
     return dialogue.merge_tool_calls(parts)
 
 
-@query("SELECT conv_id, turn, string_agg(left(text, 3), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS transcript FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM conversations)
+SELECT conv_id, turn, length(t) AS chars, md5(t) AS digest FROM t""")
 def transcript_running(spark, sf):
-    parts = table(spark, sf, "conversations").select("conv_id", "turn", F.left("text", F.lit(3)).alias("word"))
-    return dialogue.running_transcript(parts, "conv_id", "turn", "word").select("conv_id", "turn", "transcript")
+    """The transcript after each part, as its length and digest."""
+    return dialogue.running_digest(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "chars", "digest")
 
 
-@query("SELECT conv_id, turn, left(text, 8) || right(text, 2) AS words FROM conversations")
+@query("SELECT conv_id, turn, text || role AS words FROM conversations")
 def speech_words(spark, sf):
     w = lambda c: F.struct(F.array(F.struct(c.alias("w"))).alias("cw"))
-    body = F.to_json(F.struct(F.array(w(F.left("text", F.lit(8))), w(F.right("text", F.lit(2)))).alias("ws")))
+    body = F.to_json(F.struct(F.array(w(F.col("text")), w(F.col("role"))).alias("ws")))
     return table(spark, sf, "conversations").select("conv_id", "turn", dialogue.speech_text(body).alias("words"))
 
 
+@query("""WITH e AS (SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant') AS last FROM conversations GROUP BY 1)
+SELECT conv_id, string_agg(text, '' ORDER BY turn) AS audio, any_value(last) IS NOT NULL AS complete FROM conversations JOIN e USING (conv_id) WHERE last IS NULL OR turn <= last GROUP BY conv_id""")
+def audio_join(spark, sf):
+    """Base64 parts joined up to the last frame."""
+    parts = table(spark, sf, "conversations").select("conv_id", "turn", F.lit(0).alias("code"), F.when(F.col("role") == "assistant", 2).otherwise(1).alias("status"), F.base64(F.col("text").cast("binary")).alias("audio"))
+    return dialogue.joined_audio(parts, "conv_id", "turn").withColumn("audio", F.col("audio").cast("string"))
+
+
+@query("""WITH e AS (SELECT conv_id, min(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT c.conv_id, turn, text FROM conversations c LEFT JOIN e USING (conv_id) WHERE last IS NULL OR turn < last""")
+def chat_until_abort(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.until_abort(rows.drop("role"), rows.where("role = 'assistant'"), "conv_id", "turn")
+
+
 def _registry(spark: SparkSession) -> DataFrame:
     return spark.sql(
         "SELECT map('Chat', 'alpha', 'OCR', 'beta') AS defaults, map('alpha', map('Chat', 'a-1', 'Embedding', 'a-2'), 'beta', map('Chat', 'b-1', 'OCR', 'b-2')) AS providers"
@@ -613,7 +740,23 @@ def capability_explode(spark, sf):
 @query(f"SELECT kind, string_agg(provider, ',' ORDER BY provider) AS providers FROM {_MODELS} GROUP BY kind")
 def capabilities(spark, sf):
     """Capabilities over all providers, with who has them."""
-    return dialogue.registry_models(_registry(spark)).groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
+    return dialogue.capabilities(_registry(spark)).withColumn("providers", F.array_join("providers", ","))
+
+
+@query("""SELECT n_name AS provider, '{' || string_agg('"' || s_name || '":"m' || s_suppkey || '"', ',' ORDER BY s_name) || '}' AS models FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+def config_writer(spark, sf):
+    """Models regrouped by provider, as they are written."""
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    nested = dialogue.registry_nested(rows.select(F.col("n_name").alias("provider"), F.col("s_name").alias("kind"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("model")))
+    return nested.select("provider", F.to_json("models").alias("models"))
+
+
+@query("SELECT s_name AS model, s_nationkey % 2 = 0 AS is_embedding, s_suppkey AS size FROM supplier")
+def installed_models(spark, sf):
+    """The catalogue of a local model tool."""
+    arch = F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("bert"), F.lit("Embedding"))).otherwise(F.array(F.lit("llm")))
+    body = F.to_json(F.create_map("s_name", F.struct(arch.alias("architectures"), F.col("s_suppkey").alias("size"))))
+    return readers.installed_models(table(spark, sf, "supplier").select(body.alias("body")), "body").select("model", "is_embedding", "size")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'OCR' WHEN 'click' THEN 'TextToSpeech' ELSE 'Chat' END AS kind, CASE event_type WHEN 'view' THEN 'Vision' WHEN 'click' THEN 'Speech' ELSE 'NLP' END AS service_group FROM events")
@@ -665,9 +808,42 @@ def name_functions(spark, sf):
     )
 
 
-@query("SELECT doc_id, regexp_matches(text, '[\\x{4E00}-\\x{9FBF}]') AS cjk, substring(text, 11, 5) AS part FROM documents WHERE length(text) > 10")
+@query("SELECT doc_id, regexp_matches(text, '[\\x{4E00}-\\x{9FBF}]') AS cjk, CASE WHEN length(text) > 10 THEN substring(text, 11, 5) ELSE '' END AS part FROM documents")
 def text_functions(spark, sf):
-    return table(spark, sf, "documents").where(F.length("text") > 10).select("doc_id", S.has_cjk(F.col("text")).alias("cjk"), S.text_range(F.col("text"), 10, 5).alias("part"))
+    return table(spark, sf, "documents").select("doc_id", S.has_cjk(F.col("text")).alias("cjk"), S.text_range(F.col("text"), 10, 5).alias("part"))
+
+
+@query("SELECT doc_id, text AS utf8, text AS utf16 FROM documents")
+def decode_text(spark, sf):
+    """Bytes in two encodings as text again."""
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    return table(spark, sf, "documents").select("doc_id", S.decoded(F.col("text").cast("binary")).alias("utf8"), S.decoded(wide).alias("utf16"))
+
+
+@query("SELECT doc_id, sha256(length(source) || ':' || source || length(text) || ':' || text)[1:32] AS id FROM documents")
+def stable_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", S.stable_id(F.col("source"), F.col("text")).alias("id"))
+
+
+@query("""SELECT s_suppkey, s_name || '.' || n_name || '.' || CASE WHEN n_regionkey = 1 THEN 'docx' WHEN n_regionkey = 2 THEN 'PDF' WHEN n_regionkey = 3 THEN 'dps' ELSE 'md' END AS file, n_regionkey IN (1, 3) AS indexable, n_name <= 'F' AS below
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def file_predicates(spark, sf):
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    ext = F.element_at(F.create_map(*[F.lit(x) for x in (0, "md", 1, "docx", 2, "PDF", 3, "dps", 4, "md")]), F.col("n_regionkey"))
+    file = F.concat("s_name", F.lit("."), "n_name", F.lit("."), ext)
+    home = F.concat(F.when(F.col("n_name") <= "F", "/home/a/").otherwise("/home/ab/"), file)
+    return rows.select("s_suppkey", file.alias("file"), S.indexable(file).alias("indexable"), S.below(home, "/home/a").alias("below"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts) // 1000) FROM events) AS elapsed FROM events")
+def elapsed(spark, sf):
+    rows = table(spark, sf, "events")
+    return rows.join(rows.agg(F.min("ts").alias("began"))).select("event_id", S.elapsed_ms(F.col("began"), F.col("ts")).alias("elapsed"))
+
+
+@query("""SELECT conv_id, turn, '{"data":{"status":' || turn || ',"audio":"' || base64(encode(text)) || '"}}' AS message FROM conversations""")
+def audio_messages(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.audio_message(F.col("text").cast("binary"), F.col("turn")).alias("message"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '/home/' || n_name ELSE '/data/' || n_name END AS path FROM nation")

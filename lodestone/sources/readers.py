@@ -14,8 +14,8 @@ LARGEST_FILE = 50 * 1024 * 1024
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content: whole files as UTF-8."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.decode("content", "UTF-8").alias("content"))
+    """path, content: whole files as text, by their own encoding."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", S.decoded(F.col("content")).alias("content"))
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True, blacklist: list[str] | None = None, largest: int | None = None) -> DataFrame:
@@ -93,9 +93,8 @@ def default_registry() -> ParserRegistry:
     """Text and HTML are read here; PDF, office and image files need a reader of the
     caller's (``Parser.parse``), since no extractor is at hand."""
     registry = ParserRegistry()
-    utf8 = lambda c: F.decode(c, "UTF-8")
-    registry.register(Parser("text", {"txt": 1.0, "md": 0.9, "csv": 0.8, "log": 0.8, "json": 0.8, "xml": 0.7}, utf8, {"text/plain": 1.0}))
-    registry.register(Parser("html", {"html": 1.0, "htm": 1.0}, lambda c: S.html_to_text(utf8(c)), {"text/html": 1.0}))
+    registry.register(Parser("text", {"txt": 1.0, "md": 0.9, "csv": 0.8, "log": 0.8, "json": 0.8, "xml": 0.7}, S.decoded, {"text/plain": 1.0}))
+    registry.register(Parser("html", {"html": 1.0, "htm": 1.0}, lambda c: S.html_to_text(S.decoded(c)), {"text/html": 1.0}))
     registry.register(Parser("pdf", {"pdf": 1.0}, None, {"application/pdf": 1.0}))
     registry.register(Parser("office", dict.fromkeys(S.DOCUMENT_TYPES["office"], 0.9)))
     registry.register(Parser("image", dict.fromkeys(S.DOCUMENT_TYPES["image"], 0.6)))
@@ -110,3 +109,36 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def id_map(spark: SparkSession, path: str) -> DataFrame:
     """string_id, int_id from a JSON file {"map": {id: number}}."""
     return json_objects(spark, path, "map map<string, long>").select(F.explode("map").alias("string_id", "int_id"))
+
+
+def first_columns(spark: SparkSession, sql: str, count: int = 3) -> DataFrame:
+    """The first columns of a statement's result."""
+    rows = spark.sql(sql)
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns[:count]])
+
+
+def installed_models(replies: DataFrame, body: str) -> DataFrame:
+    """model, architectures, size, is_embedding from the JSON object that a model tool
+    prints, {model: {architectures: [...], size: ...}}; another shape gives no row."""
+    parsed = F.from_json(body, "map<string, struct<architectures: array<string>, size: long>>")
+    rows = replies.select(F.explode(parsed).alias("model", "info"))
+    return rows.select("model", "info.architectures", "info.size", S.has_architecture(F.col("info.architectures")).alias("is_embedding"))
+
+
+def media_properties(files: DataFrame) -> DataFrame:
+    """path, resolution, duration of image and sound files (path, content as binary), as
+    far as their headers say; null for other formats."""
+    size, seconds = S.image_size(F.col("content")), S.wave_seconds(F.col("content"))
+    resolution = F.concat(size["width"].cast("string"), F.lit("*"), size["height"].cast("string"))
+    return files.select("path", resolution.alias("resolution"), S.clock(F.round(seconds * 1000).cast("long")).alias("duration"))
+
+
+def counted(rows: DataFrame, name: str = "indexed") -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``rows`` and a function that tells, after they were read by one action, how many
+    there were and how many milliseconds passed since."""
+    from time import monotonic
+
+    from pyspark.sql import Observation
+
+    seen, began = Observation(name), monotonic()
+    return rows.observe(seen, F.count(F.lit(1)).alias("files")), lambda: {**seen.get, "elapsed_ms": int((monotonic() - began) * 1000)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import latest
+from ..operators.catalog import latest, placed
 
 
 def write_snapshot(rows: DataFrame, path: str, partition_by: list[str] | None = None, files: int | None = None) -> None:
@@ -33,6 +33,12 @@ def reply(rows: DataFrame, keys: list[str], fields: list[str], order: list[str])
     return rows.groupBy(*keys).agg(F.to_json(F.struct(results.alias("results"))).alias("reply"))
 
 
+def paged_reply(rows: DataFrame, keys: list[str], fields: list[str], order: str, ties: list[str], size: int = 100) -> DataFrame:
+    """keys, page (from 0), reply: the same, ``size`` rows to a page, so no string grows with its key."""
+    pages = placed(rows, keys, order, ties, "_n").withColumn("page", F.floor((F.col("_n") - 1) / size))
+    return reply(pages, [*keys, "page"], fields, ["_n"])
+
+
 def upsert_batches(path_of: Callable[[int], str], keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer: the latest row of each key, one folder for each batch,
     so that a batch that runs again replaces its own output."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +15,7 @@ from ..operators.tasks import Limit, advance, outcome_of
 from ..shipping import ship
 
 WATERMARK = "10 minutes"
+_PAYLOAD = re.compile(r"data: (\{.*\})\s*")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -91,6 +93,71 @@ def reframed(parts: DataFrame, key: str, size: int = 8000) -> DataFrame:
     return parts.groupBy(key).applyInPandasWithState(step, f"{key} long, frame int, data binary, status string", "rest binary, n int", "append", GroupStateTimeout.NoTimeout)
 
 
+def carried_payloads(parts: DataFrame, key: str) -> DataFrame:
+    """key, payload: the JSON objects of an event stream that comes in parts (key, seq,
+    text) cut anywhere; what follows the last whole line waits in the state."""
+    ship(parts.sparkSession)
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, out = state.get[0] if state.exists else "", []
+        for frame in sorted(frames, key=lambda f: f.seq.min()):
+            *lines, rest = (rest + "".join(frame.sort_values("seq").text)).split("\n")
+            out += [m[1] for line in lines if (m := _PAYLOAD.fullmatch(line))]
+        state.update((rest,))
+        yield pd.DataFrame({key: [keys[0]] * len(out), "payload": out})
+
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, payload string", "rest string", "append", GroupStateTimeout.NoTimeout)
+
+
+def buffered(rows: DataFrame, key: str, size: int = 100, wait_ms: int = 10_000) -> DataFrame:
+    """key, segment, ids: ids gathered in a buffer of each key, flushed as a segment when
+    ``size`` of them are there, and ``wait_ms`` after the last batch whatever there is."""
+    ship(rows.sparkSession)
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out: list[list[int]] = []
+        if state.hasTimedOut:
+            out, held = [held] if held else [], []
+        for frame in frames:
+            held += sorted(frame.id.tolist())
+            while len(held) >= size:
+                out.append(held[:size])
+                held = held[size:]
+        state.update((held, n + len(out)))
+        if held:
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame({key: [keys[0]] * len(out), "segment": list(range(n, n + len(out))), "ids": out})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, segment int, ids array<long>", "held array<long>, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Job:
+    """A stream that can be paused and resumed: its checkpoint, in the shared folder,
+    says how far it is, and each start takes up there."""
+
+    def __init__(self, stream: DataFrame, target: str, checkpoint: str):
+        self.stream, self.target, self.checkpoint, self.query = stream, target, checkpoint, None
+
+    def start(self, once: bool = True) -> Job:
+        writer = self.stream.writeStream.format("parquet").option("path", self.target).option("checkpointLocation", self.checkpoint)
+        self.query = (writer.trigger(availableNow=True) if once else writer).start()
+        return self
+
+    def wait(self) -> Job:
+        self.query.awaitTermination()
+        return self
+
+    def pause(self) -> None:
+        if self.query is not None and self.query.isActive:
+            self.query.stop()
+
+    def progress(self) -> list[dict]:
+        return [] if self.query is None else [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in self.query.recentProgress]
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its rows as a table."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

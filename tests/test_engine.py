@@ -23,13 +23,15 @@ def test_upload_index_search_delete(spark, tmp_path):
     assert json.loads(engine.search_reply("app", "sea", 2))["results"][0]["file"] == "b.pdf"
     assert engine.search("other", "sea").count() == 0
     info = {r.file: r for r in engine.documents_info("app").collect()}
-    assert info["b.pdf"].status == 3 and info["c.txt"].status == 0 and info["b.pdf"].kind == "pdf"
-    assert dict(map(tuple, engine.status("app").collect())) == {3: 2, 0: 1}
+    assert info["b.pdf"].status == 3 and info["c.txt"].status == 2 and info["b.pdf"].kind == "pdf"
+    assert dict(map(tuple, engine.status("app").collect())) == {3: 2, 2: 1}
+    assert engine.rebuild_index("app", model) == n and [r.chunk_index for r in engine.chunks("app", info["a.txt"].document_id, model).collect()] == list(range(n - 1))
+    assert dict(map(tuple, engine.owner("app", [info["a.txt"].document_id, "none"]).collect())) == {info["a.txt"].document_id: model, "none": None}
     assert engine.delete_documents("app", [info["b.pdf"].document_id, "nothing"]) == 1
     assert engine.search("app", "harbours", 5).where("file = 'b.pdf'").count() == 0
     assert engine.compact(str(tmp_path / "smaller"))._stored("documents").count() == 2
     engine.destroy_index("app")
-    assert engine.table("vectors", "app").count() == 0
+    assert engine.table("vectors", "app").count() == 0 and engine.table("documents", "app").count() == 0 and not (tmp_path / "store/vectors/app_id=app").exists()
 
 
 def test_embedding_batches_and_replies(spark):
