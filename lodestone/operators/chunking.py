@@ -7,6 +7,7 @@ where the last cut fell, so it runs over Arrow batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,32 +94,41 @@ def chunk_sliding(docs: DataFrame, config: ChunkConfig, text_col: str = "text",
     """Windows at fixed steps whose ends move back to a break."""
     text = F.col(text_col)
     step = config.max_size - config.overlap or config.max_size // 2
-    starts = docs.where(F.length(text) > 0).select(id_col, text.alias("_text"), F.explode(F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).alias("start"))
-    inner = F.substring(F.col("_text"), F.col("start") + 2, F.lit(config.max_size - 1))
-    cut = F.length(F.regexp_extract(inner, f"(?s)^.*{config.break_class}", 0))
-    last = F.length("_text") - F.col("start") <= config.max_size
-    size = F.when(last, F.length("_text") - F.col("start")).when(cut > 0, cut + 1).otherwise(config.max_size)
-    sized = starts.select(id_col, "start", size.alias("size"), F.substring(F.col("_text"), F.col("start") + 1, size).alias("raw"))
-    trimmed = sized.select(id_col, "start", (F.col("start") + F.col("size")).alias("end"), unicode_trim(F.col("raw")).alias("content"))
+    # Windows are cut inside the row, so a long text isn't copied beside each of them.
+    window = lambda k: F.struct(k.alias("start"), F.substring(text, k + 1, F.lit(config.max_size)).alias("raw"), (F.length(text) - k).alias("left"))
+    cuts = F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)), window)
+    windows = docs.where(F.length(text) > 0).select(id_col, F.explode(cuts).alias("w")).select(id_col, "w.*")
+    cut = F.length(F.regexp_extract(F.substring("raw", 2, config.max_size), f"(?s)^.*{config.break_class}", 0))
+    size = F.when(F.col("left") <= config.max_size, F.col("left")).when(cut > 0, cut + 1).otherwise(config.max_size)
+    sized = windows.select(id_col, "start", "raw", size.alias("size"))
+    trimmed = sized.select(id_col, "start", (F.col("start") + F.col("size")).alias("end"), unicode_trim(F.substring(F.col("raw"), F.lit(1), F.col("size"))).alias("content"))
     return trimmed.where(F.length("content") >= config.min_size)
 
 
+def _chunk_end(start: int, size: int, cuts: list[int], config: ChunkConfig) -> int:
+    """Behind the last break within reach, or at the full size; the least size holds."""
+    limit = start + config.max_size
+    if limit >= size:
+        return size
+    behind = bisect_right(cuts, limit)
+    end = cuts[behind - 1] if behind and cuts[behind - 1] > start + 1 else limit
+    return max(end, min(start + config.min_size, size))
+
+
+def _next_start(start: int, end: int, config: ChunkConfig) -> int:
+    """The overlap before the end, if that gets on; otherwise a full step, or the end itself."""
+    behind = end - config.overlap
+    step = end if config.resume_at_cut else start + max(1, config.max_size - config.overlap)
+    return behind if behind > start else step
+
+
 def fixed_spans(text: str, config: ChunkConfig, breaks: re.Pattern) -> Iterator[tuple[int, int]]:
     """[start, end) of each fixed-size chunk before trimming."""
-    size, start = len(text), 0
-    while start < size:
-        end = min(start + config.max_size, size)
-        if end < size:
-            found = [m.end() for m in breaks.finditer(text, start + 1, end)]
-            end = found[-1] if found else end
-            if end - start < config.min_size:
-                end = min(start + config.min_size, size)
+    cuts, start = [m.end() for m in breaks.finditer(text)], 0
+    while start < len(text):
+        end = _chunk_end(start, len(text), cuts, config)
         yield start, end
-        behind = end - config.overlap
-        if behind > start:
-            start = behind
-        else:
-            start = end if config.resume_at_cut else start + max(1, config.max_size - config.overlap)
+        start = _next_start(start, end, config)
 
 
 def chunk_fixed(docs: DataFrame, config: ChunkConfig = PIPELINE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -134,7 +144,8 @@ def chunk_fixed(docs: DataFrame, config: ChunkConfig = PIPELINE, text_col: str =
         import regex
 
         breaks, edges = regex.compile(config.break_class), regex.compile(r"^[\p{Z}\s\x85]+|[\p{Z}\s\x85]+$")
-        for batch in batches:
+        # Few rows at a time: each is a Python string with its chunks.
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 index = 0
