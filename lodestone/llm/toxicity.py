@@ -42,6 +42,8 @@ from .workspace import Workspace, fresh, slices
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 2_000, 4_000, 1_024
 FOLDS, THRESHOLD = 4, 0.5
+#: Words that a worker remembers, twice at most.
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -151,21 +153,21 @@ class ChainModel:
 
 
 def _arrow_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """feature, rows, sum of values, sum of squares, and sums of values in each
-    category's rows; the batches hold a text and the categories' numbers."""
-    for batch in slices(batches):
-        moments: dict[str, list] = {}
-        for text, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    """feature, rows, sum of values, sum of squares, and the sum of values in each
+    category's rows; the batches hold a text and a flag for each category."""
+    for batch in slices(batches, 64):
+        flags = [c.to_pylist() for c in batch.columns[1:]]
+        moments: dict[str, list[float]] = {}
+        for text, inside in zip(batch.column(0).to_pylist(), zip(*flags), strict=True):
             for f, n in text_features(text).items():
-                own, x = moments.setdefault(f, [0.0, 0.0, 0.0, {}]), math.log2(1 + n)
+                own, x = moments.setdefault(f, [0.0] * (3 + len(flags))), math.log2(1 + n)
                 own[0] += 1
                 own[1] += x
                 own[2] += x * x
-                for k in inside:
-                    own[3][k] = own[3].get(k, 0.0) + x
-        values = [pa.array([m[k] for m in moments.values()], pa.float64()) for k in range(3)]
-        sums = pa.array([list(m[3].items()) for m in moments.values()], pa.map_(pa.int32(), pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.string()), *values, sums], ["feature", "n", "s", "q", "inside"])
+                for k, flag in enumerate(inside, 3):
+                    own[k] += x * flag
+        values = [pa.array([m[k] for m in moments.values()], pa.float64()) for k in range(3 + len(flags))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.string()), *values], ["feature", "n", "s", "q", *(f"a{k}" for k in range(len(flags)))])
 
 
 def _sample(docs: DataFrame, labels: DataFrame, flags: list[Column], target: Column, text_col: str, id_col: str, max_positive: int, max_negative: int) -> DataFrame:
@@ -208,10 +210,9 @@ def train(
     sample = ws.save(_sample(docs, labels, list(categories.values()), target, text_col, id_col, max_positive, max_negative), "sample")
     totals = sample.agg(F.count("*"), *[F.sum(c) for c in flags]).first()
     n, sizes = totals[0], [x or 0 for x in totals[1:]]
-    inside = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(k)) for k, c in enumerate(flags)]), lambda x: x.isNotNull())
-    moments = sample.select("text", inside.alias("inside")).mapInArrow(_arrow_moments, "feature string, n double, s double, q double, inside map<int, double>")
-    sums = [F.sum(F.coalesce(F.try_element_at("inside", F.lit(k)), F.lit(0.0))).alias(f"a{k}") for k in range(len(names))]
-    moments = ws.save(moments.groupBy("feature").agg(*[F.sum(c).alias(c) for c in "nsq"], *sums).where("n >= 3"), "moments")
+    sums = ["n", "s", "q", *(f"a{k}" for k in range(len(names)))]
+    moments = sample.select("text", *flags).mapInArrow(_arrow_moments, "feature string, " + ", ".join(f"{c} double" for c in sums))
+    moments = ws.save(moments.groupBy("feature").agg(*[F.sum(c).alias(c) for c in sums]).where("n >= 3"), "moments")
     mean = F.col("s") / F.lit(max(n, 1))
     spread = F.col("q") / F.lit(max(n, 1)) - mean * mean + F.lit(1.0 / (n + 1))
     kept: set[str] = set()
@@ -225,7 +226,7 @@ def train(
     empty = ChainModel(names, features)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = Memo(REMEMBERED)
         for batch in slices(batches):
             rows = empty.rows_of(batch.column(0).to_pylist(), memo)
             ids, worth = (pa.array([r[k].tolist() for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float64())))
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", out_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, memo = shared.value, Memo()
+        chain, memo = shared.value, Memo(REMEMBERED)
         for batch in slices(batches):
             p = chain.probabilities(chain.rows_of(batch.column(batch.num_columns - 1).to_pylist(), memo))
             out = pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(p.shape[1])], names=chain.categories)
