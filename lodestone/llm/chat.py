@@ -4,8 +4,8 @@ A turn becomes ``<|role|>`` newline, text, ``<|end|>`` newline.  In roles and
 texts ``&``, ``<`` and ``>`` are written as entities, so a control string never
 occurs inside a text and unescaping gives the text back.
 
-Tokens are counted per turn (words and single other characters, plus four for
-the marks), and their prefix sums choose windows: a window starts with the
+Tokens are counted per turn (from a column of the caller's; without one, words and
+single other characters; plus four for the marks), and their prefix sums choose windows: a window starts with the
 system turn, repeats at most ``history_turns`` earlier turns of at most
 ``history_tokens`` tokens in all, and takes on new turns as long as the budget
 lasts, one at least.  The loss mask lists the spans of the assistant texts among
@@ -17,7 +17,8 @@ all its turns; prefix sums are window functions over the same partitioning.
 
 Defined results: null text counts as empty, null role as an empty role; rows go
 by turn, null first, then role and text; rows that repeat are turns of their
-own; rows without conv_id form one conversation.
+own; rows without conv_id form one conversation; a very long text is a window of
+its own; other columns of any name are ignored; an empty table gives no window.
 """
 
 from __future__ import annotations
@@ -55,14 +56,22 @@ def format_windows(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """One row per window: conv_id, window, has_system, n_history, n_new, tokens,
-    formatted, loss (spans of code points: start, length)."""
+    formatted, loss (spans of code points: start, length).
+
+    ``tokens_col`` names a column with the tokens of each text by the tokenizer of the
+    model that is to be trained (``token_counts.prefix_counts`` fills one); null counts
+    as by ``count_tokens``.
+    """
+    own = count_tokens(F.col("text")) if tokens_col is None else F.coalesce(F.col("own"), count_tokens(F.col("text")))
     rows = conversations.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        (F.lit(None) if tokens_col is None else F.col(tokens_col)).cast("int").alias("own"),
     )
     head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
     body = escape(F.col("text"))
@@ -71,7 +80,7 @@ def format_windows(
         F.concat(head, body, F.lit(END)).alias("block"),
         F.length(head).alias("head"),
         F.length(body).alias("body"),
-        (count_tokens(F.col("text")) + MARK_TOKENS).alias("tokens"),
+        (own + MARK_TOKENS).alias("tokens"),
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select(

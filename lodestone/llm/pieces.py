@@ -22,8 +22,7 @@ The order of paths depends on the kind of the model:
 The dictionary of ``dictionary_words`` words at most goes to the workers, which
 look words up and put the ids of a text together; documents are not shuffled.
 The words beyond that bound, and those longer than ``LATTICE_WORD`` characters,
-are segmented in the worker by ``PrefixBpe``, the same recurrence one word at a
-time.  Every text is read whole, and no result depends on the bound.
+are segmented in the worker by ``PrefixBpe``, position by position as well.  Every text is read whole, and no result depends on the bound.
 
 Defined results: null text encodes to null and decodes to null; an empty text
 has no pieces; U+2581 decodes to a space, as in the library; repeated rows each
@@ -45,13 +44,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .prefix_bpe import Memo, PrefixBpe
+from .prefix_bpe import PrefixBpe
 from .workspace import Workspace, fresh, slices
 
-SPACE = "▁"
+MARK, SPACE = "▁", " "
 #: Words that a dictionary holds at most, and characters of a word in it: its size is bounded.
 DICTIONARY_WORDS, LATTICE_WORD = 500_000, 64
-#: Words beyond the dictionary that a worker remembers, twice at most.
+#: Words beyond the dictionary that a worker remembers.
 REMEMBERED_WORDS = 60_000
 #: Words that a task counts before it hands on what it has.
 _COUNT_AT_ONCE = 200_000
@@ -66,6 +65,10 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
+        if any(" " in p for p in self.pieces):
+            raise ValueError("pieces with plain spaces are not supported")
+        # Words hold plain spaces, which makes most of them strings of one byte a character.
+        self.pieces = [p.replace(MARK, SPACE) for p in self.pieces]
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         score = {self.pieces[i]: -sp.get_score(i) for i in plain}
@@ -75,11 +78,12 @@ class PieceModel:
         self.byte_of = {i: b for b, i in enumerate(self.bytes) if sp.is_byte(i)}
         self.score = score
         self.bpe = PrefixBpe(set(self.ids), lambda a, b: score.get(a + b))
-        self.text = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.text = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.words = re.compile(self._pattern())
-        self.memo = Memo(REMEMBERED_WORDS)
+        self.own: dict[str, bytes] = {}  # when there is no dictionary
+        self.added: list[str] = []
         for probe in ("", " ", "a", "  two  spaces ", "line\nfeed\tand\rtab", "é中\U0001f600 \x00"):
-            if self.encode(probe).tolist() != sp.encode(probe):
+            if self.encode([probe])[0].tolist() != sp.encode(probe):
                 raise ValueError(f"the model's normaliser is not supported: {probe!r}")
 
     def _pattern(self) -> str:
@@ -110,8 +114,8 @@ class PieceModel:
         return table
 
     def split(self, text: str) -> list[str]:
-        """The words of a text; the first one starts with a space."""
-        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The words of a text, in which U+2581 is a space; the first one starts with a space."""
+        return self.words.findall(SPACE + text.replace(MARK, SPACE)) if text else []
 
     def packed(self, word: str, path: list[int]) -> bytes | None:
         """Ids of a path from the lattice, where a negative number stands for a
@@ -125,25 +129,33 @@ class PieceModel:
             ids += [i] if i >= 0 else [self.bytes[x] for x in c.encode()]
         return np.array(ids, "<i4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for a, b in self.bpe.encode(word):
-            piece = word[a:b]
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            else:
-                ids += [self.bytes[x] for x in piece.encode("utf-8", "surrogatepass")]
-        packed = np.array(ids, "<i4").tobytes()
-        self.memo.put(word, packed)
-        return packed
-
-    def encode(self, text: str, dictionary: dict[str, bytes] | None = None) -> np.ndarray:
-        words = self.split(text)
-        found = list(map((dictionary or {}).get, words))
-        if None in found:
-            known = self.memo.get
-            found = [(known(w) or self._word(w)) if p is None else p for w, p in zip(words, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<i4")
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of words that are in order, without the lattice."""
+        out = {}
+        for word, spans in zip(words, self.bpe.encode_sorted(words), strict=True):
+            ids: list[int] = []
+            for a, b in spans:
+                piece = word[a:b]
+                if piece in self.ids:
+                    ids.append(self.ids[piece])
+                else:
+                    ids += [self.bytes[x] for x in piece.encode("utf-8", "surrogatepass")]
+            out[word] = np.array(ids, "<i4").tobytes()
+        return out
+
+    def encode(self, texts: list[str], dictionary: dict[str, bytes] | None = None) -> list[np.ndarray]:
+        """Ids of each text.  The words that ``dictionary`` lacks are met together, in order,
+        and stay in it until there are too many of them."""
+        split, known = [self.split(t) for t in texts], self.own if dictionary is None else dictionary
+        new = self._words(sorted(set().union(*split).difference(known)))
+        known.update(new)
+        self.added += new
+        whole = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+        if len(self.added) > REMEMBERED_WORDS:
+            for word in self.added:
+                known.pop(word, None)
+            self.added.clear()
+        return whole
 
     def decode(self, ids: list[int]) -> str:
         """The text; the space that encoding puts in front is taken off again."""
@@ -171,7 +183,7 @@ def count_words(docs: DataFrame, model_path: str, text_col: str = "text", longes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = piece_model(model_path), Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 2 << 20):
             for x in batch.column(0):
                 counts.update(model.split(x.as_py() or ""))
                 if len(counts) > _COUNT_AT_ONCE:
@@ -238,8 +250,10 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = piece_model(model_path), shared.value
-        for batch in slices(batches):
-            rows = [None if (t := x.as_py()) is None else model.encode(t, known) for x in batch.column(batch.num_columns - 1)]
+        for batch in slices(batches, 256, 2 << 20):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            encoded = iter(model.encode([t for t in texts if t is not None], known))
+            rows = [None if t is None else next(encoded) for t in texts]
             columns = [*batch.columns[:-1], _ids_array(rows)]
             if decoded_col is not None:
                 columns.append(pa.array([None if r is None else model.decode(r.tolist()) for r in rows], pa.string()))

@@ -10,7 +10,8 @@ prefix, without merging the word itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 #: Entries of a memo before it starts anew, and pairs of tokens; both bound a worker's memory.
 MEMO, PAIRS = 250_000, 300_000
@@ -47,9 +48,15 @@ class PrefixBpe:
         self.made: dict[str, tuple[float, str, str] | None] = {}
         self.inner = {t: t for t in tokens if not suffix or not t.endswith(suffix)}
         self.closing = {t[: -len(suffix)]: t for t in tokens if t.endswith(suffix)} if suffix else self.inner
-        self.longest = max(map(len, [*self.inner, *self.closing]), default=1)
+        self.tails = self._tails(self.inner), self._tails(self.closing)
         self._start()
 
+    @staticmethod
+    def _tails(tokens: dict[str, str]) -> dict[str, str | None]:
+        """Every ending of a token, with the token that it is itself, if any."""
+        out: dict[str, str | None] = {t[k:]: None for t in tokens for k in range(1, len(t))}
+        return out | tokens
+
     def _start(self) -> None:
         """Empties what is remembered between words."""
         self.size = 0
@@ -145,29 +152,26 @@ class PrefixBpe:
 
     def _last(self, word: str, end: int, path: list[tuple], closed: bool) -> int:
         """Start of the last token of ``word[:end]``; -1 if its last symbol is outside the vocabulary."""
-        tokens, side = (self.closing, 1) if closed else (self.inner, 0)
-        for start in range(end - 1, end - self.longest - 1 if end > self.longest else -1, -1):
+        tails, side = self.tails[closed], int(closed)
+        for start in range(end - 1, -1, -1):
             token = word[start:end]
-            if token in tokens:
+            made = tails.get(token, "")
+            if made == "":  # no token ends so
+                return -1
+            if made is not None:
                 state = path[start]
                 row = state[3][side]
                 fits = row.get(token)
                 if fits is None:
-                    fits = row[token] = self._fits(state[2], tokens[token])
+                    fits = row[token] = self._fits(state[2], made)
                     self.size += 1
                 if fits:
                     return start
         return -1
 
-    def table(self, word: str) -> list[tuple]:
-        """For all prefixes of ``word``, the empty one first, none of them taken as
-        the end of a word: their count, the start of their last token, that token,
-        and what may follow it.  A symbol outside the vocabulary is a token of its
-        own that nothing merges with."""
-        if self.size > PAIRS:
-            self._start()
-        path: list[tuple] = [(0, 0, "", self.barrier)]
-        for end in range(1, len(word) + 1):
+    def _extend(self, word: str, path: list[tuple]) -> list[tuple]:
+        """``path``, the table of a prefix of ``word``, made that of the whole word."""
+        for end in range(len(path), len(word) + 1):
             start = self._last(word, end, path, False)
             if start < 0:
                 path.append((path[end - 1][0] + 1, end - 1, "", self.barrier))
@@ -176,6 +180,31 @@ class PrefixBpe:
                 path.append((path[start][0] + 1, start, token, self._follow(token)))
         return path
 
+    def table(self, word: str) -> list[tuple]:
+        """For all prefixes of ``word``, the empty one first, none of them taken as
+        the end of a word: their count, the start of their last token, that token,
+        and what may follow it.  A symbol outside the vocabulary is a token of its
+        own that nothing merges with."""
+        if self.size > PAIRS:
+            self._start()
+        return self._extend(word, [(0, 0, "", self.barrier)])
+
+    def encode_sorted(self, words: list[str]) -> Iterator[list[tuple[int, int]]]:
+        """Token spans of each word.  Words in a row share the table of the prefix that
+        they have in common.  For vocabularies without word ends."""
+        last, path = "", [(0, 0, "", self.barrier)]
+        for word in words:
+            if self.size > PAIRS:
+                self._start()
+                last, path = "", [(0, 0, "", self.barrier)]
+            shared = len(commonprefix((last, word)))
+            last, path = word, self._extend(word, path[: shared + 1])
+            spans, start = [], len(word)
+            while start > 0:
+                start, end = path[start][1], start
+                spans.append((start, end))
+            yield spans[::-1]
+
     def _closed(self, word: str, end: int, path: list[tuple]) -> int:
         """Start of the last token of ``word[:end]`` taken as a word of its own."""
         if not self.suffix:

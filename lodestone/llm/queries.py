@@ -65,7 +65,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("licenses", lambda x: x["confirmed"])
     return scanned.select(
         "doc_id",
-        F.size(F.array_distinct(F.transform("licenses", lambda x: x["paragraph"]))).cast("long").alias("n_paragraphs"),
+        F.size("licenses").cast("long").alias("n_statements"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",").alias("families"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("confirmed_families"),
         F.round(F.coalesce(F.array_max(F.transform("licenses", lambda x: x["probability"])), F.lit(0.0)), 4).alias("best_probability"),
