@@ -20,6 +20,10 @@ if and only if some z is within two bits of both, so all members that reach the
 same z are linked to the smallest of them.  That emits a constant number of rows
 for each member however large the group is.
 
+The stage that drops near-duplicates (``near_duplicates``) uses the same search over
+fingerprints of distinct words to find candidates, and compares five-word shingles
+exactly.
+
 Equal fingerprints are one node before any join; components come from star
 contractions; no pairs, links or components are collected.
 
@@ -32,25 +36,32 @@ other columns of any name are ignored, or returned as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import connected_components
-from .workspace import Workspace, rows_of_keys, slices
+from .workspace import Workspace, fresh, rows_of_keys, slices
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
 MAX_CELL = 4096
+#: Bits that word fingerprints of candidates differ in at most, if they share a cell.
+REACH = 12
+#: Kept rows of a group that a round compares with at most.
+MOST_PIVOTS = 32
+#: Rows of keys that a join sends to every task.
+BROADCAST_ROWS = 100_000
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _COUNT_AT_ONCE = 65_536
 
@@ -71,6 +82,11 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[:-shingle].tolist()]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+    return _majority(hashes)
+
+
+def _majority(hashes: list[int]) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _COUNT_AT_ONCE):
         part = np.array(hashes[k : k + _COUNT_AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8)
@@ -78,7 +94,20 @@ def fingerprint(data: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
+def word_fingerprint(data: bytes) -> int:
+    """The fingerprint over the distinct words of a text, each once."""
+    return _majority([xxhash.xxh64_intdigest(w, SEED) for w in set(data.lower().split())])
+
+
+def shingle_hashes(data: bytes, shingle: int) -> list[int]:
+    """Distinct hashes, as signed longs, of the shingles of a text (fewer words: the
+    whole sequence; none: no shingle)."""
+    words = data.lower().split()
+    spans = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))] if words else []
+    return sorted({_signed(xxhash.xxh64_intdigest(s, SEED)) for s in spans})
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, of: Callable[[bytes], int] | None = None) -> DataFrame:
     """doc_id, text_sha256, fp (the fingerprint's bits as a signed long); a row per row of ``docs``."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
@@ -87,7 +116,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(2)]
+            fps = [_signed(of(x.as_py()) if of else fingerprint(x.as_py(), shingle)) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "text_sha256", "fp"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType())]))
@@ -120,12 +149,14 @@ def _first_shared(differ: Column, mask: Column) -> Column:
     return ~wrong
 
 
-def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cell: int = MAX_CELL) -> DataFrame:
+def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cell: int = MAX_CELL, reach: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints (column ``fp``) that connect just
     those that chains of links of ``max_distance`` bits or fewer connect.
 
-    Outside crowded cells every link is listed; inside, a star for each centre.
+    Outside crowded cells every link is listed; inside, a star for each centre.  With
+    ``reach``, pairs that share a cell count up to that distance as well.
     """
+    farthest = max(max_distance, reach or 0)
     masks = F.array(*[F.lit(_signed(m)) for m in _masks(max_distance)])
     cells = (
         nodes.select("fp", _embedding(F.col("fp")).alias("e"))
@@ -148,8 +179,8 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
         & (F.col("mask") == F.col("mask2"))
         & (F.col("a") < F.col("b"))
         & (differ.bitwiseAND(F.col("mask")) == 0)
-        & (F.bit_count(differ) <= max_distance)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+        & (F.bit_count(differ) <= farthest)
+        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= farthest)
         & _first_shared(differ, F.col("mask")),
     ).select("a", "b")
     return found if stars is None else found.unionByName(stars)
@@ -209,12 +240,111 @@ def simhash_near_dedup(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each component stays: that with the smallest id, null last.
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets (arrays without repeats); two empty ones are alike."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / (F.size(a) + F.size(b) - common))
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A saved table as the small side of a join if its counted rows are few enough."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _candidates(table: DataFrame, ws: Workspace, max_cell: int, reach: int) -> DataFrame:
+    """doc_id, text_sha256, root: distinct texts with ids in a group of linked word
+    fingerprints that holds two of them at least."""
+    nodes = ws.save(table.distinct().groupBy("fp").agg(F.count("*").alias("size")), "word-nodes")
+    roots = ws.save(connected_components(ws.save(links(nodes.select("fp"), ws, max_cell=max_cell, reach=reach), "word-links"), ws), "word-roots")
+    labelled = ws.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root")), "word-labels")
+    groups = ws.save(labelled.groupBy("root").agg(F.sum("size").alias("n")).where("n > 1").select("root"), "word-groups")
+    return table.distinct().join(labelled.join(groups, "root", "left_semi").select("fp", "root"), "fp").select("doc_id", "text_sha256", "root")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    shingle: int = 5,
+    least: float = 0.8,
+    max_cell: int = MAX_CELL,
+    reach: int = REACH,
+    workspace: Workspace | None = None,
+    table: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, text_sha256, keep_id, keep_sha256: the rows to drop, each with the row that
+    stays and whose set of ``shingle``-word shingles has a Jaccard similarity of
+    ``least`` or more with its own, exactly.
+
+    Candidates are the groups of linked fingerprints over distinct words, which few
+    changed words move by few bits.  In a group the rows go in the order of their ids
+    (null last), then of their texts' hashes; a row that no earlier kept one is similar
+    to is kept.  That takes rounds: each compares all rows that are left with the first
+    one, two, four ... ``MOST_PIVOTS`` of their group, so a group of copies of any size
+    is done in one, and no pairs of a group are listed.  ``table`` has the word
+    fingerprints, if they are there already.
+    """
+    ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
+    table = ws.save(fingerprints(docs, text_col, id_col, of=word_fingerprint), "word-fingerprints") if table is None else table
+    marked = ws.save(_candidates(table, ws, max_cell, reach), "candidates")
+    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
+    key = F.struct("doc_id", "text_sha256")
+    chosen = rows.withColumn("_key", key).join(_bounded(marked.select(key.alias("_own"), "root")), F.col("_key") == F.col("_own")).select("root", "doc_id", "text_sha256", "content")
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["root", "doc_id", "text_sha256", "shingles"])
+
+    # Equal rows combine on the map side.
+    sets = chosen.mapInArrow(run, f"root long, doc_id {id_type}, text_sha256 string, shingles array<long>")
+    left = ws.save(sets.groupBy("root", "doc_id", "text_sha256").agg(F.first("shingles").alias("shingles")), "shingles")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256", "shingles")
+    order, gone, pivots = ["last", "doc_id", "text_sha256"], [], 1
+    while True:
+        ranked = left.withColumn("last", F.col("doc_id").isNull()).withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(*order)))
+        first = ranked.where(F.col("n") <= pivots).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))).alias("first"))
+        alone = lambda kept, p: ~F.exists(kept, lambda k: similarity(k["shingles"], p["row"]["shingles"]) >= least)
+        kept = F.aggregate("first", F.filter(F.transform("first", lambda p: p["row"]), lambda _: F.lit(False)), lambda kept, p: F.when(alone(kept, p), F.concat(kept, F.array(p["row"]))).otherwise(kept))
+        leaders = ws.save(first.select("root", kept.alias("kept")), "leaders")
+        like = F.get(F.filter("kept", lambda k: similarity(k["shingles"], F.col("shingles")) >= least), F.lit(0))
+        compared = left.join(leaders, "root").select("root", "doc_id", "text_sha256", "shingles", like.alias("like"))
+        judged = ws.save(compared.select("root", "doc_id", "text_sha256", F.when(F.col("like").isNull(), F.col("shingles")).alias("shingles"), F.col("like.doc_id").alias("keep_id"), F.col("like.text_sha256").alias("keep_sha256")), "judged")
+        gone.append(judged.where("keep_sha256 IS NOT NULL AND NOT (keep_id <=> doc_id AND keep_sha256 = text_sha256)").select("doc_id", "text_sha256", "keep_id", "keep_sha256"))
+        ws.drop(left, leaders)
+        left = judged.where("keep_sha256 IS NULL").select("root", "doc_id", "text_sha256", "shingles")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, gone)
+        pivots = min(2 * pivots, MOST_PIVOTS)
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", workspace: Workspace | None = None, **options) -> DataFrame:
+    """``docs`` without its ``near_duplicates``.
 
     Rows are told apart by id and text, so ids may be null or repeat.  Of rows that
-    agree in both, one stays; all of them meet on the map side first.
+    agree in both, one stays; all of them meet on the map side first.  Rows that are
+    neither dropped nor repeated aren't shuffled, unless those that are are many.
     """
+    ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
+    table = ws.save(fingerprints(docs, text_col, id_col, of=word_fingerprint), "word-fingerprints")
+    key = F.struct("doc_id", "text_sha256")
+    name = fresh(docs.columns, "_gone")
+    gone = ws.save(near_duplicates(docs, text_col, id_col, workspace=ws, table=table, **options).select(key.alias(name)), "gone")
+    repeated = ws.save(table.groupBy("doc_id", "text_sha256").count().where("count > 1").select(key.alias(name)), "repeated")
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    own = F.struct(F.col(id_col).alias("doc_id"), sha.alias("text_sha256"))
+    out = docs.join(_bounded(ws.save(gone.union(repeated), "not-as-it-is")), own == F.col(name), "left_anti")
+    if repeated.limit(1).count():
+        once = ws.save(repeated.join(gone.select(F.col(name).alias("_other")), F.col(name) == F.col("_other"), "left_anti"), "once")
+        out = out.unionByName(rows_of_keys(docs.join(_bounded(once), own == F.col(name), "left_semi"), once, text_col, id_col))
+    return out
+
+
+def drop_near_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """One row of each component of ``simhash_near_dedup`` stays: that with the smallest
+    id, null last."""
     found = simhash_near_dedup(docs, text_col, id_col, **options)
     keep = found.select(F.struct(F.col("component_id").alias("doc_id"), F.col("keep_sha256").alias("text_sha256")).alias("_keep")).distinct()
     return rows_of_keys(docs, keep, text_col, id_col)

@@ -69,9 +69,10 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str, id_col: str, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text_sha256) is in ``keys``, a column of such
-    structs: one row for each, that with the least hash over its columns.
+    structs (or is not, by ``left_anti``): one row for each, that with the least hash
+    over its columns.
 
     Rows that agree are combined on the map side, so a row that repeats in a third
     of the table is sent once by each task.
@@ -81,7 +82,7 @@ def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str, id_col: str) -
     rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     hashed = [F.col("_row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
     one = rows.groupBy("_key").agg(F.min_by("_row", F.xxhash64(*hashed)).alias("_row"))
-    return one.join(keys, F.col("_key") == F.col(f"`{keys.columns[0]}`"), "left_semi").select("_row.*")
+    return one.join(keys, F.col("_key") == F.col(f"`{keys.columns[0]}`"), how).select("_row.*")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

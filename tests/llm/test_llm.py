@@ -188,7 +188,76 @@ def test_near_duplicates_with_null_and_shared_ids(spark):
 def test_counts_after_near_dedup(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     fps = {k: brute_fingerprint(t) for k, (_, t) in enumerate(rows)}
-    assert simhash.drop_near_duplicates(odd).count() == len(set(brute_components(set(fps.values())).values()))
+    assert simhash.drop_near_fingerprints(odd).count() == len(set(brute_components(set(fps.values())).values()))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(odd).collect()) == sorted((k is None, k or 0, t or "") for k, t in brute_near_dedup(rows))
+
+
+def brute_word_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_near_dedup(rows):
+    """Candidate groups by word fingerprints (within 4 bits, or within 12 bits and alike in
+    four of the eight groups of segments), then the first rows that nothing kept is like."""
+    rows = sorted({(k is None, k or 0, hashlib.sha256((t or "").encode()).hexdigest()): (k, t) for k, t in rows}.items())
+    fps = [brute_word_fingerprint(t) for _, (_, t) in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def counts(f):
+        return [(f >> (2 * k) & 1) + (f >> (2 * k + 1) & 1) for k in range(32)]
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            b = fps[j]
+            same = sum(counts(a)[4 * g : 4 * g + 4] == counts(b)[4 * g : 4 * g + 4] for g in range(8))
+            if (a ^ b).bit_count() <= 4 or ((a ^ b).bit_count() <= 12 and same >= 4):
+                root[find(i)] = find(j)
+    kept = {}
+    for i, (_, row) in enumerate(rows):
+        own, group = brute_shingles(row[1]), kept.setdefault(find(i), [])
+        if not any((len(own & s) / len(own | s) if own | s else 1.0) >= 0.8 for s, _ in group):
+            group.append((own, row))
+    return [row for group in kept.values() for _, row in group]
+
+
+def test_near_dedup_matches_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % k for k in range(300)]
+    texts = []
+    for _ in range(14):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([2, 6, 40, 120, 120, 300]))]
+        for _ in range(rng.choice([1, 3, 9])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 6])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    rows = [(rng.choice([k, k, None, 3]), t) for k, t in enumerate([*texts, None, "", " ", *texts[:5]])]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = brute_near_dedup(rows)
+    # Rows that agree but for null and empty text are one row; either stays.
+    assert sorted((order((r.doc_id, r.text)) for r in got)) == sorted(map(order, want)) and 3 < len(want) < len(texts)
+
+
+def test_near_dedup_of_a_large_group(spark):
+    """One group of 3,000 near copies and 40 rows of one fingerprint that are not alike."""
+    rng = random.Random(1)
+    base = ["w%d" % k for k in range(200)]
+    rows = [(k, " ".join([*base[:150], "x%d" % k, *base[150:]])) for k in range(3000)]
+    rows += [(10_000 + k, " ".join(rng.sample(base[:60], 60))) for k in range(40)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(10_000, 10_040)]
 
 
 def test_a_hub_is_linked(spark):
@@ -760,12 +829,7 @@ def test_pipeline_matches_brute_force(spark):
     rows = {r.doc_id: r.text for r in docs_.collect() if r.doc_id not in toxic}
     last = {t: i for i, t in sorted(rows.items())}
     rows = {i: t for t, i in last.items()}
-    fps = {i: brute_fingerprint(t) for i, t in rows.items()}
-    roots = brute_components(set(fps.values()))
-    low = {}
-    for i in sorted(rows):
-        low.setdefault(roots[fps[i]], i)
-    rows = {i: rows[i] for i in low.values()}
+    rows = dict(brute_near_dedup(list(rows.items())))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {i: t for i, t in rows.items() if not brute_contamination(t, items)[1]}
     import sentencepiece
