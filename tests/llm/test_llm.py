@@ -839,3 +839,23 @@ def test_pipeline_matches_brute_force(spark):
     assert {r.doc_id: r.piece_ids for r in got} == {i: library.encode(t) for i, t in rows.items()}
     assert all(r.round_trip and r.n_pieces == len(r.piece_ids) for r in got)
     assert 0 < len(rows) < docs_.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, repeated rows, shared and null ids, clashing columns, empty tables."""
+    import corpus_pipeline as p
+
+    rows = odd.withColumn("toxic", F.lit("mine")).withColumn("_gone", F.lit(1)).withColumn("word", F.lit(2)).withColumn("fp", F.lit(3))
+    for name, stage in p.STAGES:
+        out = Workspace(spark, "odd").save(stage(spark, rows, SF), "out")
+        if name == "SentencePiece encoding":
+            assert out.count() == rows.count() and {r.round_trip for r in out.collect()} == {True}
+            continue
+        assert out.columns == rows.columns and stage(spark, none, SF).count() == 0
+        left, texts = [r.text or "" for r in out.collect()], {r.text or "" for r in rows.collect()}
+        # Near copies go, and of blank texts one stays; the other stages lose no text.
+        assert set(left) <= texts and (name == "SimHash near-dedup" or set(left) == texts)
+        if "dedup" in name:
+            assert len(left) == len(set(left))
+        rows = out
+    assert rows.count() == 6
