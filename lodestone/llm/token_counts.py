@@ -12,7 +12,9 @@ Words are met again and again; a worker keeps the counts of a bounded number of
 them.  Texts are read whole; nothing is shuffled or collected.
 
 Defined results: null text counts as empty, which has no tokens; strings of
-special tokens inside texts count as the library does by default, one token.
+special tokens inside texts count as the library does by default, one token; rows
+that repeat each get a row, an empty table gives none, very long texts are counted
+whole, and columns of any name beside id and text are ignored (``truncate`` keeps them).
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ the digest of its bytes.
 
 Defined results: null payload counts as empty, a null url has no target header,
 null ids revisit the smallest id that isn't null; rows that repeat the smallest
-id are responses too; an empty table gives no bundles.
+id are responses too; an empty table gives no bundles; a very long payload is a frame
+of its own; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -253,3 +254,18 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 def locate(bundles: DataFrame) -> DataFrame:
     """record, bundle_id, frame, offset, length for every record."""
     return bundles.select("bundle_id", F.explode("index").alias("at")).select("at.record", "bundle_id", "at.frame", "at.offset", "at.length")
+
+
+def export_files(bundles: DataFrame, folder: str) -> list[str]:
+    """Write each bundle as a ``.warc.zst`` file in a folder of any file system that Spark
+    knows; the paths, in order.  The driver holds one bundle at a time; a bundle that is
+    written again replaces the same file."""
+    context = bundles.sparkSession.sparkContext
+    paths, conf = [], context._jsc.hadoopConfiguration()
+    for row in bundles.select("bundle_id", "data").orderBy("bundle_id").toLocalIterator():
+        target = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row.bundle_id}.warc.zst")
+        out = target.getFileSystem(conf).create(target, True)
+        out.write(bytes(row.data))
+        out.close()
+        paths.append(target.toString())
+    return paths

@@ -298,6 +298,9 @@ def test_warc_round_trip(spark, tmp_path):
     whole = zstandard.ZstdDecompressor().stream_reader(bytes(one.data), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == len(one["index"])
     assert warc.read_bundles(warc.write_bundles(pages.limit(0), str(tmp_path / "empty"))).count() == 0
+    paths = warc.export_files(archives, f"file://{tmp_path}/files")
+    stored = {p.rpartition("/")[2].removesuffix(".warc.zst"): open(p.removeprefix("file:"), "rb").read() for p in paths}
+    assert stored == {r.bundle_id: bytes(r.data) for r in archives.collect()}
 
 
 # 4 token counts
