@@ -33,8 +33,9 @@ _SCHEMAS = {
 class Engine:
     """One store with its embedding providers by model name."""
 
-    def __init__(self, spark: SparkSession, root: str, providers: dict[str, embedding.Provider] | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, providers: dict[str, embedding.Provider] | None = None, applications: list[str] | None = None):
+        """``applications`` names those that may upload; None lets all."""
+        self.spark, self.root, self.applications = spark, root.rstrip("/"), applications
         self.providers = providers or {"hashed-64": embedding.hashed_provider(64)}
 
     def table(self, name: str, app_id: str | None = None, model: str | None = None) -> DataFrame:
@@ -71,6 +72,8 @@ class Engine:
         Returns the new documents: file, document_id, status."""
         if not 0 < len(app_id) <= 128:
             raise ValueError("an application id has 1 to 128 characters")
+        if self.applications is not None and app_id not in self.applications:
+            raise PermissionError(f"{app_id!r} is not one of the applications served here")
         known = self.table("documents", app_id, model).select("file")
         fresh = files.select("file", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["file"]).join(known, "file", "left_anti")
         stamp = F.current_timestamp()
@@ -168,7 +171,7 @@ class Engine:
 
     def compact(self, target: str) -> Engine:
         """Write the tables without deleted rows to ``target``, an engine of its own."""
-        out = Engine(self.spark, target, self.providers)
+        out = Engine(self.spark, target, self.providers, self.applications)
         for name in ("documents", "chunks", "vectors", "states"):
             out._append(name, self.table(name))
         return out

@@ -370,9 +370,14 @@ class ProductQuantizer:
 
         return body.mapInArrow(run, schema)
 
-    def search(self, coded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 10) -> DataFrame:
-        """query_id, vec_id, score, rank by cosine; ``coded`` is the index of ``vectors``."""
+    def search(self, coded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 10, cells: InvertedIndex | None = None, probes: int = 4) -> DataFrame:
+        """query_id, vec_id, score, rank by cosine; ``coded`` is the index of ``vectors``.
+
+        With ``cells`` (and their column ``cell`` in ``coded``) a query meets the codes of
+        its ``probes`` nearest cells only.
+        """
         blocks, books, split, most = _query_blocks(queries), self.books, self._parts, k * rerank
+        centres = None if cells is None else cells.centres
         fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", coded.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,12 +386,16 @@ class ProductQuantizer:
                 for shared in blocks:
                     ids, asked = shared.value
                     distances = sum(_products(b, q, "l2")[codes[:, n]] for n, (b, q) in enumerate(zip(books, split(asked), strict=True)))
-                    keep = np.ones(distances.shape, bool) if len(codes) <= most else distances <= np.partition(distances, most - 1, axis=0)[most - 1]
+                    if centres is not None:
+                        near = np.zeros((len(centres), len(asked)), bool)
+                        np.put_along_axis(near, np.argsort(_products(_unit(asked), centres, "l2"), axis=1)[:, :probes].T, True, axis=0)
+                        distances = np.where(near[batch.column(2).to_numpy()], distances, np.inf)
+                    keep = np.isfinite(distances) if len(codes) <= most else np.isfinite(distances) & (distances <= np.partition(distances, most - 1, axis=0)[most - 1])
                     at, q = np.nonzero(keep)
                     hits = pa.table([ids.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(distances[at, q])], names=[f.name for f in fields])
                     yield from _best(hits, most, False, []).combine_chunks().to_batches()
 
-        near = merge_segments(coded.select("vec_id", "code").mapInArrow(run, T.StructType(fields)), most, "l2").select("query_id", "vec_id")
+        near = merge_segments(coded.select("vec_id", "code", *(["cell"] if cells is not None else [])).mapInArrow(run, T.StructType(fields)), most, "l2").select("query_id", "vec_id")
         exact = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
         return merge_segments(exact.select("query_id", "vec_id", F.round(score(F.col("embedding"), F.col("query")), 6).alias("score")), k)
 
@@ -401,6 +410,24 @@ def write_segments(vectors: DataFrame, path: str, segment: str = "label", mode:
     vectors.withColumn("index_id", F.col(segment)).repartition("index_id").write.mode(mode).partitionBy("index_id").parquet(path)
 
 
+def search_by(kind: str, vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 8, probes: int = 6) -> DataFrame:
+    """query_id, vec_id, score, rank by an index of one of the advisor's types.  Graphs
+    (HNSW) are not built: their place is taken by cells."""
+    body = vectors.select("vec_id", "embedding")
+    if kind == "Flat":
+        return top_k(body, queries, k)
+    if kind == "PQ":
+        coder = ProductQuantizer().fit(body)
+        return coder.search(coder.encode(body), body, queries, k)
+    index = InvertedIndex(cells).fit(body)
+    if kind in ("IVF", "HNSW"):
+        return index.search(index.assign(body), queries, k, probes)
+    if kind != "IVFPQ":
+        raise ValueError(f"unknown index type {kind!r}")
+    coder = ProductQuantizer().fit(body)
+    return coder.search(coder.encode(index.assign(body)), body, queries, k, cells=index, probes=probes)
+
+
 def added(vectors: DataFrame, batch: DataFrame, dimension: int) -> DataFrame:
     """``vectors`` and the unit vectors of a batch: those with ``dimension`` numbers whose
     ids are neither there nor earlier in the batch's order of hashes."""

@@ -208,6 +208,13 @@ def ann_pq(spark, sf):
     return index.search(index.encode(vectors), vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
+@query()
+def ann_ivfpq(spark, sf):
+    """Codes within the probed cells, scored again exactly; recall is tested."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return X.search_by("IVFPQ", vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
 # chunks
 
 _BREAK = r"[\p{P}\p{Z}\x09-\x0D\x{85}]"

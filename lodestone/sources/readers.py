@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-LARGEST_FILE = 50 * 1024 * 1024
+LARGEST_FILE, LARGEST_IMAGE = 50 * 1024 * 1024, 20 * 1024 * 1024
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +42,8 @@ class Parser:
     suffixes: dict[str, float]
     parse: Callable[[Column], Column] | None = None
     mimes: dict[str, float] = field(default_factory=dict)
+    #: Bytes of the largest file that it reads.
+    largest: int = LARGEST_FILE
 
 
 @dataclass
@@ -76,13 +78,14 @@ class ParserRegistry:
         return by_suffix if mime is None else F.coalesce(by_suffix, self._best(mime, {n: p.mimes for n, p in self.parsers.items()}))
 
     def parse(self, files: DataFrame) -> DataFrame:
-        """path, parser, content for files (path, content as binary) that a parser reads."""
+        """path, parser, content for files (path, content as binary) that a parser reads; a file
+        that is too large for its parser, or without text, gives no row."""
         chosen = files.withColumn("parser", self.choose(F.col("path")))
         content = F.lit(None).cast("string")
         for name, parser in self.parsers.items():
             if parser.parse is not None:
-                content = F.when(F.col("parser") == name, parser.parse(F.col("content"))).otherwise(content)
-        return chosen.select("path", "parser", content.alias("content")).where("content IS NOT NULL")
+                content = F.when((F.col("parser") == name) & (F.octet_length("content") <= parser.largest), parser.parse(F.col("content"))).otherwise(content)
+        return chosen.select("path", "parser", content.alias("content")).where("content IS NOT NULL AND content != ''")
 
 
 def rows_or_none(rules: list[Column]) -> list[Column]:
@@ -97,7 +100,7 @@ def default_registry() -> ParserRegistry:
     registry.register(Parser("html", {"html": 1.0, "htm": 1.0}, lambda c: S.html_to_text(S.decoded(c)), {"text/html": 1.0}))
     registry.register(Parser("pdf", {"pdf": 1.0}, None, {"application/pdf": 1.0}))
     registry.register(Parser("office", dict.fromkeys(S.DOCUMENT_TYPES["office"], 0.9)))
-    registry.register(Parser("image", dict.fromkeys(S.DOCUMENT_TYPES["image"], 0.6)))
+    registry.register(Parser("image", dict.fromkeys(S.DOCUMENT_TYPES["image"], 0.6), largest=LARGEST_IMAGE))
     return registry
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -51,7 +52,9 @@ def session_counts(events: DataFrame, key: str, gap: str = "30 minutes") -> Data
 
 
 def throttled(events: DataFrame, key: str) -> DataFrame:
-    """key, event_id, concurrency: the limit after each event, by keyed state."""
+    """key, event_id, concurrency: the limit after each event, by keyed state.  The events
+    of a micro-batch are taken in their order; one that comes in a later batch counts
+    when it comes."""
     ship(events.sparkSession)
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -158,10 +161,26 @@ class Job:
         return [] if self.query is None else [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in self.query.recentProgress]
 
 
+def shared_folder(spark: SparkSession, name: str) -> str | None:
+    """A new folder below ``spark.checkpoint.dir``; None where the session has none (local runs)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else None
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its rows as a table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    """Run a stream over what is there and return its rows as a table.
+
+    Where the session names a shared folder, the state is kept there, and appended
+    rows are files there; a whole result that each batch replaces (mode "complete") is
+    in the driver's memory, as are the rows where there is no such folder.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    checkpoint = checkpoint or (f"{folder}/checkpoint" if folder else None)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    if folder and mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    writer.format("memory").queryName(name).start().awaitTermination()
+    return spark.table(name)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
@@ -34,6 +36,14 @@ def test_upload_index_search_delete(spark, tmp_path):
     assert engine.table("vectors", "app").count() == 0 and engine.table("documents", "app").count() == 0 and not (tmp_path / "store/vectors/app_id=app").exists()
 
 
+def test_only_served_applications_upload(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), applications=["a"])
+    files = spark.createDataFrame([("x.txt", "text")], "file string, text string")
+    assert engine.upload("a", files, engine.models()[0]).count() == 1
+    with pytest.raises(PermissionError):
+        engine.upload("b", files, engine.models()[0])
+
+
 def test_embedding_batches_and_replies(spark):
     rows = spark.createDataFrame([(k, f"word{k}") for k in range(40)], "id long, content string")
     provider = embedding.hashed_provider(8)
