@@ -146,6 +146,10 @@ class Engine:
         path = F.concat_ws("/", F.lit(self.root), "app_id", F.lit("documents"), "file")
         return rows.join(done, "document_id", "left").select("document_id", "file", "model", F.coalesce("done", "status").alias("status"), path.alias("file_path"), S.document_type(F.col("file")).alias("kind"), "added")
 
+    def document_files(self, app_id: str) -> DataFrame:
+        """file, status: 1 for files that can be found, else 0, as older clients ask for them."""
+        return self.documents_info(app_id).select("file", F.when(F.col("status") == catalog.VECTORISED, 1).otherwise(0).alias("status"))
+
     def delete_documents(self, app_id: str, ids: list[str]) -> int:
         """Delete documents with their chunks and vectors; how many there were."""
         gone = self.table("documents", app_id).where(F.col("document_id").isin(ids)).select("document_id", "app_id")

@@ -347,6 +347,17 @@ def image_size(data: Column) -> Column:
     )
 
 
+#: Fixed value: pixels that a recognised image has at most on its longer side.
+LONGEST_SIDE = 1024
+
+
+def fitted_size(width: Column, height: Column, longest: int = LONGEST_SIDE) -> Column:
+    """struct(width, height) of an image scaled down, in proportion, to the longest side."""
+    side = F.greatest(width, height)
+    scaled = lambda x: F.when(side > longest, F.greatest(F.round(x * F.lit(float(longest)) / side), F.lit(1.0)).cast("int")).otherwise(x.cast("int"))
+    return F.struct(scaled(width).alias("width"), scaled(height).alias("height"))
+
+
 def wave_seconds(data: Column) -> Column:
     """Length of a plain WAVE file by its header: bytes of sound over bytes a second."""
     mark = F.concat(F.hex(F.substring(data, 1, 4)), F.hex(F.substring(data, 9, 4)))

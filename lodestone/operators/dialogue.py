@@ -99,6 +99,14 @@ def registry_nested(models: DataFrame) -> DataFrame:
     return named.groupBy("provider").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "model")))).alias("models"))
 
 
+def models_where(registry: DataFrame, kind: str | None = None, provider: str | None = None, model: str | None = None) -> DataFrame:
+    """The registry's models of a capability, a provider or a name."""
+    rows = registry_models(registry)
+    for column, value in (("kind", kind), ("provider", provider), ("model", model)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
 def capabilities(registry: DataFrame) -> DataFrame:
     """kind, providers: who has each capability, in order."""
     return registry_models(registry).groupBy("kind").agg(F.array_sort(F.collect_set("provider")).alias("providers"))

@@ -750,6 +750,11 @@ def capabilities(spark, sf):
     return dialogue.capabilities(_registry(spark)).withColumn("providers", F.array_join("providers", ","))
 
 
+@query(f"SELECT kind, provider, model, enabled FROM {_MODELS} WHERE kind = 'Chat' AND provider = 'alpha'")
+def model_info(spark, sf):
+    return dialogue.models_where(_registry(spark), kind="Chat", provider="alpha")
+
+
 @query("""SELECT n_name AS provider, '{' || string_agg('"' || s_name || '":"m' || s_suppkey || '"', ',' ORDER BY s_name) || '}' AS models FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def config_writer(spark, sf):
     """Models regrouped by provider, as they are written."""
@@ -827,6 +832,12 @@ def decode_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.decoded(F.col("text").cast("binary")).alias("utf8"), S.decoded(wide).alias("utf16"))
 
 
+@query("""SELECT p_partkey, CASE WHEN greatest(w, h) > 1024 THEN greatest(round(w * 1024.0 / greatest(w, h)), 1) ELSE w END::INT AS width, CASE WHEN greatest(w, h) > 1024 THEN greatest(round(h * 1024.0 / greatest(w, h)), 1) ELSE h END::INT AS height
+FROM (SELECT p_partkey, p_partkey * 3 AS w, p_size * 40 AS h FROM part)""")
+def image_fit(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", S.fitted_size(F.col("p_partkey") * 3, F.col("p_size") * 40).alias("s")).select("p_partkey", "s.*")
+
+
 @query("SELECT doc_id, sha256(length(source) || ':' || source || length(text) || ':' || text)[1:32] AS id FROM documents")
 def stable_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.stable_id(F.col("source"), F.col("text")).alias("id"))

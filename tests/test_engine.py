@@ -29,6 +29,7 @@ def test_upload_index_search_delete(spark, tmp_path):
     assert dict(map(tuple, engine.status("app").collect())) == {3: 2, 2: 1}
     assert engine.rebuild_index("app", model) == n and [r.chunk_index for r in engine.chunks("app", info["a.txt"].document_id, model).collect()] == list(range(n - 1))
     assert dict(map(tuple, engine.owner("app", [info["a.txt"].document_id, "none"]).collect())) == {info["a.txt"].document_id: model, "none": None}
+    assert dict(map(tuple, engine.document_files("app").collect())) == {"a.txt": 1, "b.pdf": 1, "c.txt": 0}
     assert engine.delete_documents("app", [info["b.pdf"].document_id, "nothing"]) == 1
     assert engine.search("app", "harbours", 5).where("file = 'b.pdf'").count() == 0
     assert engine.compact(str(tmp_path / "smaller"))._stored("documents").count() == 2
