@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, rows_of_keys
+from .workspace import Workspace, rows_without
 
 #: More colliding hashes than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_COLLISIONS = 100_000
@@ -181,7 +181,8 @@ def exact_dedup(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", workspace: Workspace | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts that with the largest ``doc_id``."""
-    kept = exact_dedup(docs, text_col, id_col, **options).where("kept").select(F.struct("doc_id", "text_sha256").alias("_keep"))
-    return rows_of_keys(docs, kept, text_col, id_col)
+    ws = workspace or Workspace(docs.sparkSession, "exact-dedup")
+    found = ws.save(exact_dedup(docs, text_col, id_col, workspace=ws, **options).select("doc_id", "text_sha256", "keep_id"), "found")
+    return rows_without(docs, found.where("NOT (doc_id <=> keep_id)"), found, ws, text_col, id_col)

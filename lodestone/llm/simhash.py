@@ -21,7 +21,7 @@ same z are linked to the smallest of them.  That emits a constant number of rows
 for each member however large the group is.
 
 The stage that drops near-duplicates (``near_duplicates``) uses the same search over
-fingerprints of distinct words to find candidates, and compares five-word shingles
+fingerprints of distinct words and of distinct pairs of words to find candidates, and compares five-word shingles
 exactly.
 
 Equal fingerprints are one node before any join; components come from star
@@ -36,7 +36,7 @@ other columns of any name are ignored, or returned as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import connected_components
-from .workspace import Workspace, fresh, rows_of_keys, slices
+from .workspace import Workspace, bounded, rows_of_keys, rows_without, slices
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
@@ -60,8 +60,6 @@ MAX_CELL = 4096
 REACH = 12
 #: Kept rows of a group that a round compares with at most.
 MOST_PIVOTS = 32
-#: Rows of keys that a join sends to every task.
-BROADCAST_ROWS = 100_000
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _COUNT_AT_ONCE = 65_536
 
@@ -94,9 +92,12 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def word_fingerprint(data: bytes) -> int:
-    """The fingerprint over the distinct words of a text, each once."""
-    return _majority([xxhash.xxh64_intdigest(w, SEED) for w in set(data.lower().split())])
+def set_fingerprints(data: bytes) -> tuple[int, int]:
+    """The fingerprints over the distinct words of a text and over its distinct pairs of
+    adjacent words (of one word, that), each counted once."""
+    words, digest = data.lower().split(), xxhash.xxh64_intdigest
+    pairs = set(map(b" ".join, zip(words, words[1:]))) or set(words)
+    return _majority([digest(w, SEED) for w in set(words)]), _majority([digest(p, SEED) for p in pairs])
 
 
 def shingle_hashes(data: bytes, shingle: int) -> list[int]:
@@ -107,7 +108,7 @@ def shingle_hashes(data: bytes, shingle: int) -> list[int]:
     return sorted({_signed(xxhash.xxh64_intdigest(s, SEED)) for s in spans})
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, of: Callable[[bytes], int] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
     """doc_id, text_sha256, fp (the fingerprint's bits as a signed long); a row per row of ``docs``."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
@@ -116,12 +117,27 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = [_signed(of(x.as_py()) if of else fingerprint(x.as_py(), shingle)) for x in batch.column(2)]
+            fps = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "text_sha256", "fp"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType())]))
 
 
+def word_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text_sha256, fp, pair_fp: both ``set_fingerprints``; a row per row of ``docs``."""
+    ship(docs.sparkSession)
+    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("pair_fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            both = [set_fingerprints(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([_signed(f[k]) for f in both], pa.int64()) for k in range(2))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _embedding(fp: Column) -> Column:
     """Bit counts of two-bit segments, in unary."""
     upper, low = F.shiftrightunsigned(fp, 1), F.lit(LOW_BITS)
@@ -246,19 +262,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """A saved table as the small side of a join if its counted rows are few enough."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def _candidates(table: DataFrame, ws: Workspace, max_cell: int, reach: int) -> DataFrame:
-    """doc_id, text_sha256, root: distinct texts with ids in a group of linked word
-    fingerprints that holds two of them at least."""
-    nodes = ws.save(table.distinct().groupBy("fp").agg(F.count("*").alias("size")), "word-nodes")
-    roots = ws.save(connected_components(ws.save(links(nodes.select("fp"), ws, max_cell=max_cell, reach=reach), "word-links"), ws), "word-roots")
-    labelled = ws.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root")), "word-labels")
-    groups = ws.save(labelled.groupBy("root").agg(F.sum("size").alias("n")).where("n > 1").select("root"), "word-groups")
-    return table.distinct().join(labelled.join(groups, "root", "left_semi").select("fp", "root"), "fp").select("doc_id", "text_sha256", "root")
+    """doc_id, text_sha256, root: distinct texts with ids in a group of two of them at least
+    that equal or linked fingerprints of either kind connect."""
+    rows = ws.save(table.distinct(), "texts")
+    found = []
+    for column in ("fp", "pair_fp"):
+        nodes = ws.save(rows.groupBy(F.col(column).alias("fp")).agg(F.count("*").alias("size")), "word-nodes")
+        linked = ws.save(links(nodes.select("fp"), ws, max_cell=max_cell, reach=reach), "word-links")
+        ends = linked.select(F.col("a").alias("fp")).union(linked.select("b")).union(nodes.where("size > 1").select("fp")).distinct()
+        found.append((column, linked, ws.save(ends, "word-ends")))
+        ws.drop(nodes)
+    # Fingerprints of both kinds are nodes (a kind and a number), and texts with a partner of
+    # either kind are links between theirs.
+    node = lambda column, fp: F.struct(F.lit(column == "pair_fp").alias("kind"), F.col(fp).alias("fp"))
+    some = [rows.join(ends.select(F.col("fp").alias("_end")), F.col(column) == F.col("_end"), "left_semi") for column, _, ends in found]
+    texts = ws.save(some[0].union(some[1]).distinct().select("doc_id", "text_sha256", node("fp", "fp").alias("a"), node("pair_fp", "pair_fp").alias("b")), "linked-texts")
+    edges = texts.select("a", "b")
+    for column, linked, _ in found:
+        edges = edges.union(linked.select(node(column, "a").alias("a"), node(column, "b").alias("b")))
+    roots = ws.save(connected_components(edges, ws), "word-roots")
+    labelled = ws.save(texts.join(roots.withColumnRenamed("node", "a"), "a").select("doc_id", "text_sha256", F.col("root.fp").bitwiseXOR(F.when(F.col("root.kind"), F.lit(-1)).otherwise(F.lit(0))).alias("root")), "labelled-texts")
+    groups = ws.save(labelled.groupBy("root").count().where("count > 1").select("root"), "word-groups")
+    return labelled.join(groups, "root", "left_semi").select("doc_id", "text_sha256", "root")
 
 
 def near_duplicates(
@@ -276,8 +302,8 @@ def near_duplicates(
     stays and whose set of ``shingle``-word shingles has a Jaccard similarity of
     ``least`` or more with its own, exactly.
 
-    Candidates are the groups of linked fingerprints over distinct words, which few
-    changed words move by few bits.  In a group the rows go in the order of their ids
+    Candidates are the groups of linked fingerprints over distinct words or over distinct
+    pairs of words, which few changed words move by few bits.  In a group the rows go in the order of their ids
     (null last), then of their texts' hashes; a row that no earlier kept one is similar
     to is kept.  That takes rounds: each compares all rows that are left with the first
     one, two, four ... ``MOST_PIVOTS`` of their group, so a group of copies of any size
@@ -285,12 +311,12 @@ def near_duplicates(
     fingerprints, if they are there already.
     """
     ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
-    table = ws.save(fingerprints(docs, text_col, id_col, of=word_fingerprint), "word-fingerprints") if table is None else table
+    table = ws.save(word_fingerprints(docs, text_col, id_col), "word-fingerprints") if table is None else table
     marked = ws.save(_candidates(table, ws, max_cell, reach), "candidates")
     content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
     key = F.struct("doc_id", "text_sha256")
-    chosen = rows.withColumn("_key", key).join(_bounded(marked.select(key.alias("_own"), "root")), F.col("_key") == F.col("_own")).select("root", "doc_id", "text_sha256", "content")
+    chosen = rows.withColumn("_key", key).join(bounded(marked.select(key.alias("_own"), "root")), F.col("_key") == F.col("_own")).select("root", "doc_id", "text_sha256", "content")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,22 +350,12 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     """``docs`` without its ``near_duplicates``.
 
     Rows are told apart by id and text, so ids may be null or repeat.  Of rows that
-    agree in both, one stays; all of them meet on the map side first.  Rows that are
-    neither dropped nor repeated aren't shuffled, unless those that are are many.
+    agree in both, one stays.
     """
     ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
-    table = ws.save(fingerprints(docs, text_col, id_col, of=word_fingerprint), "word-fingerprints")
-    key = F.struct("doc_id", "text_sha256")
-    name = fresh(docs.columns, "_gone")
-    gone = ws.save(near_duplicates(docs, text_col, id_col, workspace=ws, table=table, **options).select(key.alias(name)), "gone")
-    repeated = ws.save(table.groupBy("doc_id", "text_sha256").count().where("count > 1").select(key.alias(name)), "repeated")
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    own = F.struct(F.col(id_col).alias("doc_id"), sha.alias("text_sha256"))
-    out = docs.join(_bounded(ws.save(gone.union(repeated), "not-as-it-is")), own == F.col(name), "left_anti")
-    if repeated.limit(1).count():
-        once = ws.save(repeated.join(gone.select(F.col(name).alias("_other")), F.col(name) == F.col("_other"), "left_anti"), "once")
-        out = out.unionByName(rows_of_keys(docs.join(_bounded(once), own == F.col(name), "left_semi"), once, text_col, id_col))
-    return out
+    table = ws.save(word_fingerprints(docs, text_col, id_col), "word-fingerprints")
+    gone = near_duplicates(docs, text_col, id_col, workspace=ws, table=table, **options)
+    return rows_without(docs, gone, table, ws, text_col, id_col)
 
 
 def drop_near_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

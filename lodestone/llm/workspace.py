@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Rows of keys that a join sends to every task.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +87,30 @@ def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str, id_col: str, h
     return one.join(keys, F.col("_key") == F.col(f"`{keys.columns[0]}`"), how).select("_row.*")
 
 
+def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table of keys as the broadcast side of a join if it is counted to be small enough."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def rows_without(docs: DataFrame, gone: DataFrame, known: DataFrame, ws: Workspace, text_col: str, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text_sha256) is in ``gone``; of rows that agree
+    in both, one stays.  ``known`` is a saved table with both columns for every row.
+
+    Rows that are neither dropped nor repeated aren't shuffled, unless those that are
+    are many; repeated ones meet on the map side first.
+    """
+    name, key = fresh(docs.columns, "_gone"), F.struct("doc_id", "text_sha256")
+    gone = ws.save(gone.select(key.alias(name)).distinct(), "gone")
+    repeated = ws.save(known.groupBy("doc_id", "text_sha256").count().where("count > 1").select(key.alias(name)), "repeated")
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    own = F.struct(F.col(id_col).alias("doc_id"), sha.alias("text_sha256"))
+    out = docs.join(bounded(ws.save(gone.union(repeated).distinct(), "not-as-it-is")), own == F.col(name), "left_anti")
+    if repeated.limit(1).count():
+        once = ws.save(repeated.join(gone.select(F.col(name).alias("_other")), F.col(name) == F.col("_other"), "left_anti"), "once")
+        out = out.unionByName(rows_of_keys(docs.join(bounded(once), own == F.col(name), "left_semi"), once, text_col, id_col))
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches: Python objects are made for few at a time."""
     for batch in batches:

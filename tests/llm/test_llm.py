@@ -192,9 +192,13 @@ def test_counts_after_near_dedup(spark, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(odd).collect()) == sorted((k is None, k or 0, t or "") for k, t in brute_near_dedup(rows))
 
 
-def brute_word_fingerprint(text):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def brute_set_fingerprints(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = []
+    for features in (set(words), {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)):
+        hashes = [xxhash.xxh64_intdigest(f.encode(), 42) for f in features]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
 
 
 def brute_shingles(text, n=5):
@@ -203,10 +207,10 @@ def brute_shingles(text, n=5):
 
 
 def brute_near_dedup(rows):
-    """Candidate groups by word fingerprints (within 4 bits, or within 12 bits and alike in
+    """Candidate groups by fingerprints of words or of pairs (within 4 bits, or within 12 bits and alike in
     four of the eight groups of segments), then the first rows that nothing kept is like."""
     rows = sorted({(k is None, k or 0, hashlib.sha256((t or "").encode()).hexdigest()): (k, t) for k, t in rows}.items())
-    fps = [brute_word_fingerprint(t) for _, (_, t) in rows]
+    fps = [brute_set_fingerprints(t) for _, (_, t) in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -217,12 +221,14 @@ def brute_near_dedup(rows):
     def counts(f):
         return [(f >> (2 * k) & 1) + (f >> (2 * k + 1) & 1) for k in range(32)]
 
-    for i, a in enumerate(fps):
+    parts = [[counts(f) for f in own] for own in fps]
+    for i in range(len(fps)):
         for j in range(i):
-            b = fps[j]
-            same = sum(counts(a)[4 * g : 4 * g + 4] == counts(b)[4 * g : 4 * g + 4] for g in range(8))
-            if (a ^ b).bit_count() <= 4 or ((a ^ b).bit_count() <= 12 and same >= 4):
-                root[find(i)] = find(j)
+            for kind in range(2):
+                differ = (fps[i][kind] ^ fps[j][kind]).bit_count()
+                same = differ <= 12 and sum(parts[i][kind][4 * g : 4 * g + 4] == parts[j][kind][4 * g : 4 * g + 4] for g in range(8))
+                if differ <= 4 or (differ <= 12 and same >= 4):
+                    root[find(i)] = find(j)
     kept = {}
     for i, (_, row) in enumerate(rows):
         own, group = brute_shingles(row[1]), kept.setdefault(find(i), [])
