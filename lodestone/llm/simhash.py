@@ -189,7 +189,7 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
     left = open_cells.select(F.col("cell"), F.col("mask"), F.col("fp").alias("a"))
     right = open_cells.select(F.col("cell").alias("cell2"), F.col("mask").alias("mask2"), F.col("fp").alias("b"))
     differ = _embedding(F.col("a")).bitwiseXOR(_embedding(F.col("b")))
-    found = left.join(
+    found = left.hint("merge").join(  # sizes are estimated without the explode
         right,
         (F.col("cell") == F.col("cell2"))
         & (F.col("mask") == F.col("mask2"))
@@ -262,14 +262,27 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def _candidates(table: DataFrame, ws: Workspace, max_cell: int, reach: int) -> DataFrame:
+def _pointers(nodes: DataFrame, workspace: Workspace, reach: int) -> DataFrame:
+    """Links a, b from each fingerprint to the smallest one that is least in a cell of both
+    and within ``reach``: one link for each at most, however large a group is."""
+    masks = F.array(*[F.lit(_signed(m)) for m in _masks(4)])
+    cells = nodes.select("fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", _embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("cell"), "fp")
+    least = workspace.save(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("cell", "low"), "least-of-cells")
+    # Sizes are estimated without the explode, so the joins on cells are told not to broadcast.
+    near = cells.hint("merge").join(least, "cell").where((F.col("low") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= reach))
+    return near.groupBy(F.col("fp").alias("a")).agg(F.min("low").alias("b"))
+
+
+def _candidates(table: DataFrame, ws: Workspace, max_cell: int, reach: int, listed: bool) -> DataFrame:
     """doc_id, text_sha256, root: distinct texts with ids in a group of two of them at least
-    that equal or linked fingerprints of either kind connect."""
+    that equal or linked fingerprints of either kind connect; all links if ``listed``,
+    else ``_pointers``."""
     rows = ws.save(table.distinct(), "texts")
     found = []
     for column in ("fp", "pair_fp"):
         nodes = ws.save(rows.groupBy(F.col(column).alias("fp")).agg(F.count("*").alias("size")), "word-nodes")
-        linked = ws.save(links(nodes.select("fp"), ws, max_cell=max_cell, reach=reach), "word-links")
+        own = nodes.select("fp")
+        linked = ws.save(links(own, ws, max_cell=max_cell, reach=reach) if listed else _pointers(own, ws, reach), "word-links")
         ends = linked.select(F.col("a").alias("fp")).union(linked.select("b")).union(nodes.where("size > 1").select("fp")).distinct()
         found.append((column, linked, ws.save(ends, "word-ends")))
         ws.drop(nodes)
@@ -297,22 +310,37 @@ def near_duplicates(
     reach: int = REACH,
     workspace: Workspace | None = None,
     table: DataFrame | None = None,
+    thorough: bool = False,
 ) -> DataFrame:
     """doc_id, text_sha256, keep_id, keep_sha256: the rows to drop, each with the row that
     stays and whose set of ``shingle``-word shingles has a Jaccard similarity of
     ``least`` or more with its own, exactly.
 
     Candidates are the groups of linked fingerprints over distinct words or over distinct
-    pairs of words, which few changed words move by few bits.  In a group the rows go in the order of their ids
-    (null last), then of their texts' hashes; a row that no earlier kept one is similar
-    to is kept.  That takes rounds: each compares all rows that are left with the first
-    one, two, four ... ``MOST_PIVOTS`` of their group, so a group of copies of any size
-    is done in one, and no pairs of a group are listed.  ``table`` has the word
-    fingerprints, if they are there already.
+    pairs of words, which few changed words move by few bits.  Each fingerprint points to
+    one other, so the links grow with the table and not with the square of a group.
+    ``thorough`` searches again among what is left, for all links; then the row that stays
+    may itself have gone, in the second search, for one that stays.
+
+    In a group the rows go in the order of their ids (null last), then of their texts'
+    hashes; a row that no earlier kept one is similar to is kept.  That takes rounds: each
+    compares all rows that are left with the first one, two, four ... ``MOST_PIVOTS`` of
+    their group, so a group of copies of any size is done in one, and no pairs of a group
+    are listed.  ``table`` has the ``word_fingerprints``, if they are there already.
     """
     ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
     table = ws.save(word_fingerprints(docs, text_col, id_col), "word-fingerprints") if table is None else table
-    marked = ws.save(_candidates(table, ws, max_cell, reach), "candidates")
+    first = ws.save(_losers(docs, ws.save(_candidates(table, ws, max_cell, reach, False), "candidates"), ws, text_col, id_col, shingle, least), "first-losers")
+    if not thorough:
+        return first
+    key = F.struct("doc_id", "text_sha256")
+    left = ws.save(table.distinct().join(bounded(first.select(key.alias("_gone"))), key == F.col("_gone"), "left_anti"), "left")
+    return first.unionByName(_losers(docs, ws.save(_candidates(left, ws, max_cell, reach, True), "candidates"), ws, text_col, id_col, shingle, least))
+
+
+def _losers(docs: DataFrame, marked: DataFrame, ws: Workspace, text_col: str, id_col: str, shingle: int, least: float) -> DataFrame:
+    """doc_id, text_sha256, keep_id, keep_sha256 of the rows to drop from groups (doc_id,
+    text_sha256, root) of candidates."""
     content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
     key = F.struct("doc_id", "text_sha256")

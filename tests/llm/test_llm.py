@@ -207,8 +207,8 @@ def brute_shingles(text, n=5):
 
 
 def brute_near_dedup(rows):
-    """Candidate groups by fingerprints of words or of pairs (within 4 bits, or within 12 bits and alike in
-    four of the eight groups of segments), then the first rows that nothing kept is like."""
+    """Candidate groups by fingerprints of words or of pairs (each with the smallest one within 12
+    bits that is least in a cell of both), then the first rows that nothing kept is like."""
     rows = sorted({(k is None, k or 0, hashlib.sha256((t or "").encode()).hexdigest()): (k, t) for k, t in rows}.items())
     fps = [brute_set_fingerprints(t) for _, (_, t) in rows]
     root = list(range(len(rows)))
@@ -221,14 +221,20 @@ def brute_near_dedup(rows):
     def counts(f):
         return [(f >> (2 * k) & 1) + (f >> (2 * k + 1) & 1) for k in range(32)]
 
-    parts = [[counts(f) for f in own] for own in fps]
-    for i in range(len(fps)):
-        for j in range(i):
-            for kind in range(2):
-                differ = (fps[i][kind] ^ fps[j][kind]).bit_count()
-                same = differ <= 12 and sum(parts[i][kind][4 * g : 4 * g + 4] == parts[j][kind][4 * g : 4 * g + 4] for g in range(8))
-                if differ <= 4 or (differ <= 12 and same >= 4):
-                    root[find(i)] = find(j)
+    from itertools import combinations
+
+    for kind in range(2):
+        own, least = {}, {}
+        for i, f in enumerate(simhash._signed(f[kind]) for f in fps):
+            root[find(i)] = find(own.setdefault(f, i))
+        cells = {f: [(g, tuple(counts(f % 2**64)[4 * k : 4 * k + 4][j] for k in g for j in range(4))) for g in combinations(range(8), 4)] for f in own}
+        for f in own:
+            for c in cells[f]:
+                least[c] = min(least.get(c, f), f)
+        for f in own:
+            near = [low for low in map(least.get, cells[f]) if low < f and ((low ^ f) % 2**64).bit_count() <= 12]
+            if near:
+                root[find(own[f])] = find(own[min(near)])
     kept = {}
     for i, (_, row) in enumerate(rows):
         own, group = brute_shingles(row[1]), kept.setdefault(find(i), [])
