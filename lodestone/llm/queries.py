@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language, licenses, pieces, simhash, token_counts, toxicity, warc
+from . import chat, decontaminate, exact_dedup, language, licenses, main_text, pieces, release, simhash, token_counts, toxicity, trie, warc
 from .workspace import Workspace
 
 
@@ -157,6 +157,80 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "lang", F.round("probability", 4).alias("probability"), "declared", "host")
 
 
+def op11_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    released = release.replay(_table(spark, sf_dir, "conversations"))
+    return released.select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", "state")
+
+
+# DuckDB has no CRC-32: a table of its 256 steps and a fold over the bytes of a text.
+_CRC = """
+crc_table AS (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS steps FROM range(256) r(i))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the checksum of a text; ``steps`` must be in scope."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC},
+t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p, coalesce(text, '') AS text FROM conversations),
+h AS (SELECT t.*, list_transform(range(7), lambda n: {_crc32("n || ':' || conv_id || ':' || turn")}) AS h, {_crc32("text")} AS crc FROM t, crc_table),
+n AS (SELECT conv_id, turn, p, crc, 7 * p AS arrival, h[2] % 101 < 20 AS faulty, 7 * p + h[3] % 101 AS repair,
+             [h[4] % 3 = 0, h[5] % 3 = 0, h[6] % 3 = 0, h[7] % 3 = 0] AS unlucky,
+             CASE WHEN h[1] % 7 BETWEEN 1 AND p THEN p - h[1] % 7 END AS parent FROM h),
+tried AS (
+  SELECT conv_id, turn, p, crc, true AS tried, s, 
+         CASE WHEN NOT faulty THEN 1 ELSE list_position(list_transform(range(4), lambda a: s + 20 * (2 ** a - 1) >= repair AND NOT unlucky[a + 1]), true) END AS won
+  FROM (SELECT *, arrival AS s FROM n WHERE parent IS NULL)
+  UNION ALL
+  SELECT conv_id, turn, p, crc, tried, s,
+         CASE WHEN NOT tried THEN NULL WHEN NOT faulty THEN 1 ELSE list_position(list_transform(range(4), lambda a: s + 20 * (2 ** a - 1) >= repair AND NOT unlucky[a + 1]), true) END
+  FROM (SELECT n.*, u.won IS NOT NULL AS tried, greatest(n.arrival, u.s + 20 * (2 ** (u.won - 1) - 1)) AS s
+        FROM n JOIN tried u ON n.conv_id = u.conv_id AND n.parent = u.p)),
+o AS (SELECT conv_id, turn, crc, won,
+             CASE WHEN won IS NOT NULL THEN 'delivered' WHEN tried THEN 'dead' ELSE 'blocked' END AS status,
+             CASE WHEN NOT tried THEN 0 ELSE coalesce(won, 4) END AS attempts,
+             CASE WHEN tried THEN s END::BIGINT AS first_at,
+             CASE WHEN tried THEN s + 20 * (2 ** (coalesce(won, 4) - 1) - 1) END::BIGINT AS last_at FROM tried),
+r AS (SELECT *, CASE WHEN won IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, won IS NOT NULL ORDER BY last_at, turn) END AS release_no FROM o)
+SELECT conv_id, turn, status, attempts::INTEGER AS attempts, first_at, last_at, release_no,
+       CASE WHEN won IS NOT NULL THEN sum(release_no * crc) OVER (PARTITION BY conv_id, won IS NOT NULL ORDER BY release_no) END::BIGINT AS state
+FROM r
+"""
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_text.extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP13_SQL = f"""
+WITH {_CRC},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x FROM conversations),
+own AS (SELECT conv_id, list(x ORDER BY p) AS xs FROM t GROUP BY conv_id),
+h AS (SELECT own.*, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM own, crc_table),
+c AS (SELECT h.conv_id, coalesce(list_slice(b.xs, 1, h), []) || coalesce(list_slice(h.xs, h + 1, len(h.xs)), []) AS xs
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+s AS (SELECT conv_id, d, list_slice(xs, 1, d) AS xs, d = len(c.xs) AS last FROM c, unnest(range(len(c.xs) + 1)) u(d)),
+n AS (SELECT xs, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends,
+             CASE WHEN d > 0 THEN octet_length(encode(xs[d].text)) ELSE 0 END AS bytes FROM s GROUP BY xs, d),
+k AS (SELECT list_slice(xs, 1, d - 1) AS xs, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.xs = k.xs AND n.d = k.d),
+a AS (SELECT list_slice(xs, 1, e) AS xs, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+      FROM w, unnest(range(w.d + 1)) u(e) GROUP BY ALL)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN a ON w.xs = a.xs AND w.d = a.d LEFT JOIN n up ON up.d = w.d - 1 AND up.xs = list_slice(w.xs, 1, w.d - 1)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -168,5 +242,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op11_release": op11_release,
+    "op12_main_text": op12_main_text,
+    "op13_trie": op13_trie,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op7_decontaminate": OP7_SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op7_decontaminate": OP7_SQL, "op11_release": OP11_SQL, "op13_trie": OP13_SQL}
