@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         "edges",
     )
     seen = None
-    while True:
+    while current.limit(1).count():
         larger = workspace.save(_large_star(current, workspace), "large-star")
         smaller = workspace.save(_small_star(larger, workspace), "small-star")
         workspace.drop(current, larger)

@@ -15,14 +15,15 @@ tests the Manhattan lower bound, then the Hamming distance, all inside the join
 condition.
 
 Cells that hold more than ``max_cell`` fingerprints are taken out of the join.
-Their members are linked exactly by another route: x and y are within four bits
+Their members are first linked to three members of the cell, if within four bits, which
+makes one component of a cluster of near copies.  Only where a cell has several
+components, its members are linked exactly by another route: x and y are within four bits
 if and only if some z is within two bits of both, so all members that reach the
-same z are linked to the smallest of them.  That emits a constant number of rows
-for each member however large the group is.
+same z are linked to the smallest of them.  So links are a constant number for each
+member, however large a group is.
 
-The stage that drops near-duplicates (``near_duplicates``) uses the same search over
-fingerprints of distinct words and of distinct pairs of words to find candidates, and compares five-word shingles
-exactly.
+The stage that drops near-duplicates at a similarity of 0.8 (``near_duplicates``), which
+is beyond four bits, searches by the shingles themselves (``near_copies``).
 
 Equal fingerprints are one node before any join; components come from star
 contractions; no pairs, links or components are collected.
@@ -37,29 +38,27 @@ other columns of any name are ignored, or returned as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import connected_components
-from .workspace import Workspace, bounded, rows_of_keys, rows_without, slices
+from .near_copies import drop_near_duplicates, near_duplicates
+from .workspace import Workspace, rows_of_keys, slices
+
+__all__ = ["drop_near_duplicates", "drop_near_fingerprints", "fingerprint", "fingerprints", "links", "near_duplicates", "simhash_near_dedup"]
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
-MAX_CELL = 4096
-#: Bits that word fingerprints of candidates differ in at most, if they share a cell.
-REACH = 12
-#: Kept rows of a group that a round compares with at most.
-MOST_PIVOTS = 32
+MAX_CELL = 256
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _COUNT_AT_ONCE = 65_536
 
@@ -92,22 +91,6 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def set_fingerprints(data: bytes) -> tuple[int, int]:
-    """The fingerprints over the distinct words of a text and over its distinct pairs of
-    adjacent words (of one word, that), each counted once."""
-    words, digest = data.lower().split(), xxhash.xxh64_intdigest
-    pairs = set(map(b" ".join, zip(words, words[1:]))) or set(words)
-    return _majority([digest(w, SEED) for w in set(words)]), _majority([digest(p, SEED) for p in pairs])
-
-
-def shingle_hashes(data: bytes, shingle: int) -> list[int]:
-    """Distinct hashes, as signed longs, of the shingles of a text (fewer words: the
-    whole sequence; none: no shingle)."""
-    words = data.lower().split()
-    spans = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))] if words else []
-    return sorted({_signed(xxhash.xxh64_intdigest(s, SEED)) for s in spans})
-
-
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
     """doc_id, text_sha256, fp (the fingerprint's bits as a signed long); a row per row of ``docs``."""
     ship(docs.sparkSession)
@@ -123,21 +106,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", id_type), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType())]))
 
 
-def word_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text_sha256, fp, pair_fp: both ``set_fingerprints``; a row per row of ``docs``."""
-    ship(docs.sparkSession)
-    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_sha256", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("pair_fp", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            both = [set_fingerprints(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([_signed(f[k]) for f in both], pa.int64()) for k in range(2))], schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
 def _embedding(fp: Column) -> Column:
     """Bit counts of two-bit segments, in unary."""
     upper, low = F.shiftrightunsigned(fp, 1), F.lit(LOW_BITS)
@@ -165,14 +133,13 @@ def _first_shared(differ: Column, mask: Column) -> Column:
     return ~wrong
 
 
-def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cell: int = MAX_CELL, reach: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cell: int = MAX_CELL) -> DataFrame:
     """Links a, b between distinct fingerprints (column ``fp``) that connect just
     those that chains of links of ``max_distance`` bits or fewer connect.
 
-    Outside crowded cells every link is listed; inside, a star for each centre.  With
-    ``reach``, pairs that share a cell count up to that distance as well.
+    In cells of at most ``max_cell`` every link is listed, so a member has fewer than that;
+    in crowded ones a constant number for each member (``_crowd_links``).
     """
-    farthest = max(max_distance, reach or 0)
     masks = F.array(*[F.lit(_signed(m)) for m in _masks(max_distance)])
     cells = (
         nodes.select("fp", _embedding(F.col("fp")).alias("e"))
@@ -180,11 +147,10 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
         .select(F.xxhash64("mask", F.col("e").bitwiseAND(F.col("mask"))).alias("cell"), "mask", "fp")
     )
     crowded = workspace.save(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > max_cell), "crowded-cells")
-    open_cells, stars = cells, None
+    open_cells, more = cells, None
     if crowded.limit(1).count():
         open_cells = cells.join(crowded.select("cell"), "cell", "left_anti")
-        members = workspace.save(cells.join(crowded.select("cell"), "cell", "left_semi").select("fp").distinct(), "crowded")
-        stars = _stars(members, max_distance, workspace)
+        more = _crowd_links(workspace.save(cells.join(crowded.select("cell"), "cell", "left_semi").select("cell", "fp"), "crowd"), max_distance, workspace)
 
     left = open_cells.select(F.col("cell"), F.col("mask"), F.col("fp").alias("a"))
     right = open_cells.select(F.col("cell").alias("cell2"), F.col("mask").alias("mask2"), F.col("fp").alias("b"))
@@ -195,11 +161,29 @@ def links(nodes: DataFrame, workspace: Workspace, max_distance: int = 4, max_cel
         & (F.col("mask") == F.col("mask2"))
         & (F.col("a") < F.col("b"))
         & (differ.bitwiseAND(F.col("mask")) == 0)
-        & (F.bit_count(differ) <= farthest)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= farthest)
+        & (F.bit_count(differ) <= max_distance)
+        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
         & _first_shared(differ, F.col("mask")),
     ).select("a", "b")
-    return found if stars is None else found.unionByName(stars)
+    return found if more is None else found.unionByName(more)
+
+
+def _crowd_links(crowd: DataFrame, max_distance: int, workspace: Workspace) -> DataFrame:
+    """Links that connect the members of crowded cells (cell, fp) as all of theirs would.
+
+    Each member is compared with three of its cell (the least, the greatest and one by
+    hash), which connects a cluster of near copies.  Where a cell's members are not all in
+    one component then, they go by stars.
+    """
+    ends = workspace.save(crowd.groupBy(F.col("cell").alias("_cell")).agg(F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp")))).alias("ends")), "ends-of-cells")
+    near = F.filter("ends", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= max_distance))
+    met = crowd.hint("merge").join(ends, F.col("cell") == F.col("_cell")).select("fp", F.explode(near).alias("end"))
+    anchored = workspace.save(met.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct(), "anchored")
+    roots = workspace.save(connected_components(anchored, workspace).withColumnRenamed("node", "_fp"), "crowd-roots")
+    placed = crowd.join(roots, F.col("fp") == F.col("_fp"), "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = workspace.save(placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cell"), "mixed-cells")
+    left = workspace.save(crowd.join(mixed, "cell", "left_semi").select("fp").distinct(), "crowded")
+    return anchored.unionByName(_stars(left, max_distance, workspace)) if left.limit(1).count() else anchored
 
 
 def _stars(members: DataFrame, max_distance: int, workspace: Workspace) -> DataFrame:
@@ -256,136 +240,6 @@ def simhash_near_dedup(
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets (arrays without repeats); two empty ones are alike."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(common / (F.size(a) + F.size(b) - common))
-
-
-def _pointers(nodes: DataFrame, workspace: Workspace, reach: int) -> DataFrame:
-    """Links a, b from each fingerprint to the smallest one that is least in a cell of both
-    and within ``reach``: one link for each at most, however large a group is."""
-    masks = F.array(*[F.lit(_signed(m)) for m in _masks(4)])
-    cells = nodes.select("fp", F.explode(masks).alias("mask")).select(F.xxhash64("mask", _embedding(F.col("fp")).bitwiseAND(F.col("mask"))).alias("cell"), "fp")
-    least = workspace.save(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("cell", "low"), "least-of-cells")
-    # Sizes are estimated without the explode, so the joins on cells are told not to broadcast.
-    near = cells.hint("merge").join(least, "cell").where((F.col("low") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= reach))
-    return near.groupBy(F.col("fp").alias("a")).agg(F.min("low").alias("b"))
-
-
-def _candidates(table: DataFrame, ws: Workspace, max_cell: int, reach: int, listed: bool) -> DataFrame:
-    """doc_id, text_sha256, root: distinct texts with ids in a group of two of them at least
-    that equal or linked fingerprints of either kind connect; all links if ``listed``,
-    else ``_pointers``."""
-    rows = ws.save(table.distinct(), "texts")
-    found = []
-    for column in ("fp", "pair_fp"):
-        nodes = ws.save(rows.groupBy(F.col(column).alias("fp")).agg(F.count("*").alias("size")), "word-nodes")
-        own = nodes.select("fp")
-        linked = ws.save(links(own, ws, max_cell=max_cell, reach=reach) if listed else _pointers(own, ws, reach), "word-links")
-        ends = linked.select(F.col("a").alias("fp")).union(linked.select("b")).union(nodes.where("size > 1").select("fp")).distinct()
-        found.append((column, linked, ws.save(ends, "word-ends")))
-        ws.drop(nodes)
-    # Fingerprints of both kinds are nodes (a kind and a number), and texts with a partner of
-    # either kind are links between theirs.
-    node = lambda column, fp: F.struct(F.lit(column == "pair_fp").alias("kind"), F.col(fp).alias("fp"))
-    some = [rows.join(ends.select(F.col("fp").alias("_end")), F.col(column) == F.col("_end"), "left_semi") for column, _, ends in found]
-    texts = ws.save(some[0].union(some[1]).distinct().select("doc_id", "text_sha256", node("fp", "fp").alias("a"), node("pair_fp", "pair_fp").alias("b")), "linked-texts")
-    edges = texts.select("a", "b")
-    for column, linked, _ in found:
-        edges = edges.union(linked.select(node(column, "a").alias("a"), node(column, "b").alias("b")))
-    roots = ws.save(connected_components(edges, ws), "word-roots")
-    labelled = ws.save(texts.join(roots.withColumnRenamed("node", "a"), "a").select("doc_id", "text_sha256", F.col("root.fp").bitwiseXOR(F.when(F.col("root.kind"), F.lit(-1)).otherwise(F.lit(0))).alias("root")), "labelled-texts")
-    groups = ws.save(labelled.groupBy("root").count().where("count > 1").select("root"), "word-groups")
-    return labelled.join(groups, "root", "left_semi").select("doc_id", "text_sha256", "root")
-
-
-def near_duplicates(
-    docs: DataFrame,
-    text_col: str = "text",
-    id_col: str = "doc_id",
-    shingle: int = 5,
-    least: float = 0.8,
-    max_cell: int = MAX_CELL,
-    reach: int = REACH,
-    workspace: Workspace | None = None,
-    table: DataFrame | None = None,
-    thorough: bool = False,
-) -> DataFrame:
-    """doc_id, text_sha256, keep_id, keep_sha256: the rows to drop, each with the row that
-    stays and whose set of ``shingle``-word shingles has a Jaccard similarity of
-    ``least`` or more with its own, exactly.
-
-    Candidates are the groups of linked fingerprints over distinct words or over distinct
-    pairs of words, which few changed words move by few bits.  Each fingerprint points to
-    one other, so the links grow with the table and not with the square of a group.
-    ``thorough`` searches again among what is left, for all links; then the row that stays
-    may itself have gone, in the second search, for one that stays.
-
-    In a group the rows go in the order of their ids (null last), then of their texts'
-    hashes; a row that no earlier kept one is similar to is kept.  That takes rounds: each
-    compares all rows that are left with the first one, two, four ... ``MOST_PIVOTS`` of
-    their group, so a group of copies of any size is done in one, and no pairs of a group
-    are listed.  ``table`` has the ``word_fingerprints``, if they are there already.
-    """
-    ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
-    table = ws.save(word_fingerprints(docs, text_col, id_col), "word-fingerprints") if table is None else table
-    first = ws.save(_losers(docs, ws.save(_candidates(table, ws, max_cell, reach, False), "candidates"), ws, text_col, id_col, shingle, least), "first-losers")
-    if not thorough:
-        return first
-    key = F.struct("doc_id", "text_sha256")
-    left = ws.save(table.distinct().join(bounded(first.select(key.alias("_gone"))), key == F.col("_gone"), "left_anti"), "left")
-    return first.unionByName(_losers(docs, ws.save(_candidates(left, ws, max_cell, reach, True), "candidates"), ws, text_col, id_col, shingle, least))
-
-
-def _losers(docs: DataFrame, marked: DataFrame, ws: Workspace, text_col: str, id_col: str, shingle: int, least: float) -> DataFrame:
-    """doc_id, text_sha256, keep_id, keep_sha256 of the rows to drop from groups (doc_id,
-    text_sha256, root) of candidates."""
-    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
-    key = F.struct("doc_id", "text_sha256")
-    chosen = rows.withColumn("_key", key).join(bounded(marked.select(key.alias("_own"), "root")), F.col("_key") == F.col("_own")).select("root", "doc_id", "text_sha256", "content")
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["root", "doc_id", "text_sha256", "shingles"])
-
-    # Equal rows combine on the map side.
-    sets = chosen.mapInArrow(run, f"root long, doc_id {id_type}, text_sha256 string, shingles array<long>")
-    left = ws.save(sets.groupBy("root", "doc_id", "text_sha256").agg(F.first("shingles").alias("shingles")), "shingles")
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256", "shingles")
-    order, gone, pivots = ["last", "doc_id", "text_sha256"], [], 1
-    while True:
-        ranked = left.withColumn("last", F.col("doc_id").isNull()).withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(*order)))
-        first = ranked.where(F.col("n") <= pivots).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))).alias("first"))
-        alone = lambda kept, p: ~F.exists(kept, lambda k: similarity(k["shingles"], p["row"]["shingles"]) >= least)
-        kept = F.aggregate("first", F.filter(F.transform("first", lambda p: p["row"]), lambda _: F.lit(False)), lambda kept, p: F.when(alone(kept, p), F.concat(kept, F.array(p["row"]))).otherwise(kept))
-        leaders = ws.save(first.select("root", kept.alias("kept")), "leaders")
-        like = F.get(F.filter("kept", lambda k: similarity(k["shingles"], F.col("shingles")) >= least), F.lit(0))
-        compared = left.join(leaders, "root").select("root", "doc_id", "text_sha256", "shingles", like.alias("like"))
-        judged = ws.save(compared.select("root", "doc_id", "text_sha256", F.when(F.col("like").isNull(), F.col("shingles")).alias("shingles"), F.col("like.doc_id").alias("keep_id"), F.col("like.text_sha256").alias("keep_sha256")), "judged")
-        gone.append(judged.where("keep_sha256 IS NOT NULL AND NOT (keep_id <=> doc_id AND keep_sha256 = text_sha256)").select("doc_id", "text_sha256", "keep_id", "keep_sha256"))
-        ws.drop(left, leaders)
-        left = judged.where("keep_sha256 IS NULL").select("root", "doc_id", "text_sha256", "shingles")
-        if not left.limit(1).count():
-            return reduce(DataFrame.unionByName, gone)
-        pivots = min(2 * pivots, MOST_PIVOTS)
-
-
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", workspace: Workspace | None = None, **options) -> DataFrame:
-    """``docs`` without its ``near_duplicates``.
-
-    Rows are told apart by id and text, so ids may be null or repeat.  Of rows that
-    agree in both, one stays.
-    """
-    ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
-    table = ws.save(word_fingerprints(docs, text_col, id_col), "word-fingerprints")
-    gone = near_duplicates(docs, text_col, id_col, workspace=ws, table=table, **options)
-    return rows_without(docs, gone, table, ws, text_col, id_col)
-
-
 def drop_near_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """One row of each component of ``simhash_near_dedup`` stays: that with the smallest
     id, null last."""

@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm import chat, decontaminate, exact_dedup, language, licenses, pieces, simhash, token_counts, toxicity, warc
+from lodestone.llm import chat, decontaminate, exact_dedup, language, licenses, near_copies, pieces, simhash, token_counts, toxicity, warc
 from lodestone.llm.prefix_bpe import PrefixBpe
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.workspace import Workspace
@@ -164,6 +164,22 @@ def test_links_connect_all_close_pairs(spark, max_cell):
     assert all(find(a) == find(b) for a, b in map(tuple, close))
 
 
+def test_links_of_a_cluster_are_few(spark):
+    """2,000 distinct near copies, all within four bits: few links for each, one component."""
+    rng = random.Random(8)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < 2000:
+        f = centre
+        for b in rng.sample(range(64), rng.randint(1, 2)):
+            f ^= 1 << b
+        fps.add(f)
+    ws = Workspace(spark, "cluster")
+    found = ws.save(simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), ws, max_cell=64), "links")
+    assert found.count() < 100 * len(fps)
+    roots = simhash.connected_components(found, ws)
+    assert roots.count() == 2000 and roots.select("root").distinct().count() == 1
+
+
 def test_simhash_edges(spark, odd, none):
     got = simhash.simhash_near_dedup(odd)
     assert got.count() == odd.count()
@@ -192,25 +208,27 @@ def test_counts_after_near_dedup(spark, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(odd).collect()) == sorted((k is None, k or 0, t or "") for k, t in brute_near_dedup(rows))
 
 
-def brute_set_fingerprints(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    out = []
-    for features in (set(words), {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)):
-        hashes = [xxhash.xxh64_intdigest(f.encode(), 42) for f in features]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    return out
-
-
 def brute_shingles(text, n=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def brute_links(sets):
+    """Pairs of sets with a Jaccard similarity of 0.8 or more, by an exact join."""
+    have, found = {}, []
+    for i, own in enumerate(sets):
+        common = {}
+        for x in own:
+            for j in have.setdefault(x, []):
+                common[j] = common.get(j, 0) + 1
+            have[x].append(i)
+        found += [(i, j) for j, n in common.items() if n >= 0.8 * (len(own) + len(sets[j]) - n)]
+    return found
+
+
 def brute_near_dedup(rows):
-    """Candidate groups by fingerprints of words or of pairs (each with the smallest one within 12
-    bits that is least in a cell of both), then the first rows that nothing kept is like."""
+    """The first row of each group that links of a true similarity of 0.8 or more connect."""
     rows = sorted({(k is None, k or 0, hashlib.sha256((t or "").encode()).hexdigest()): (k, t) for k, t in rows}.items())
-    fps = [brute_set_fingerprints(t) for _, (_, t) in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -218,29 +236,9 @@ def brute_near_dedup(rows):
             x = root[x]
         return x
 
-    def counts(f):
-        return [(f >> (2 * k) & 1) + (f >> (2 * k + 1) & 1) for k in range(32)]
-
-    from itertools import combinations
-
-    for kind in range(2):
-        own, least = {}, {}
-        for i, f in enumerate(simhash._signed(f[kind]) for f in fps):
-            root[find(i)] = find(own.setdefault(f, i))
-        cells = {f: [(g, tuple(counts(f % 2**64)[4 * k : 4 * k + 4][j] for k in g for j in range(4))) for g in combinations(range(8), 4)] for f in own}
-        for f in own:
-            for c in cells[f]:
-                least[c] = min(least.get(c, f), f)
-        for f in own:
-            near = [low for low in map(least.get, cells[f]) if low < f and ((low ^ f) % 2**64).bit_count() <= 12]
-            if near:
-                root[find(own[f])] = find(own[min(near)])
-    kept = {}
-    for i, (_, row) in enumerate(rows):
-        own, group = brute_shingles(row[1]), kept.setdefault(find(i), [])
-        if not any((len(own & s) / len(own | s) if own | s else 1.0) >= 0.8 for s, _ in group):
-            group.append((own, row))
-    return [row for group in kept.values() for _, row in group]
+    for i, j in brute_links([brute_shingles(t) or {""} for _, (_, t) in rows]):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [row for i, (_, row) in enumerate(rows) if find(i) == i]
 
 
 def test_near_dedup_matches_brute_force(spark):
@@ -262,6 +260,46 @@ def test_near_dedup_matches_brute_force(spark):
     assert sorted((order((r.doc_id, r.text)) for r in got)) == sorted(map(order, want)) and 3 < len(want) < len(texts)
 
 
+def template_pages(n, changed, rng, words=200):
+    vocabulary = ["w%d" % k for k in range(5000)]
+    template = [rng.choice(vocabulary) for _ in range(words)]
+    return [" ".join(rng.choice(vocabulary) if rng.random() < changed else w for w in template) for _ in range(n)]
+
+
+@pytest.mark.parametrize("changed", [0.10, 0.03, 0.004])
+def test_near_dedup_of_template_pages(spark, changed):
+    """Pages of one template: unlike, near 0.8, and alike; near copies of some are found."""
+    rng = random.Random(3)
+    pages = template_pages(400, changed, rng)
+    rows = list(enumerate(pages))
+    for k in range(60):
+        w = pages[k].split()
+        w[rng.randrange(200)] = "other"
+        rows.append((1000 + k, " ".join(w)))
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(brute_near_dedup(rows))
+
+
+def test_unlike_template_pages_take_no_rounds(spark):
+    """The jobs are the same for ten times the pages, and no pair of unlike pages is a candidate."""
+    jobs = []
+    for n in (300, 3000):
+        pages = spark.createDataFrame(list(enumerate(template_pages(n, 0.10, random.Random(4)))), DOCS)
+        group = f"near-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert near_copies.near_duplicates(pages).count() == 0
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[1] - jobs[0]) <= 10, jobs
+
+
+def test_near_dedup_recall_on_documents(spark):
+    """Every true pair of the documents is in one group."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    gone = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(dict(rows)) - gone == {k for k, _ in brute_near_dedup(rows)}
+
+
 def test_near_dedup_of_a_large_group(spark):
     """One group of 3,000 near copies and 40 rows of one fingerprint that are not alike."""
     rng = random.Random(1)
