@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 
+#: Links that one task of a round writes.
+ROWS_OF_A_FILE = 100_000
+
+
 def _large_star(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
@@ -37,10 +41,12 @@ def connected_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = None
-    while current.limit(1).count():
-        larger = workspace.save(_large_star(current, workspace), "large-star")
-        smaller = workspace.save(_small_star(larger, workspace), "small-star")
+    seen, n = None, current.count()
+    # Rounds keep the number of links at most; few of them fit into few files.
+    few = max(1, n // ROWS_OF_A_FILE)
+    while n:
+        larger = workspace.save(_large_star(current, workspace).coalesce(few), "large-star")
+        smaller = workspace.save(_small_star(larger, workspace).coalesce(few), "small-star")
         workspace.drop(current, larger)
         current = smaller
         state = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
