@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +161,29 @@ def chunk_fixed(docs: DataFrame, config: ChunkConfig = PIPELINE, text_col: str =
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+class FixedChunks:
+    """``chunk_fixed`` of one text as rows of a table function, with the pipeline's sizes."""
+
+    def __init__(self):
+        import regex
+
+        self._breaks, self._edges = regex.compile(PIPELINE.break_class), regex.compile(r"^[\p{Z}\s\x85]+|[\p{Z}\s\x85]+$")
+
+    def eval(self, text: str) -> Iterator[tuple[int, int, int, str]]:
+        index = 0
+        for start, end in fixed_spans(text or "", PIPELINE, self._breaks):
+            content = self._edges.sub("", text[start:end])
+            if content:
+                yield index, start, end, content
+                index += 1
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """``fixed_chunks(text)`` for LATERAL in SQL: a row for each chunk; null and empty texts have none."""
+    ship(spark)
+    spark.udtf.register("fixed_chunks", F.udtf(FixedChunks, returnType="chunk_index int, start int, `end` int, content string"))
+
+
 #: Bounds of the splitter for retrieval of live documents.
 SPLIT_LEAST, SPLIT_MOST = 200, 300
 

@@ -238,6 +238,13 @@ def chunk_fixed(spark, sf):
     return chunking.chunk_fixed(table(spark, sf, "documents"))
 
 
+@query(SQL["chunk_fixed"])
+def chunk_lateral(spark, sf):
+    """The fixed-size chunker as a table function of SQL."""
+    chunking.register_table_functions(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL fixed_chunks(d.text) c", docs=table(spark, sf, "documents"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 462)) AS start FROM documents),
 c AS (SELECT *, CASE WHEN start + 512 >= n THEN n ELSE start + (CASE WHEN length(regexp_extract(substring(text, start + 2, 511), '(?s)^.*{_BREAK}')) > 0
   THEN length(regexp_extract(substring(text, start + 2, 511), '(?s)^.*{_BREAK}')) + 1 ELSE 512 END) END AS stop FROM s),
@@ -325,10 +332,10 @@ def doc_ready(spark, sf):
     return catalog.with_status(_documents(spark, sf), catalog.UNPROCESSED, "doc_id", "doc_id").select("doc_id")
 
 
-@query(f"SELECT doc_id, source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {_STATUS} = 2 ORDER BY doc_id DESC LIMIT 20")
+@query(f"SELECT doc_id, source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE {_STATUS} = 2")
 def doc_by_status(spark, sf):
-    """A page of the newest documents in a state."""
-    return catalog.with_status(_documents(spark, sf), catalog.CHUNKED, "doc_id", "doc_id").limit(20).select("doc_id", "source")
+    """The documents in a state, the newest first."""
+    return catalog.with_status(_documents(spark, sf), catalog.CHUNKED, "doc_id", "doc_id").select("doc_id", "source")
 
 
 @query(f"SELECT doc_id, greatest({_STATUS}, CASE WHEN quality = 1 THEN 2 ELSE 0 END) AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -530,10 +537,10 @@ def next_id(spark, sf):
     return catalog.next_id(table(spark, sf, "documents"), "doc_id")
 
 
-@query("""SELECT doc_id, text FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT 10""")
+@query("""SELECT doc_id, text FROM documents WHERE lang = 'fr'""")
 def newest_first(spark, sf):
-    """A page of the newest documents of a kind."""
-    return table(spark, sf, "documents").where("lang = 'fr'").orderBy(F.desc("doc_id")).limit(10).select("doc_id", "text")
+    """The documents of a kind, the newest first."""
+    return table(spark, sf, "documents").where("lang = 'fr'").orderBy(F.desc("doc_id")).select("doc_id", "text")
 
 
 @query("""WITH p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS page FROM documents)
@@ -622,12 +629,12 @@ def adaptive_throttle(spark, sf):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 WHEN o_orderpriority LIKE '3%' THEN 2 ELSE 3 END AS priority_rank
-FROM orders ORDER BY priority_rank, o_orderdate, o_orderkey LIMIT 100""")
+FROM orders """)
 def priority_dispatch(spark, sf):
-    """The first hundred tasks in the order of dispatch."""
+    """The tasks in the order of dispatch."""
     p = F.col("o_orderpriority")
     named = table(spark, sf, "orders").withColumn("priority", F.when(p.startswith("1"), "critical").when(p.startswith("2"), "high").when(p.startswith("3"), "normal").otherwise("low"))
-    return tasks.dispatch_order(named, "priority", "o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "priority_rank")
+    return tasks.dispatch_order(named, "priority", "o_orderdate", "o_orderkey").select("o_orderkey", "priority_rank")
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events")

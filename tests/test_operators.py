@@ -71,7 +71,7 @@ def test_vectors_of_other_widths_and_nulls(spark):
 
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(registry.QUERIES["newest_first"](spark, SF))
-    assert "EqualTo(lang,fr)" in text and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text and "TakeOrderedAndProject" in text
+    assert "EqualTo(lang,fr)" in text and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text and "Sort [doc_id" in text
 
 
 def test_segments_are_pruned(spark, tmp_path):
