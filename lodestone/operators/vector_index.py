@@ -411,16 +411,20 @@ def write_segments(vectors: DataFrame, path: str, segment: str = "label", mode:
 
 
 def search_by(kind: str, vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 8, probes: int = 6) -> DataFrame:
-    """query_id, vec_id, score, rank by an index of one of the advisor's types.  Graphs
-    (HNSW) are not built: their place is taken by cells."""
+    """query_id, vec_id, score, rank by an index of one of the advisor's types; a
+    graph (HNSW) is one of nearest neighbours without layers (``graph_index``)."""
+    from .graph_index import GraphIndex
+
     body = vectors.select("vec_id", "embedding")
     if kind == "Flat":
         return top_k(body, queries, k)
     if kind == "PQ":
         coder = ProductQuantizer().fit(body)
         return coder.search(coder.encode(body), body, queries, k)
+    if kind == "HNSW":
+        return GraphIndex().fit(body).search(queries, k)
     index = InvertedIndex(cells).fit(body)
-    if kind in ("IVF", "HNSW"):
+    if kind == "IVF":
         return index.search(index.assign(body), queries, k, probes)
     if kind != "IVFPQ":
         raise ValueError(f"unknown index type {kind!r}")

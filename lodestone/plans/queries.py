@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import catalog, chunking, dialogue, tasks
 from ..operators import vector_index as X
+from ..operators.graph_index import GraphIndex
 from ..sources import readers, sinks
 from ..streaming import events as stream
 from . import advisor
@@ -215,6 +216,13 @@ def ann_ivfpq(spark, sf):
     return X.search_by("IVFPQ", vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
+@query()
+def ann_graph(spark, sf):
+    """Approximate search along a graph of nearest neighbours; recall and the share read are tested."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return GraphIndex().fit(vectors).search(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
 # chunks
 
 _BREAK = r"[\p{P}\p{Z}\x09-\x0D\x{85}]"
