@@ -49,6 +49,12 @@ def valid(v: Column, dimension: int | None = None, largest: int = 4096) -> Colum
     return (size > 0) & (size <= largest) & ((size == dimension) if dimension else F.lit(True))
 
 
+def usable(v: Column, width: int) -> Column:
+    """Whether a vector has ``width`` finite numbers, not all of them zero."""
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.isNotNull() & (F.size(v) == width) & ~odd & F.exists(v, lambda x: x != 0)
+
+
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     """Smaller is nearer in every metric; vectors of unequal length are float's largest value apart."""
     value = {"l2": lambda: F.sqrt(squared_distance(a, b)), "inner_product": lambda: -dot(a, b), "cosine": lambda: 1 - dot(a, b)}[metric]()

@@ -30,20 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..shipping import ship
 from .steps import Steps
 from .vector_index import _matrix, _unit, merge_segments, score, top_k
 
 
-def _usable(vector: Column, width: int) -> Column:
-    """Whether a vector has ``width`` finite numbers, not all of them zero."""
-    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) == width) & ~odd & F.exists(vector, lambda x: x != 0)
-
-
 def _compare(groups: DataFrame, degree: int, width: int) -> DataFrame:
     """src, dst, score: for each member of each group (``grp``, node, embedding, fresh) its
     best ``degree`` others, among the pairs of which one is fresh."""
@@ -99,7 +94,7 @@ class GraphIndex:
         """Index every usable row of ``vectors`` (vec_id, embedding)."""
         self.steps = steps = Steps(vectors.sparkSession, "graph")
         self.width = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
-        good = vectors.where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"), self.width))
+        good = vectors.where(F.col("vec_id").isNotNull() & V.usable(F.col("embedding"), self.width))
         named = good.select(F.md5(F.concat_ws(",", F.col("embedding").cast("array<string>"))).alias("node"), "vec_id", "embedding")
         self.members = steps.save(named.select("node", "vec_id").distinct(), "members")
         self.nodes = steps.save(named.groupBy("node").agg(F.first("embedding").alias("embedding")), "nodes")
@@ -137,7 +132,7 @@ class GraphIndex:
         holds (query_id, node) of all that was scored, entry nodes apart.
         """
         keep, save = max(beam, k), self.steps.save
-        asked = save(queries.where(F.col("query_id").isNotNull() & _usable(F.col("embedding"), self.width)).select("query_id", "embedding"), "queries")
+        asked = save(queries.where(F.col("query_id").isNotNull() & V.usable(F.col("embedding"), self.width)).select("query_id", "embedding"), "queries")
         entries = self.nodes.orderBy("node").limit(self.entries).select(F.col("node").alias("vec_id"), "embedding")
         pool = save(top_k(entries, asked, keep).select("query_id", F.col("vec_id").alias("node"), "score", F.lit(False).alias("done")), "pool-0")
         self.met = pool.select("query_id", "node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,12 @@ def index_parameters(kind: Column, count: Column, dimension: Column) -> Column:
 def scan_cost(count: Column, dimension: Column) -> Column:
     """Multiply-adds of an exact search of one query."""
     return count.cast("long") * dimension
+
+
+def advised(vectors: DataFrame) -> Row:
+    """count, dimension, index_type and the parameters of cells (nlist, 1 at least) for a table
+    of vectors, whatever type is advised."""
+    shape = vectors.select(F.count("embedding").alias("count"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))
+    count, dimension = F.col("count"), F.col("dimension")
+    cells = F.greatest(F.lit(1), index_parameters(F.lit("IVF"), count, dimension)["nlist"])
+    return shape.select("count", "dimension", index_type(count, dimension).alias("index_type"), cells.alias("nlist")).first()

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import catalog, chunking, dialogue, tasks
 from ..operators import vector_index as X
+from ..operators.cells import Cells
 from ..operators.graph_index import GraphIndex
 from ..sources import readers, sinks
 from ..streaming import events as stream
@@ -223,6 +224,15 @@ def ann_graph(spark, sf):
     return GraphIndex().fit(vectors).search(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
+@query()
+def ann_cells(spark, sf):
+    """Approximate search by cells trained on all vectors: the advisor gives their number, a
+    search of a sample the probes; recall is tested."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = Cells(advisor.advised(vectors)["nlist"]).fit(vectors).tuned()
+    return index.search(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
 # chunks
 
 _BREAK = r"[\p{P}\p{Z}\x09-\x0D\x{85}]"
