@@ -13,6 +13,7 @@ from ..operators import catalog, chunking, dialogue, tasks
 from ..operators import vector_index as X
 from ..operators.cells import Cells
 from ..operators.graph_index import GraphIndex
+from ..operators.two_level import TwoLevelIndex
 from ..sources import readers, sinks
 from ..streaming import events as stream
 from . import advisor
@@ -233,6 +234,40 @@ def ann_cells(spark, sf):
     return index.search(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
+def _two_level(spark, sf):
+    """An index of labels below 5 to which the others are added; every seventh id is then
+    deleted, and every fourteenth comes back turned round."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    index = TwoLevelIndex(rows.where("label < 5"))
+    index.add(rows.where("label >= 3 OR label IS NULL"))  # those that are there already are left out
+    index.delete(rows.where("vec_id % 7 = 0").select("vec_id"))
+    index.add(rows.where("vec_id % 14 = 0").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding")))
+    return index
+
+
+_LEVELS = f"""
+u AS (SELECT vec_id, label, {_UNIT} AS e FROM embeddings),
+q AS (SELECT vec_id AS query_id, e AS qe FROM u WHERE vec_id % 20 = 0),
+r AS (SELECT vec_id, e, 0 AS batch FROM u WHERE label < 5 UNION ALL SELECT vec_id, e, 1 FROM u WHERE label >= 5 OR label IS NULL
+ UNION ALL SELECT vec_id, list_transform(e, lambda x: -x), 2 FROM u WHERE vec_id % 14 = 0),
+v AS (SELECT * FROM (SELECT vec_id, e, batch, CASE batch WHEN 0 THEN 'main' ELSE 'delta' END AS level, row_number() OVER (ORDER BY batch, vec_id) - 1 AS position FROM r) WHERE batch = 2 OR vec_id % 7 <> 0)"""
+
+
+@query(f"""WITH {_LEVELS} SELECT query_id, vec_id, position, level, score, rank FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, position, level, round(list_dot_product(e, qe), 6) AS score FROM v, q)) WHERE rank <= 10""")
+def delta_search(spark, sf):
+    """The main index and its delta after adding, deleting and adding again, searched and merged."""
+    return _two_level(spark, sf).search(_queries(spark, sf), 10)
+
+
+@query(f"WITH {_LEVELS} SELECT vec_id, row_number() OVER (ORDER BY position) - 1 AS position, round(list_sum(e), 4) AS total FROM v")
+def delta_compact(spark, sf):
+    """The same index as one level, with dense positions."""
+    index = _two_level(spark, sf)
+    index.compact()
+    return index.live().select("vec_id", "position", F.round(F.aggregate(V.normalise(F.col("embedding")), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
 # chunks
 
 _BREAK = r"[\p{P}\p{Z}\x09-\x0D\x{85}]"
