@@ -16,6 +16,7 @@ from ..operators.graph_index import GraphIndex
 from ..operators.two_level import TwoLevelIndex
 from ..sources import readers, sinks
 from ..streaming import events as stream
+from ..streaming.kept import KeptTable
 from . import advisor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -966,6 +967,17 @@ def stream_route(spark, sf):
     return stream.drain(routed.select("event_id", "action"), f"stream_route_{abs(hash(sf))}")
 
 
+@query("""SELECT change_id, client_id, seq, op, valid_at, source, segment, city, balance FROM (SELECT *, row_number() OVER (PARTITION BY client_id
+ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST, op DESC NULLS LAST, valid_at DESC NULLS LAST, source DESC NULLS LAST, segment DESC NULLS LAST, city DESC NULLS LAST, balance DESC NULLS LAST) AS n
+FROM client_changes WHERE client_id IS NOT NULL) WHERE n = 1 AND op IS DISTINCT FROM 'D'""")
+def stream_keep(spark, sf):
+    """Clients as a stream of their changes leaves them: the last by number, deleted ones gone."""
+    schema = table(spark, sf, "client_changes").schema
+    kept = KeptTable(stream.table_folder(spark, "kept"), schema, "client_id", ["seq", "change_id"], "op = 'D'")
+    kept.keep(stream.read_stream(spark, sf, "client_changes"))
+    return kept.rows(spark)
+
+
 @query()
 def stream_throttle(spark, sf):
     rows = stream.read_stream(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") < 80).alias("ok"), F.when(F.col("value") < 95, 429).otherwise(500).alias("code"))

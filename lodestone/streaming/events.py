@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -20,12 +21,13 @@ _PAYLOAD = re.compile(r"data: (\{.*\})\s*")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder's Parquet files as a stream; ``ts`` becomes a timestamp."""
+    """A folder's Parquet files as a stream; a column ``ts`` becomes a timestamp."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = reader.parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
 def route(events: DataFrame, kind: Column) -> DataFrame:
@@ -167,6 +169,15 @@ def shared_folder(spark: SparkSession, name: str) -> str | None:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else None
 
 
+def table_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table: shared where the session names one, else, in local runs
+    only, a temporary one."""
+    folder = shared_folder(spark, name)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return folder or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its rows as a table.
 
