@@ -11,7 +11,7 @@ from lodestone.sources import readers, sinks
 from lodestone.streaming import events as stream
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations client_changes".split()
 
 
 @pytest.fixture(scope="module")
