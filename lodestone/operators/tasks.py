@@ -35,11 +35,12 @@ def rolling(events: DataFrame, key: str, value: str, last: int = 100, stretch: i
 def request_rate(events: DataFrame, key: str, seconds: int = 60, stretch_s: int = 3600) -> DataFrame:
     """Requests of each key that are not more than ``seconds`` whole seconds old.
 
+    Times count in milliseconds, rounded to the nearest (half a one away from the epoch).
     Time is cut into stretches, each with the requests that its first frames reach
     back to.
     """
     reach, width = seconds * 1000 + 999, max(stretch_s, seconds + 1) * 1000
-    timed = events.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    timed = events.withColumn("_ms", F.call_function("div", F.round(F.unix_micros(F.col("ts").cast("timestamp")), -3), F.lit(1000)))
     at = F.floor(F.col("_ms") / width)
     both = timed.withColumn("_at", F.explode(F.when(F.col("_ms") - at * width >= width - reach, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_at") == at)
     w = Window.partitionBy(key, "_at").orderBy("_ms").rangeBetween(-reach, 0)
