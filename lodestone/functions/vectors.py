@@ -30,6 +30,13 @@ def normalise(v: Column) -> Column:
     return F.transform(F.array(norm(v)), scaled)[0]
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to some places, half a place away from zero; the sign stays, also of a zero."""
+    scale = F.lit(10.0**digits)
+    near = lambda y: F.round(y * scale, 0) / scale
+    return F.when(x < 0, -near(-x)).when(x > 0, near(x)).otherwise(x)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return _total(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y)))
 

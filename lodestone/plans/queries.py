@@ -115,7 +115,7 @@ def hit_enrichment(spark, sf):
 
 @query(f"SELECT vec_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS unit FROM embeddings")
 def vector_normalise(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalise(F.col("embedding")), lambda x: V.rounded(x, 6)).alias("unit"))
 
 
 @query("""WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:32] ELSE embedding END::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS b FROM embeddings)
@@ -126,7 +126,7 @@ def pairwise_distance(spark, sf):
     """Each vector against its mirror image in every metric; some have another length."""
     short = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
     pairs = table(spark, sf, "embeddings").select("vec_id", short.alias("a"), F.reverse("embedding").alias("b"))
-    rounded = lambda m: F.when(F.size("a") != F.size("b"), V.distance(F.col("a"), F.col("b"), m)).otherwise(F.round(V.distance(F.col("a"), F.col("b"), m), 6)).alias(m)
+    rounded = lambda m: F.when(F.size("a") != F.size("b"), V.distance(F.col("a"), F.col("b"), m)).otherwise(V.rounded(V.distance(F.col("a"), F.col("b"), m), 6)).alias(m)
     return pairs.select("vec_id", *map(rounded, ("l2", "inner_product", "cosine")))
 
 
@@ -167,7 +167,7 @@ def vector_upsert(spark, sf):
     rows = _vectors(spark, sf)
     changes = rows.where("label = 3").select("vec_id", (F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding"))
     out = X.upsert(rows, changes)
-    return out.select("vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    return out.select("vec_id", "label", V.rounded(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 @query(f"""SELECT vec_id, label, round(list_sum({_UNIT}), 4) AS total FROM embeddings WHERE label >= 5 UNION ALL SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) FROM embeddings WHERE label < 5""")
@@ -175,7 +175,7 @@ def vector_add(spark, sf):
     """A batch added to an index: known ids and wrong widths are left out, the rest is normalised."""
     rows = _vectors(spark, sf)
     out = X.added(rows.where("label < 5"), rows.unionByName(rows.select((-F.col("vec_id") - 1).alias("vec_id"), "label", F.slice("embedding", 1, 3).alias("embedding"))), 64)
-    return out.select("vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    return out.select("vec_id", "label", V.rounded(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 @query(f"""WITH {_PAIRS}, c AS (SELECT query_id, vec_id, score AS distance, 1 AS source_rank, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM l WHERE label < 5),
@@ -266,7 +266,7 @@ def delta_compact(spark, sf):
     """The same index as one level, with dense positions."""
     index = _two_level(spark, sf)
     index.compact()
-    return index.live().select("vec_id", "position", F.round(F.aggregate(V.normalise(F.col("embedding")), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    return index.live().select("vec_id", "position", V.rounded(F.aggregate(V.normalise(F.col("embedding")), F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 # chunks

@@ -17,3 +17,15 @@ def test_request_rate_rounds_to_milliseconds(spark):
     """61 s less 386 microseconds apart, yet 60,999 ms apart when both are rounded down only."""
     rows = spark.sql("SELECT * FROM VALUES (1, 'a', timestamp_micros(1704205036753750)), (2, 'a', timestamp_micros(1704205097753364)), (3, 'b', timestamp_micros(-500)), (4, 'b', timestamp_micros(60998499)) AS t(event_id, k, ts)")
     assert {r.event_id: r.recent for r in tasks.request_rate(rows, "k").collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    values = [-1e-7, 1e-7, 0.0, -0.0, -0.1234565, 2.5e-6, -2.5e-6, float("nan")]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(F.transform("v", lambda x: V.rounded(x, 6))).first()[0]
+    want = [-0.0, 0.0, 0.0, -0.0, -0.123457, 3e-6, -3e-6]
+    assert list(map(repr, got[:-1])) == list(map(repr, want)) and math.isnan(got[-1])
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    spark.createDataFrame([(1, [-1e-7] + [1.0] * 63)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert repr(Q.vector_normalise(spark, str(tmp_path)).first().unit[0]) == "-0.0"
