@@ -21,12 +21,14 @@ _PAYLOAD = re.compile(r"data: (\{.*\})\s*")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder's Parquet files as a stream; a column ``ts`` becomes a timestamp."""
+    """A folder's table, one Parquet file or a folder of them, as a stream; a column ``ts``
+    becomes a timestamp."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.parquet(folder)
+    # A stream takes a single file, as well as a folder, where the path is a pattern.
+    rows = reader.parquet(f"{folder}/{name}.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 

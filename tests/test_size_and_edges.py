@@ -8,7 +8,6 @@ from lodestone.functions import vectors as V
 from lodestone.operators import tasks
 from lodestone.plans import queries as Q
 from lodestone.streaming import events as stream
-from lodestone.streaming import kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +28,10 @@ def test_rounding_keeps_the_sign_of_zero(spark):
 def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
     spark.createDataFrame([(1, [-1e-7] + [1.0] * 63)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert repr(Q.vector_normalise(spark, str(tmp_path)).first().unit[0]) == "-0.0"
+
+
+def test_a_stream_reads_a_folder_of_files(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/client_changes.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "client_changes.parquet"))
+    got, want = Q.stream_keep(spark, str(tmp_path)), Q.stream_keep(spark, SF)
+    assert got.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
