@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tasks import Limit, advance, outcome_of
+from ..operators.vector_index import drop_folder
 from ..shipping import ship
 
 WATERMARK = "10 minutes"
@@ -183,17 +184,24 @@ def table_folder(spark: SparkSession, name: str) -> str:
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its rows as a table.
 
-    Where the session names a shared folder, the state is kept there, and appended
-    rows are files there; a whole result that each batch replaces (mode "complete") is
-    in the driver's memory, as are the rows where there is no such folder.
+    The state and the rows are files below a new folder (``table_folder``).  A whole result
+    that each batch replaces (mode "complete") is a table for each batch, of which the last
+    is returned.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    checkpoint = checkpoint or (f"{folder}/checkpoint" if folder else None)
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    if folder and mode == "append":
+    spark, folder = stream.sparkSession, table_folder(stream.sparkSession, name)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+    if mode == "append":
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    written: list[str] = []
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        path = f"{folder}/rows-{epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        for old in written:
+            if old != path:
+                drop_folder(spark, old)
+        written[:] = [path]
+
+    writer.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)

@@ -35,3 +35,10 @@ def test_a_stream_reads_a_folder_of_files(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "client_changes.parquet"))
     got, want = Q.stream_keep(spark, str(tmp_path)), Q.stream_keep(spark, SF)
     assert got.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_whole_results_of_streams_are_files(spark):
+    """A result that each batch replaces is read from the shared folder, not held by the driver."""
+    got = Q.stream_sessions(spark, SF)
+    assert got.inputFiles() and got.count() > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stream_sessions")]
