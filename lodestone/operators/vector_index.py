@@ -22,8 +22,10 @@ from ..functions import vectors as V
 from ..shipping import ship
 
 BROADCAST_QUERIES = 4096
-#: Hits that a task holds for each query and place before it drops the worse ones.
+#: Hits of ``Cells`` that a task holds for each query before it drops the worse ones.
 _SLACK = 4
+#: Scores that a task computes at a time, and hits that it holds before it hands them on.
+_AT_ONCE, _HELD = 1 << 20, 1 << 21
 
 #: Direction in which each metric ranks: True if larger is nearer.
 METRICS = {"cosine": True, "inner_product": True, "l2": False}
@@ -78,6 +80,14 @@ def _query_blocks(queries: DataFrame) -> list[Broadcast]:
     return out
 
 
+def _block_of(shared: Broadcast, blocks: list[Broadcast]) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of a block; where there are several, a worker keeps one at a time."""
+    value = shared.value
+    if len(blocks) > 1:
+        shared.__dict__.pop("_value", None)
+    return value
+
+
 def _codes(column: pa.Array) -> np.ndarray:
     """Numbers in the order of the column's values, null first."""
     values = column.to_numpy(zero_copy_only=False) if column.null_count == 0 else np.array([("",) if x is None else (" ", x) for x in column.to_pylist()], object)
@@ -95,9 +105,85 @@ def _best(hits: pa.Table, k: int, larger: bool, by: list[str]) -> pa.Table:
     return hits.take(pa.array(order[np.arange(len(order)) - begins < k]))
 
 
-def _scan(vectors: DataFrame, queries: DataFrame, metric: str, round_to: int, keep: Callable[[np.ndarray], np.ndarray], k: int | None = None, by: list[str] | None = None) -> DataFrame:
+class _Held:
+    """The best ``k`` hits of each query (and each value of ``by``) that a task has met, for
+    each block of queries; hits are tables whose ``query_id`` is a place in the block.
+
+    Hits beyond ``_HELD`` are handed on, so what is held depends neither on the number of
+    queries nor on that of vectors.  The k-th best scores (``limits``) stay, and what is
+    worse than them isn't held at all.
+    """
+
+    def __init__(self, k: int, larger: bool, by: list[str] | None = None):
+        self.k, self.larger, self.by = k, larger, by or []
+        self.tables: dict[int, tuple[pa.Array, pa.Table]] = {}
+        #: Hits of a block when its worse ones were dropped last.
+        self.kept: dict[int, int] = {}
+        self.limits: dict[tuple, np.ndarray] = {}
+
+    def wanted(self, block: int, scores: np.ndarray, group: tuple = ()) -> np.ndarray:
+        """Which scores, of rows against all queries of a block, can be among the best; those
+        that aren't finite can't."""
+        limit = self.limits.get((block, *group))
+        if limit is None:
+            return np.isfinite(scores) & _near(scores, self.k, self.larger)
+        good = scores >= limit if self.larger else scores <= limit
+        return good if np.isfinite(limit).all() else good & np.isfinite(scores) & _near(scores, self.k, self.larger)
+
+    def add(self, block: int, ids: pa.Array, hits: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not len(hits):
+            return
+        both = pa.concat_tables([self.tables[block][1], hits]) if block in self.tables else hits
+        if len(both) > _AT_ONCE // 4 + 2 * self.kept.get(block, 0):
+            both = self._dropped(block, len(ids), both)
+        self.tables[block] = (ids, both)
+        if sum(len(table) for _, table in self.tables.values()) > _HELD:
+            yield from self.rest()
+
+    def _dropped(self, block: int, asked: int, hits: pa.Table) -> pa.Table:
+        """The best of ``hits``; their worst scores become the limits."""
+        best = _best(hits, self.k, self.larger, self.by)
+        self.kept[block] = len(best)
+        query, scores = best.column("query_id").to_numpy(), best.column("score").to_numpy()
+        groups = list(zip(*[best.column(c).to_pylist() for c in self.by], strict=True)) if self.by else [()] * len(best)
+        names = {g: n for n, g in enumerate(dict.fromkeys(groups))}
+        if len(names) * asked > _AT_ONCE:
+            return best
+        # The hits of a query and group follow each other, the best first.
+        of = query * len(names) + np.fromiter((names[g] for g in groups), np.int64, len(groups))
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True))
+        full = last[np.diff(np.append(-1, last)) == self.k]
+        worst = np.full(asked * len(names), -np.inf if self.larger else np.inf)
+        worst[of[full]] = scores[full]
+        for g, n in names.items():
+            self.limits[(block, *g)] = worst[n :: len(names)].copy()
+        return best
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for ids, table in self.tables.values():
+            best = _best(table, self.k, self.larger, self.by)
+            yield from best.set_column(0, "query_id", ids.take(best.column("query_id").combine_chunks())).combine_chunks().to_batches()
+        self.tables, self.kept = {}, {}
+
+
+def _pieces(count: int, asked: int) -> list[slice]:
+    """Parts of ``count`` rows whose scores against ``asked`` queries are ``_AT_ONCE`` at most."""
+    size = max(1, _AT_ONCE // max(asked, 1))
+    return [slice(a, a + size) for a in range(0, count, size)]
+
+
+def _near(scores: np.ndarray, k: int, larger: bool) -> np.ndarray:
+    """What reaches the k-th place in its column: the rest can't be among the best."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, bool)
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if larger else np.partition(scores, k - 1, axis=0)[k - 1]
+    return scores >= least if larger else scores <= least
+
+
+def _scan(vectors: DataFrame, queries: DataFrame, metric: str, round_to: int, keep: Callable[[np.ndarray], np.ndarray] | None = None, k: int | None = None, by: list[str] | None = None) -> DataFrame:
     """query_id, the columns of ``vectors`` but the embedding, score, for the pairs that
-    ``keep`` selects in a batch's matrix of scores; with ``k`` a task's best only.
+    ``keep`` selects in a matrix of scores; with ``k``, those that can be among the k nearest
+    of a query (and each value of ``by``), a task's best only.
 
     Vectors without a query of their width have no score and give no row.
     """
@@ -105,31 +191,34 @@ def _scan(vectors: DataFrame, queries: DataFrame, metric: str, round_to: int, ke
     blocks, larger, by = _query_blocks(queries), METRICS[metric], by or []
     body = vectors.select("embedding", *[c for c in vectors.columns if c != "embedding"])
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType), *body.schema.fields[1:], T.StructField("score", T.DoubleType())]
+    names = [f.name for f in fields]
 
-    def found(batch: pa.RecordBatch, shared: Broadcast) -> pa.Table:
-        ids, asked = shared.value
-        if len(blocks) > 1:  # one block at a time is in memory
-            shared.__dict__.pop("_value", None)
-        places, rows = _matrix(batch.column(0), asked.shape[1])
-        scores = np.round(_products(rows, asked, metric), round_to) + 0.0
-        at, q = np.nonzero(keep(scores))
-        chosen = batch.take(pa.array(places[at]))
-        columns = [ids.take(pa.array(q)), *chosen.columns[1:], pa.array(scores[at, q])]
-        return pa.table(columns, names=[f.name for f in fields])
+    def grouped(batch: pa.RecordBatch, places: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+        """Rows by their values of ``by``, as places in ``places``."""
+        if not by:
+            return [((), np.arange(len(places)))]
+        values: dict[tuple, list[int]] = {}
+        for n, value in enumerate(zip(*[batch.column(c).take(pa.array(places)).to_pylist() for c in by], strict=True)):
+            values.setdefault(value, []).append(n)
+        return [(value, np.array(at)) for value, at in values.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table | None] = [None] * len(blocks)
+        held = _Held(k or 0, larger, by)
         for batch in batches:
             for n, shared in enumerate(blocks):
-                hits = found(batch, shared)
-                if k is None:
-                    yield from hits.combine_chunks().to_batches()
-                    continue
-                both = hits if held[n] is None else pa.concat_tables([held[n], hits])
-                held[n] = _best(both, k, larger, by) if len(both) > _SLACK * k * BROADCAST_QUERIES else both
-        for table in held:
-            if table is not None and len(table):
-                yield from _best(table, k, larger, by).combine_chunks().to_batches()
+                ids, asked = _block_of(shared, blocks)
+                places, rows = _matrix(batch.column(0), asked.shape[1])
+                for group, members in grouped(batch, places):
+                    for part in _pieces(len(members), len(asked)):
+                        scores = np.round(_products(rows[members[part]], asked, metric), round_to) + 0.0
+                        wanted = np.ones(scores.shape, bool) if k is None else held.wanted(n, scores, group)
+                        at, q = np.nonzero(wanted & keep(scores) if keep else wanted)
+                        columns = batch.take(pa.array(places[members[part][at]])).columns[1:]
+                        if k is None:
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *columns, pa.array(scores[at, q])], names)
+                        else:
+                            yield from held.add(n, ids, pa.table([pa.array(q), *columns, pa.array(scores[at, q])], names=names))
+        yield from held.rest()
 
     return body.mapInArrow(run, T.StructType(fields))
 
@@ -138,17 +227,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     """query_id, the columns of ``vectors`` but the embedding, score, rank: the k
     nearest for each query (and each value of ``by``); ties go to the smaller id."""
     larger, places = METRICS[metric], by or []
-
-    def keep(scores: np.ndarray) -> np.ndarray:
-        """All that reach the k-th place in their column: the rest can't be among the best."""
-        if places or len(scores) <= k:
-            return np.ones(scores.shape, bool)
-        least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if larger else np.partition(scores, k - 1, axis=0)[k - 1]
-        return scores >= least if larger else scores <= least
-
     order = F.desc("score") if larger else F.asc("score")
     window = Window.partitionBy("query_id", *places).orderBy(order, "vec_id")
-    return _scan(vectors, queries, metric, round_to, keep, k, places).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return _scan(vectors, queries, metric, round_to, k=k, by=places).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def merge_segments(hits: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:

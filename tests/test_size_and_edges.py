@@ -2,10 +2,13 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators import tasks
+from lodestone.operators import vector_index as X
 from lodestone.plans import queries as Q
 from lodestone.streaming import events as stream
 
@@ -42,3 +45,29 @@ def test_whole_results_of_streams_are_files(spark):
     got = Q.stream_sessions(spark, SF)
     assert got.inputFiles() and got.count() > 0
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stream_sessions")]
+
+
+def _random_hits(rng, n, asked):
+    return pa.table({"query_id": rng.integers(0, asked, n), "vec_id": rng.integers(0, 1 << 40, n), "label": rng.integers(0, 3, n), "score": np.round(rng.random(n), 3)})
+
+
+def test_held_hits_are_bounded_and_the_best(monkeypatch):
+    """However many hits a task meets, it holds no more than a bound, and loses none of the best."""
+    monkeypatch.setattr(X, "_AT_ONCE", 4000)
+    monkeypatch.setattr(X, "_HELD", 3000)
+    rng, ids = np.random.default_rng(3), pa.array([f"q{n}" for n in range(40)])
+    for larger in (True, False):
+        held, out, every = X._Held(4, larger, ["label"]), [], []
+        for n in range(60):
+            block, hits = n % 3, _random_hits(rng, 500, 40)
+            every += [(block, f"q{r['query_id']}", r["label"], r["score"], r["vec_id"]) for r in hits.to_pylist()]
+            out += [(block, b) for b in held.add(block, ids, hits)]
+            assert sum(len(t) for _, t in held.tables.values()) <= 3000 + 500
+        assert held.limits
+        # Blocks are told apart by nothing but their ids, which are the same here.
+        got = {tuple(r.values()) for b in [*[b for _, b in out], *held.rest()] for r in b.to_pylist()}
+        for block in range(3):
+            for q in ids.to_pylist():
+                for label in range(3):
+                    best = sorted((x for x in every if x[:3] == (block, q, label)), key=lambda x: (-x[3] if larger else x[3], x[4]))[:4]
+                    assert {(q, v, label, s) for _, _, _, s, v in best} <= got
