@@ -9,7 +9,6 @@ each query, so what is shuffled doesn't grow with the table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -385,34 +384,44 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     """query_id, vec_id, score, rank: nearest by cosine among the vectors that share a
     bucket with the query, or a bucket whose signs differ in at most ``flips`` places.
 
-    The queries' side is a directory from each bucket to the queries that probe it; it
-    goes to every task, so no candidate is a row before it is scored, nor twice.
+    A batch of vectors meets a block of queries at a time: for each table, the rows of a
+    bucket are marked against the queries that probe it, and what is marked is scored
+    once.  Vectors and queries of another width than the widest have no bucket.
     """
-    # The directions are one row beside the vectors: as literals they would be thousands of expressions.
-    planes = F.broadcast(vectors.sparkSession.createDataFrame([(_directions(_dimension(vectors), tables, bits, seed),)], "planes array<array<array<double>>>"))
-
-    def coded(rows: DataFrame, key: str) -> DataFrame:
-        """Each vector as a unit vector with its bucket in each table, as a number."""
-        sign = lambda w: F.when(V.dot(F.col("embedding"), w) >= 0, 1).otherwise(0)
-        code = lambda ws, t: F.aggregate(ws, F.lit(0), lambda n, w: n * 2 + sign(w)) + t * (1 << bits)
-        return rows.join(planes).select(key, V.normalise(F.col("embedding")).alias("unit"), F.transform("planes", code).alias("codes"))
-
-    masks = F.array(*[F.lit(m) for m in range(1 << bits) if m.bit_count() <= flips])
-    empty = vectors.sparkSession.range(tables << bits).select(F.col("id").cast("int").alias("cell"))
-    found = []
-    for part in blocks(queries):
-        asked = coded(part, "query_id").withColumnRenamed("unit", "query")
-        held = asked.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "query", "codes"))).alias("held"))
-        probes = held.select(F.posexplode("held").alias("at", "q")).select("at", F.explode("q.codes").alias("code")).select("at", F.explode(F.transform(masks, lambda m: F.col("code").bitwiseXOR(m))).alias("cell"))
-        cells = empty.join(probes.groupBy("cell").agg(F.collect_list("at").alias("at")), "cell", "left").select("cell", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
-        directory = cells.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "at"))), lambda c: c["at"]).alias("directory"))
-        left = coded(vectors, "vec_id")
-        held = held.select(F.transform("held", lambda q: F.struct(q["query_id"].alias("query_id"), q["query"].alias("query"))).alias("held"))
-        beside = left.join(F.broadcast(directory)).join(F.broadcast(held))
-        near = beside.select("vec_id", "unit", "held", F.explode(F.array_distinct(F.flatten(F.transform("codes", lambda c: F.get("directory", c))))).alias("at"))
-        near = near.select("vec_id", "unit", F.get("held", F.col("at")).alias("q"))
-        found.append(near.select("q.query_id", "vec_id", F.round(V.dot(F.col("unit"), F.col("q.query")), 6).alias("score")))
-    return merge_segments(reduce(DataFrame.unionByName, found), k)
+    ship(vectors.sparkSession)
+    asked_blocks, width = _query_blocks(queries), _dimension(vectors)
+    planes = np.array(_directions(width, tables, bits, seed)).reshape(tables * bits, width)
+    close = np.array([n.bit_count() <= flips for n in range(1 << bits)])
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
+
+    def coded(rows: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table, as a number."""
+        signs = (rows @ planes.T >= 0).reshape(len(rows), tables, bits)
+        return signs @ (1 << np.arange(bits)[::-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(k, True)
+        for batch in batches:
+            places, rows = _matrix(batch.column(1), width)
+            rows, codes = _unit(rows), coded(rows)
+            for n, shared in enumerate(asked_blocks):
+                ids, asked = _block_of(shared, asked_blocks)
+                if asked.shape[1] != width or not len(rows):
+                    continue
+                probed = coded(asked)
+                asked = _unit(asked)
+                buckets = [np.unique(codes[:, t], return_inverse=True) for t in range(tables)]
+                probes = [close[bucket[:, None] ^ probed[None, :, t]] for t, (bucket, _) in enumerate(buckets)]
+                for part in _pieces(len(rows), len(asked)):
+                    marked = np.zeros((len(rows[part]), len(asked)), bool)
+                    for (_, of), near in zip(buckets, probes, strict=True):
+                        marked |= near[of[part]]
+                    scores = np.where(marked, np.round(rows[part] @ asked.T, 6) + 0.0, -np.inf)
+                    at, q = np.nonzero(held.wanted(n, scores))
+                    yield from held.add(n, ids, pa.table([pa.array(q), batch.column(0).take(pa.array(places[part][at])), pa.array(scores[at, q])], names=[f.name for f in fields]))
+        yield from held.rest()
+
+    return merge_segments(vectors.select("vec_id", "embedding").mapInArrow(run, T.StructType(fields)), k)
 
 
 class ProductQuantizer:

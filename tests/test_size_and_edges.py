@@ -71,3 +71,18 @@ def test_held_hits_are_bounded_and_the_best(monkeypatch):
                 for label in range(3):
                     best = sorted((x for x in every if x[:3] == (block, q, label)), key=lambda x: (-x[3] if larger else x[3], x[4]))[:4]
                     assert {(q, v, label, s) for _, _, _, s, v in best} <= got
+
+
+def test_buckets_are_met_without_a_row_for_each_candidate(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = X.lsh_search(vectors, asked, 5, flips=1)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.vec_id) for r in found.collect()}
+    held = {r.vec_id: np.array(r.embedding, float) for r in vectors.collect()}
+    planes = np.array(X._directions(64, 8, 8, 7))
+    signs = {n: planes @ v >= 0 for n, v in held.items()}
+    unit = {n: v / np.linalg.norm(v) for n, v in held.items()}
+    for q in (n for n in held if n % 20 == 0):
+        near = [n for n in held if ((signs[n] != signs[q]).sum(1) <= 1).any()]
+        assert {v for a, v in got if a == q} == set(sorted(near, key=lambda n: (-round(unit[n] @ unit[q], 6), n))[:5])
