@@ -330,23 +330,22 @@ class InvertedIndex:
         fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", assigned.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held(k, True)
             for batch in batches:
                 places, rows = _matrix(batch.column(1), centres.shape[1])
                 cells = batch.column(2).to_numpy()[places]
-                for shared in blocks:
-                    ids, asked = shared.value
+                for n, shared in enumerate(blocks):
+                    ids, asked = _block_of(shared, blocks)
                     if asked.shape[1] != centres.shape[1]:
                         continue
                     order = np.argsort(_products(_unit(asked), centres, "l2"), axis=1)[:, :probes]
                     for cell in np.unique(cells):
                         q, inside = np.flatnonzero((order == cell).any(1)), np.flatnonzero(cells == cell)
-                        scores = np.round(_products(rows[inside], asked[q], "cosine"), 6) + 0.0
-                        if len(inside) > k:
-                            at, n = np.nonzero(scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k])
-                        else:
-                            at, n = np.nonzero(np.ones(scores.shape, bool))
-                        hits = pa.table([ids.take(pa.array(q[n])), batch.column(0).take(pa.array(places[inside[at]])), pa.array(scores[at, n])], names=[f.name for f in fields])
-                        yield from hits.to_batches()
+                        for part in _pieces(len(inside), len(q)):
+                            scores = np.round(_products(rows[inside[part]], asked[q], "cosine"), 6) + 0.0
+                            at, to = np.nonzero(_near(scores, k, True))
+                            yield from held.add(n, ids, pa.table([pa.array(q[to]), batch.column(0).take(pa.array(places[inside[part][at]])), pa.array(scores[at, to])], names=[f.name for f in fields]))
+            yield from held.rest()
 
         return merge_segments(assigned.select("vec_id", "embedding", "cell").mapInArrow(run, T.StructType(fields)), k)
 
@@ -466,28 +465,42 @@ class ProductQuantizer:
         With ``cells`` (and their column ``cell`` in ``coded``) a query meets the codes of
         its ``probes`` nearest cells only.
         """
-        blocks, books, split, most = _query_blocks(queries), self.books, self._parts, k * rerank
+        most = k * rerank
+        near = merge_segments(self._nearest_codes(coded, queries, most, cells, probes), most, "l2").select("query_id", "vec_id")
+        exact = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
+        return merge_segments(exact.select("query_id", "vec_id", F.round(score(F.col("embedding"), F.col("query")), 6).alias("score")), k)
+
+    def _nearest_codes(self, coded: DataFrame, queries: DataFrame, most: int, cells: InvertedIndex | None, probes: int) -> DataFrame:
+        """query_id, vec_id, score: of each task's codes the ``most`` nearest to each query."""
+        blocks, books, split = _query_blocks(queries), self.books, self._parts
         centres = None if cells is None else cells.centres
         fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", coded.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Held(most, False)
             for batch in batches:
                 codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, len(books))
-                for shared in blocks:
-                    ids, asked = shared.value
-                    distances = sum(_products(b, q, "l2")[codes[:, n]] for n, (b, q) in enumerate(zip(books, split(asked), strict=True)))
+                for block, shared in enumerate(blocks):
+                    ids, asked = _block_of(shared, blocks)
+                    if asked.shape[1] != sum(b.shape[1] for b in books):
+                        continue
+                    tables = [_products(b, q, "l2") for b, q in zip(books, split(asked), strict=True)]
+                    near = None
                     if centres is not None:
                         near = np.zeros((len(centres), len(asked)), bool)
                         np.put_along_axis(near, np.argsort(_products(_unit(asked), centres, "l2"), axis=1)[:, :probes].T, True, axis=0)
-                        distances = np.where(near[batch.column(2).to_numpy()], distances, np.inf)
-                    keep = np.isfinite(distances) if len(codes) <= most else np.isfinite(distances) & (distances <= np.partition(distances, most - 1, axis=0)[most - 1])
-                    at, q = np.nonzero(keep)
-                    hits = pa.table([ids.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(distances[at, q])], names=[f.name for f in fields])
-                    yield from _best(hits, most, False, []).combine_chunks().to_batches()
-
-        near = merge_segments(coded.select("vec_id", "code", *(["cell"] if cells is not None else [])).mapInArrow(run, T.StructType(fields)), most, "l2").select("query_id", "vec_id")
-        exact = near.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
-        return merge_segments(exact.select("query_id", "vec_id", F.round(score(F.col("embedding"), F.col("query")), 6).alias("score")), k)
+                    for part in _pieces(len(codes), len(asked)):
+                        distances = np.zeros((len(codes[part]), len(asked)))
+                        for n, table in enumerate(tables):
+                            distances += table[codes[part, n]]
+                        if near is not None:
+                            distances[~near[batch.column(2).to_numpy()[part]]] = np.inf
+                        at, q = np.nonzero(held.wanted(block, distances))
+                        hits = pa.table([pa.array(q), batch.column(0).slice(part.start, len(distances)).take(pa.array(at)), pa.array(distances[at, q])], names=[f.name for f in fields])
+                        yield from held.add(block, ids, hits)
+            yield from held.rest()
+
+        return coded.select("vec_id", "code", *(["cell"] if cells is not None else [])).mapInArrow(run, T.StructType(fields))
 
 
 def read_segments(spark: SparkSession, path: str, segments: list[int] | None = None) -> DataFrame:

@@ -86,3 +86,13 @@ def test_buckets_are_met_without_a_row_for_each_candidate(spark):
     for q in (n for n in held if n % 20 == 0):
         near = [n for n in held if ((signs[n] != signs[q]).sum(1) <= 1).any()]
         assert {v for a, v in got if a == q} == set(sorted(near, key=lambda n: (-round(unit[n] @ unit[q], 6), n))[:5])
+
+
+def test_codes_leave_a_task_as_its_best_only(spark):
+    """Rows that the search of codes shuffles depend on tasks and queries, not on batches."""
+    vectors = spark.range(6000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sin(F.xxhash64(F.col("id"), i) % 1000).cast("float")).alias("embedding")).coalesce(1).cache()
+    asked = vectors.where("vec_id % 600 = 0").withColumnRenamed("vec_id", "query_id")
+    coder = X.ProductQuantizer(parts=4, centres=8, rounds=2).fit(vectors)
+    # Of 6 batches of 1,000 rows, 200 each would be 12,000 rows.
+    assert coder._nearest_codes(coder.encode(vectors), asked, 200, None, 0).count() == 200 * asked.count()
+    assert coder.search(coder.encode(vectors), vectors, asked, 10, rerank=20).count() == 10 * asked.count()
