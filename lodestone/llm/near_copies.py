@@ -188,13 +188,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, least: float = 0.8, workspace: Workspace | None = None, table: DataFrame | None = None
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, least: float = 0.8, workspace: Workspace | None = None, table: DataFrame | None = None,
+    close: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, text_sha256, keep_id, keep_sha256: the rows to drop, each with the row of its
     group that stays.  Groups are what links of a similarity of ``least`` or more connect.
 
     The sketches are made for 0.8; a higher ``least`` is met as well, a lower one isn't.
-    ``table`` has the ``sketches``, if they are there already.
+    ``table`` has the ``sketches``, if they are there already.  ``close`` has pairs of texts
+    (the hashes text_a, text_b) that another search found; they are candidates as well.
     """
     ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
     table = ws.save(sketches(docs, text_col, id_col, shingle), "sketches") if table is None else table
@@ -211,6 +213,11 @@ def near_duplicates(
         more, dense, common = _search(closer, ws, CROWD_SKETCH, CROWD_NEED, least)
         dense = ws.save(closer.join(dense.select(F.col("node").alias("_node"), "s", "spare"), F.col("node") == F.col("_node")).drop("_node"), "dense")
         pairs = pairs.union(more).union(_anchored(dense, common, ws))
+    if close is not None:
+        of_text = ws.save(table.select("text_sha256", "set_sha256").distinct().join(nodes.select(F.col("set_sha256").alias("_set"), "node"), F.col("set_sha256") == F.col("_set")).select("text_sha256", "node"), "of-texts")
+        side = lambda x: of_text.select(F.col("text_sha256").alias(f"_{x}"), F.col("node").alias(f"node_{x}"))
+        met = close.join(side("a"), F.col("text_a") == F.col("_a")).join(side("b"), F.col("text_b") == F.col("_b")).where("node_a != node_b")
+        pairs = pairs.union(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
     candidates = ws.save(pairs.distinct(), "candidates")
     met = candidates.select(F.col("a").alias("_node")).union(candidates.select("b")).distinct()
     sets = _sets(docs, named.join(met, F.col("node") == F.col("_node"), "left_semi"), ws, text_col, shingle)

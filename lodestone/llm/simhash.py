@@ -22,8 +22,9 @@ if and only if some z is within two bits of both, so all members that reach the
 same z are linked to the smallest of them.  So links are a constant number for each
 member, however large a group is.
 
-The stage that drops near-duplicates at a similarity of 0.8 (``near_duplicates``), which
-is beyond four bits, searches by the shingles themselves (``near_copies``).
+The stage that drops near-duplicates at a similarity of 0.8 (``drop_near_duplicates``)
+checks the links of fingerprints (``close_texts``) by the texts' shingles; as that
+similarity is beyond four bits, it also searches by the shingles (``near_copies``).
 
 Equal fingerprints are one node before any join; components come from star
 contractions; no pairs, links or components are collected.
@@ -48,11 +49,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from . import near_copies
 from .components import connected_components
-from .near_copies import drop_near_duplicates, near_duplicates
+from .near_copies import near_duplicates
 from .workspace import Workspace, rows_of_keys, slices
 
-__all__ = ["drop_near_duplicates", "drop_near_fingerprints", "fingerprint", "fingerprints", "links", "near_duplicates", "simhash_near_dedup"]
+__all__ = ["close_texts", "drop_near_duplicates", "drop_near_fingerprints", "fingerprint", "fingerprints", "links", "near_duplicates", "simhash_near_dedup"]
 
 #: Fixed by the fingerprint's definition.
 SEED = 42
@@ -246,3 +248,22 @@ def drop_near_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str
     found = simhash_near_dedup(docs, text_col, id_col, **options)
     keep = found.select(F.struct(F.col("component_id").alias("doc_id"), F.col("keep_sha256").alias("text_sha256")).alias("_keep")).distinct()
     return rows_of_keys(docs, keep, text_col, id_col)
+
+
+def close_texts(docs: DataFrame, workspace: Workspace, text_col: str = "text", id_col: str = "doc_id", max_distance: int = 4) -> DataFrame:
+    """text_a, text_b: hashes of different texts whose fingerprints are linked (``links``);
+    texts of one fingerprint are each linked to the one with the least hash."""
+    texts = workspace.save(fingerprints(docs, text_col, id_col).select("text_sha256", "fp"), "fingerprints")
+    nodes = workspace.save(texts.groupBy("fp").agg(F.min("text_sha256").alias("text")), "nodes")
+    found = workspace.save(links(nodes.select("fp"), workspace, max_distance), "links")
+    side = lambda x: nodes.select(F.col("fp").alias(f"_{x}"), F.col("text").alias(f"text_{x}"))
+    near = found.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("text_a", "text_b")
+    same = texts.join(side("a"), F.col("fp") == F.col("_a")).where("text_sha256 != text_a").select("text_a", F.col("text_sha256").alias("text_b")).distinct()
+    return workspace.save(near.unionByName(same), "close-texts")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", workspace: Workspace | None = None, **options) -> DataFrame:
+    """``docs`` without the near-duplicates that ``near_copies`` confirms: among the texts
+    that fingerprints link, and among those that its own search finds beyond four bits."""
+    ws = workspace or Workspace(ship(docs.sparkSession), "near-duplicates")
+    return near_copies.drop_near_duplicates(docs, text_col, id_col, ws, close=close_texts(docs, ws, text_col, id_col), **options)
