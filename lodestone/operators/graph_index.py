@@ -40,10 +40,11 @@ from .vector_index import _matrix, _unit, merge_segments, score, top_k
 
 
 def _compare(groups: DataFrame, degree: int, width: int) -> DataFrame:
-    """src, dst, score: for each member of each group (``grp``, node, embedding, fresh) its
-    best ``degree`` others, among the pairs of which one is fresh."""
+    """src, dst, score: for each member of each group (``grp``, node, embedding, fresh, worst) its
+    best ``degree`` others, among the pairs of which one is fresh; what is below the member's
+    ``worst``, the last score of a list that is full, can't enter the list and isn't given."""
     ship(groups.sparkSession)
-    rows = groups.groupBy("grp").agg(F.collect_list(F.struct("node", "fresh", "embedding")).alias("held")).where(F.size("held") > 1).select("held")
+    rows = groups.groupBy("grp").agg(F.collect_list(F.struct("node", "fresh", "embedding", "worst")).alias("held")).where(F.size("held") > 1).select("held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,6 +53,7 @@ def _compare(groups: DataFrame, degree: int, width: int) -> DataFrame:
             names = held.field("node").to_numpy(zero_copy_only=False)
             fresh = held.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
             body = _matrix(held.field("embedding"), width)[1]
+            worst = held.field("worst").to_numpy(zero_copy_only=False)
             src, dst, scores = [], [], []
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
                 if not fresh[a:b].any():
@@ -64,7 +66,7 @@ def _compare(groups: DataFrame, degree: int, width: int) -> DataFrame:
                 np.fill_diagonal(near, -np.inf)
                 order = np.argsort(-near, axis=1, kind="stable")[:, :degree]
                 best = np.take_along_axis(near, order, axis=1)
-                at, place = np.nonzero(np.isfinite(best))
+                at, place = np.nonzero(np.isfinite(best) & (best >= worst[a:b][first][:, None]))
                 src.extend(members[at].tolist())
                 dst.extend(members[order[at, place]].tolist())
                 scores.extend(best[at, place].tolist())
@@ -108,7 +110,7 @@ class GraphIndex:
         """Edges within groups of some ``2 * listed`` nodes that share a hash."""
         groups = max(1, self.size // (2 * self.listed))
         places = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.pmod(F.xxhash64("node", F.lit(self.seed + s)), F.lit(groups)).alias("b")) for s in range(self.starts)]))
-        found = _compare(self.nodes.select(places.alias("grp"), "node", "embedding", F.lit(True).alias("fresh")), self.listed, self.width)
+        found = _compare(self.nodes.select(places.alias("grp"), "node", "embedding", F.lit(True).alias("fresh"), F.lit(-2.0).alias("worst")), self.listed, self.width)
         return _first(found.distinct().withColumn("fresh", F.lit(True)), "src", "dst", self.listed)
 
     def _descend(self, edges: DataFrame) -> DataFrame:
@@ -116,7 +118,9 @@ class GraphIndex:
         for n in range(1, self.rounds + 1):
             named = edges.select(F.col("src").alias("grp"), F.col("dst").alias("node"), "fresh")
             naming = _first(edges, "dst", "src", self.listed).select(F.col("dst").alias("grp"), F.col("src").alias("node"), "fresh")
-            found = _compare(named.unionByName(naming).join(self.nodes, "node"), self.listed, self.width)
+            full = edges.groupBy(F.col("src").alias("node")).agg(F.when(F.count("*") >= self.listed, F.min("score")).otherwise(-2.0).alias("worst"))
+            nodes = self.nodes.join(full, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+            found = _compare(named.unionByName(naming).join(nodes, "node"), self.listed, self.width)
             # An edge that was there is not fresh again.
             merged = edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
             merged = merged.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))

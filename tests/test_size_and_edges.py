@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vectors as V
 from lodestone.operators import tasks
 from lodestone.operators import vector_index as X
+from lodestone.operators.graph_index import _compare
 from lodestone.plans import queries as Q
 from lodestone.streaming import events as stream
 
@@ -96,3 +97,9 @@ def test_codes_leave_a_task_as_its_best_only(spark):
     # Of 6 batches of 1,000 rows, 200 each would be 12,000 rows.
     assert coder._nearest_codes(coder.encode(vectors), asked, 200, None, 0).count() == 200 * asked.count()
     assert coder.search(coder.encode(vectors), vectors, asked, 10, rerank=20).count() == 10 * asked.count()
+
+
+def test_edges_that_cannot_enter_a_full_list_are_not_given(spark):
+    rows = [(1, "a", [1.0, 0.0], True, 0.9), (1, "b", [1.0, 1.0], True, -2.0), (1, "c", [1.0, 0.1], True, -2.0)]
+    groups = spark.createDataFrame(rows, "grp int, node string, embedding array<float>, fresh boolean, worst double")
+    assert {(r.src, r.dst) for r in _compare(groups, 2, 2).collect()} == {("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")}
